@@ -42,7 +42,7 @@ class _Words(dict):
     """Hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -287,8 +287,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int,
 
 
 def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) in a block of ``members`` (key, node, component) across components whose sizes and sketches allow
-    a link: all, or a spanning forest of the components."""
+    """Pairs (key, a, b, more) in a block of ``members`` (key, node, component) across components whose sizes and
+    sketches allow a link: all, or a spanning forest of the components; ``more`` says that a block has pairs beyond it."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
@@ -314,7 +314,7 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
                 x = parent[x]
             return x
 
-        a_out, b_out = [], []
+        a_out, b_out, more = [], [], False
         for i in range(len(n) - 1):
             j = np.searchsorted(n, n[i] * den // num, side="right")
             rest = slice(i + 1, j)
@@ -326,13 +326,15 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
                 if forest:
                     x, y = root(int(comp[i])), root(int(comp[k]))
                     if x == y:
+                        more = True
                         continue
                     parent[max(x, y)] = min(x, y)
                 a_out.append(min(int(node[i]), int(node[k])))
                 b_out.append(max(int(node[i]), int(node[k])))
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+        size = len(a_out)
+        return pa.table({"key": pa.array([group["key"][0].as_py()] * size, pa.int64()), "a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64()), "more": pa.array([more] * size, pa.bool_())})
 
-    return rows.groupBy("key", "c1", "c2").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("key", "c1", "c2").applyInArrow(compare, "key bigint, a bigint, b bigint, more boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -372,9 +374,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     members = saved.keep(members, "members")
     for forest in (True, False):
         now = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        more = saved.keep(across(now, facts, num, den, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = saved.keep(across(now, facts, num, den, forest), "across")
+        if forest:
+            members = members.join(found.where("more").select("key").distinct(), "key", "left_semi")
+        more = saved.keep(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.limit(1).count():
-            continue
+            if found.where("more").limit(1).count():
+                continue
+            break
         tested = tested.unionByName(more)
         links = links.unionByName(verified(more, docs, width, num, den, saved))
         comp = saved.keep(components(links, saved), "components")
