@@ -16,6 +16,7 @@ pairs across components whose sketches pass are verified, so no link is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -145,13 +146,32 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-SCAN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary, key bigint, hub bigint, node bigint, bucket int, keys binary, docs binary"
-_SCAN_TYPES = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.binary()]
+def packed(keys: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
+    """A bucket's list by document: the keys' lower 48 bits, the ids' differences deflated."""
+    order = np.argsort(docs, kind="stable")
+    keys, docs = keys[order], docs[order]
+    low = keys.astype(np.uint32).tobytes() + (keys >> U(32)).astype(np.uint16).tobytes()
+    return low, zlib.compress(np.diff(docs, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def unpacked(low: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(low) // 6
+    keys = np.frombuffer(low, np.uint32, n).astype(U) | np.frombuffer(low, np.uint16, n, 4 * n).astype(U) << U(32)
+    return keys, np.cumsum(np.frombuffer(zlib.decompress(docs), "<i8"))
+
+
+SCAN = "kind int, doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary, key bigint, hub bigint, node bigint, bucket int, keys binary, docs binary"
+_SCAN_TYPES = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.binary()]
 _SCAN_NAMES = [x.split()[0] for x in SCAN.split(", ")]
 
 
+#: The kinds of rows, by the first column that they have.
+KINDS = ["doc_id", "key", "bucket"]
+
+
 def _rows(**columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
+    columns["kind"] = [KINDS.index(next(iter(columns)))] * n
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(_SCAN_NAMES, _SCAN_TYPES, strict=True)], _SCAN_NAMES)
 
 
@@ -189,11 +209,13 @@ def scan(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> Dat
                 at = np.flatnonzero(many)
                 for i in range(0, len(at), 50_000):
                     own = at[i : i + 50_000]
-                    yield _rows(key=k[own].view(np.int64), hub=hub[own], node=d[own])
+                    short = k[own] & U((1 << 48) - 1) | k[own] >> U(shift) << U(shift)  # as the buckets have it
+                    yield _rows(key=short.view(np.int64), hub=hub[own], node=d[own])
                 k, d = k[start], d[start]  # sorted by key, so by bucket
                 bounds = np.searchsorted(k >> U(shift), np.arange(n_buckets + 1, dtype=U))
                 own = [(b, i, j) for b, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j]
-                yield _rows(bucket=[b for b, _, _ in own], keys=[k[i:j].tobytes() for _, i, j in own], docs=[d[i:j].tobytes() for _, i, j in own])
+                lists = [packed(k[i:j], d[i:j]) for _, i, j in own]
+                yield _rows(bucket=[b for b, _, _ in own], keys=[x for x, _ in lists], docs=[x for _, x in lists])
             keys.clear()
             owners.clear()
             seen.clear()
@@ -217,7 +239,7 @@ def scan(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> Dat
                     if size >= FLUSH_KEYS:
                         yield from flush()
             if info:
-                yield _rows(**dict(zip(_SCAN_NAMES[:5], map(list, zip(*info, strict=True)), strict=True)))
+                yield _rows(**dict(zip(_SCAN_NAMES[1:6], map(list, zip(*info, strict=True)), strict=True)))
         yield from flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCAN)
@@ -225,20 +247,21 @@ def scan(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> Dat
 
 def shared_blocks(lists: DataFrame, n_buckets: int) -> DataFrame:
     """(key, hub, node) of the block keys that several tasks have; each bucket is joined by sorting packed arrays."""
+    shift = 64 - (n_buckets - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
             for bucket, k, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found.setdefault(bucket, []).append((np.frombuffer(k, U), np.frombuffer(d, np.int64)))
-        for parts in found.values():
-            k, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+                found.setdefault(bucket, []).append((k, d))
+        for bucket, parts in found.items():
+            k, d = (np.concatenate(x) for x in zip(*(unpacked(*x) for x in parts), strict=True))
             parts.clear()
             _, k, d, (many, hub) = _groups(k, d)
             at = np.flatnonzero(many)
             for i in range(0, len(at), 50_000):
                 own = at[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k[own].view(np.int64)), pa.array(hub[own]), pa.array(d[own])], ["key", "hub", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array((k[own] | U(bucket) << U(shift)).view(np.int64)), pa.array(hub[own]), pa.array(d[own])], ["key", "hub", "node"])
 
     return lists.repartition(n_buckets, "bucket").mapInArrow(run, "key bigint, hub bigint, node bigint")
 
@@ -286,13 +309,21 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int,
     return out
 
 
-def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
+    """A saved table of ids, broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: bool, saved: Saved) -> DataFrame:
     """Pairs (key, a, b, more) in a block of ``members`` (key, node, component) across components whose sizes and
-    sketches allow a link: all, or a spanning forest of the components; ``more`` says that a block has pairs beyond it."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    sketches allow a link: all, or a spanning forest of the components; ``more`` says that a block has pairs beyond it.
+    Of blocks with the same sets one is compared."""
+    h = [F.xxhash64("node"), F.xxhash64(F.lit(1), "node")]
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h[0]).alias("x"), F.bit_xor(h[1]).alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    sizes = saved.keep(sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "open")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    rows = members.join(sizes.select("key", "size"), "key").withColumn("chunk", own)
+    rows = members.join(bounded(sizes), "key").withColumn("chunk", own)
     other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
     rows = rows.withColumn("other", F.explode(other))
     rows = rows.select("key", "node", "component", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
@@ -352,29 +383,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size / 6 * 2 * (den - num) / num
     n_buckets = 1 << max(MIN_BUCKETS.bit_length() - 1, int(expected / BUCKET_KEYS).bit_length())
-    scanned = saved.keep(scan(docs, width, num, den, n_buckets), "scan")
-    info = scanned.where("n IS NOT NULL").select("doc_id", "n", "h1", "h2")
-    facts = scanned.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n", "sketch"])
+    scanned = saved.keep(scan(docs, width, num, den, n_buckets), "scan", ["kind"])
+    kinds = [spark.read.parquet(f"{scanned._saved_path}/kind={i}") if scanned.where(F.col("kind") == i).limit(1).count() else scanned.where("false") for i in range(len(KINDS))]
+    info = kinds[0].select("doc_id", "n", "h1", "h2")
 
     classes = info.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
     copies = info.where("n > 0").join(classes, ["h1", "h2"]).where("doc_id != rep").select("doc_id", "rep").distinct()
     copies = saved.keep(copies, "copies")
-
-    blocks = scanned.where("hub IS NOT NULL").select("key", "hub", "node")
-    blocks = blocks.unionByName(shared_blocks(scanned.where("bucket IS NOT NULL").select("bucket", "keys", "docs"), n_buckets))
-    to_rep = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
-    blocks = saved.keep(to_rep(to_rep(blocks, "hub"), "node").distinct(), "blocks")
-
-    stars = blocks.where("hub != node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    rep_of = bounded(copies)
+
+    blocks = kinds[1].select("key", "hub", "node")
+    blocks = blocks.unionByName(shared_blocks(kinds[2].select("bucket", "keys", "docs"), n_buckets))
+    to_rep = lambda df, c: df.join(rep_of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
+    blocks = saved.keep(to_rep(to_rep(blocks, "hub"), "node"), "blocks")
+    for i in (1, 2):
+        saved.drop_path(f"{scanned._saved_path}/kind={i}")
+    members = saved.keep(blocks.select("key", "node").distinct(), "members")
+    nodes = members.select(F.col("node").alias("doc_id")).distinct()
+    facts = kinds[0].where("n > 0").join(bounded(saved.keep(nodes, "nodes")), "doc_id", "left_semi")
+    facts = saved.keep(facts.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch")), "facts")
+
+    # each set meets the centre with which it shares most blocks
+    near = blocks.where("hub != node").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    stars = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     passed = saved.keep(sketch_passes(stars, facts, num, den), "pairs")
+    saved.drop(blocks)
     links = verified(passed, docs, width, num, den, saved)
     tested = passed
     comp = saved.keep(components(links, saved), "components")
-    members = blocks.select("key", "node").unionByName(blocks.select("key", F.col("hub").alias("node"))).distinct()
-    members = saved.keep(members, "members")
     for forest in (True, False):
-        now = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        found = saved.keep(across(now, facts, num, den, forest), "across")
+        now = members.join(bounded(comp), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        found = saved.keep(across(now, facts, num, den, forest, saved), "across")
         if forest:
             members = members.join(found.where("more").select("key").distinct(), "key", "left_semi")
         more = saved.keep(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
