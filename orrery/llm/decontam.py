@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from orrery.llm.common import table
 
@@ -154,27 +156,40 @@ def item_chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: st
         yield [("" if r["k"] is None else r["k"], words_of(r["t"])) for r in own.collect()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ("doc_id", "text"), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``spans`` (array of [first, last] word numbers, merged) and ``items`` (sorted ids)."""
+def through(docs: DataFrame, benchmark: DataFrame, columns: list, finish: Callable[[pa.RecordBatch, list, list], pa.RecordBatch], schema: str | StructType, window: int, chunk_bytes: int) -> DataFrame:
+    """``columns`` of ``docs`` (text last) through the automata of the benchmark's chunks.
+
+    ``finish(batch, spans, items)`` makes the result of a batch, from merged [first, last] word numbers and item ids.
+    """
     spark = docs.sparkSession
-    out = docs.select(*keep, F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema, n, at = out.schema, len(keep), keep.index(text_col)
-    for chunk in item_chunks(benchmark, chunk_bytes):
-        sent = spark.sparkContext.broadcast(Automaton(chunk, window))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = sent.value
-            for b in batches:
+    out = docs.select(*columns)
+    n = len(out.columns)
+    chunks = [spark.sparkContext.broadcast(Automaton(c, window)) for c in item_chunks(benchmark, chunk_bytes)]
+    if len(chunks) > 1:
+        out = out.select("*", F.array().cast("array<array<int>>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    between = out.schema
+
+    def scan(batches: Iterator[pa.RecordBatch], sent, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), 1024):
+                b = whole.slice(at, 1024)
+                rows = b.num_rows
+                old_spans, old_items = ([[]] * rows, [[]] * rows) if first else (b.column(n).to_pylist(), b.column(n + 1).to_pylist())
                 spans, items = [], []
-                for text, s, k in zip(b.column(at), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
+                for text, s, k in zip(b.column(n - 1), old_spans, old_items, strict=True):
                     found: set[str] = set(k)
                     intervals: list[list[int]] = []
-                    automaton.scan(words_of(text.as_py()), intervals, found)
+                    sent.value.scan(words_of(text.as_py()), intervals, found)
                     spans.append(merged(s + intervals))
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], b.schema.names)
-
-        out = out.mapInArrow(scan, schema)
+                if last:
+                    yield finish(b, spans, items)
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+
+    for i, sent in enumerate(chunks):
+        last = i == len(chunks) - 1
+        out = out.mapInArrow(partial(scan, sent=sent, first=i == 0, last=last), schema if last else between)
     return out
 
 
@@ -185,20 +200,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     each give a row, repeated items count once by id, an empty benchmark hits nothing; other columns are not read.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words = [len(words_of(t.as_py())) for t in b.column(1)]
-            n_hit = [sum(z - a + 1 for a, z in s) for s in b.column(2).to_pylist()]
-            items = b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(k) for k in items], pa.int64()), pa.array([hashlib.sha256(",".join(k).encode()).hexdigest() for k in items])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-            )
+    def digest(b: pa.RecordBatch, spans: list, items: list) -> pa.RecordBatch:
+        n_words = [len(words_of(t.as_py())) for t in b.column(1)]
+        n_hit = [sum(z - a + 1 for a, z in s) for s in spans]
+        hashes = [hashlib.sha256(",".join(k).encode()).hexdigest() for k in items]
+        columns = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(k) for k in items], pa.int64()), pa.array(hashes, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    found = hits(docs, benchmark, window, chunk_bytes)
-    kind = found.schema["doc_id"].dataType.simpleString()
-    out = found.mapInArrow(digest, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string"
+    return through(docs, benchmark, ["doc_id", "text"], digest, schema, window, chunk_bytes).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def remove_words(text: str | None, spans: list[list[int]]) -> str | None:
@@ -218,28 +229,23 @@ def remove_words(text: str | None, spans: list[list[int]]) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``documents`` without benchmark passages: hit spans are cut out; documents of which they cover more than
     ``max_coverage`` of the words go.  Other rows, null and empty texts among them, stay as they are."""
-    names = tuple(docs.columns)
-    at = names.index("text")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = b.column(len(names)).to_pylist()
-            keep, texts = [], []
-            for text, s in zip(b.column(at), spans, strict=True):
-                text = text.as_py()
-                if not s:
-                    keep.append(True)
-                    texts.append(text)
-                    continue
-                keep.append(sum(z - a + 1 for a, z in s) <= max_coverage * len(words_of(text)))
-                texts.append(remove_words(text, s))
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, b.column(len(names))], [*names, "spans"]).filter(pa.array(keep, pa.bool_()))
-
-    found = hits(docs, benchmark, window, keep=names).drop("items")
-    out = found.mapInArrow(clean, found.schema)
-    changed = F.size("spans") > 0
-    return out.select(*[F.when(changed, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in names])
+    names = docs.columns
+
+    def clean(b: pa.RecordBatch, spans: list, _: list) -> pa.RecordBatch:
+        keep, texts = [], []
+        for text, s in zip(b.column(len(names)), spans, strict=True):
+            text = text.as_py()
+            keep.append(not s or sum(z - a + 1 for a, z in s) <= max_coverage * len(words_of(text)))
+            texts.append(remove_words(text, s) if keep[-1] else None)
+        changed = pa.array([bool(s) for s in spans], pa.bool_())
+        columns = [*b.columns[: len(names)], pa.array(texts, pa.string()), changed]
+        return pa.RecordBatch.from_arrays(columns, [*names, "__text", "__changed"]).filter(pa.array(keep, pa.bool_()))
+
+    schema = StructType([*docs.schema.fields, StructField("__text", StringType()), StructField("__changed", BooleanType())])
+    read = [F.col(c) if c != "text" else F.lit(None).cast("string").alias("text") for c in names]
+    found = through(docs, benchmark, [*read, F.col("text").alias("__text")], clean, schema, window, CHUNK_BYTES)
+    n_chars = F.when(F.col("__changed"), F.char_length("__text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
+    return found.select(*[F.col("__text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in names])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

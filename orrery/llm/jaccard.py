@@ -31,7 +31,7 @@ from orrery.llm.components import components
 
 U = np.uint64
 #: Block keys that a scan task gathers before it writes, and that a bucket of the block join has on average.
-FLUSH_KEYS, BUCKET_KEYS = 1 << 20, 1 << 20
+FLUSH_KEYS, BUCKET_KEYS = 1 << 19, 1 << 20
 MIN_BUCKETS = 64
 #: Ids up to so many are broadcast to fetch texts (32 MB); more go through a shuffle.
 BROADCAST_IDS = 1 << 21
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -117,9 +117,9 @@ def block_keys(set_: np.ndarray, band: int, n_blocks: int) -> np.ndarray:
         return mixed(sketch ^ mixed(np.arange(n_blocks, dtype=U) + U((band + 1) << 40)))
 
 
-def parity_sketch(set_: np.ndarray) -> np.ndarray:
-    """Words of the whole set's parity sketch: a power of two of bits, at least four for each element."""
-    bits = 1 << max(6, (4 * max(1, len(set_)) - 1).bit_length())
+def parity_sketch(set_: np.ndarray, each: int = 4) -> np.ndarray:
+    """Words of the whole set's parity sketch: a power of two of bits, at least ``each`` for each element."""
+    bits = 1 << max(6, (each * max(1, len(set_)) - 1).bit_length())
     at = set_ & U(bits - 1)
     out = np.zeros(bits // 64, U)
     np.bitwise_xor.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
@@ -160,8 +160,8 @@ def unpacked(low: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.cumsum(np.frombuffer(zlib.decompress(docs), "<i8"))
 
 
-SCAN = "kind int, doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary, key bigint, hub bigint, node bigint, bucket int, keys binary, docs binary"
-_SCAN_TYPES = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.binary()]
+SCAN = "kind int, doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary, small binary, key bigint, hub bigint, node bigint, bucket int, keys binary, docs binary"
+_SCAN_TYPES = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.binary()]
 _SCAN_NAMES = [x.split()[0] for x in SCAN.split(", ")]
 
 
@@ -227,7 +227,9 @@ def scan(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> Dat
                 s = shingles(text.as_py(), width)
                 d = xxhash.xxh3_128(s.tobytes()).digest()
                 same = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
-                info.append((doc_id, len(s), *same, parity_sketch(s).tobytes() if len(s) else None))
+                sketch = parity_sketch(s)
+                small = folded(sketch, max(1, len(sketch) // 4))
+                info.append((doc_id, len(s), *same, sketch.tobytes() if len(s) else None, small.tobytes() if len(s) else None))
                 if doc_id is None or not len(s) or same in seen:
                     continue
                 own = plan.keys(s)
@@ -239,7 +241,7 @@ def scan(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> Dat
                     if size >= FLUSH_KEYS:
                         yield from flush()
             if info:
-                yield _rows(**dict(zip(_SCAN_NAMES[1:6], map(list, zip(*info, strict=True)), strict=True)))
+                yield _rows(**dict(zip(_SCAN_NAMES[1:7], map(list, zip(*info, strict=True)), strict=True)))
         yield from flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCAN)
@@ -327,45 +329,93 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
     other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
     rows = rows.withColumn("other", F.explode(other))
     rows = rows.select("key", "node", "component", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
-    rows = rows.join(facts.select(F.col("doc_id").alias("node"), "n", "sketch"), "node")
-
-    def compare(group: pa.Table) -> pa.Table:
-        s = scheme(num, den)
-        order = np.argsort(group["n"].to_numpy(), kind="stable")
-        n, node, comp, chunk = (group[c].to_numpy()[order] for c in ("n", "node", "component", "chunk"))
-        sketches = group["sketch"].to_pylist()
-        sketches = [np.frombuffer(sketches[i], U) for i in order]
-        words = min(map(len, sketches))
-        flat = np.stack([folded(x, words) for x in sketches])
-        within = group["c1"][0].as_py() == group["c2"][0].as_py()
-        parent = {c: c for c in comp.tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
+    rows = rows.join(facts.select(F.col("doc_id").alias("node"), "n", "small"), "node")
+    rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n_rows = 0
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                held.append(b.slice(at, CHUNK))
+                n_rows += held[-1].num_rows
+                if n_rows >= 4 * CHUNK:
+                    whole = pa.Table.from_batches(held)
+                    group = _group_numbers(whole)
+                    ready = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                    if ready:
+                        yield from compare(whole.slice(0, ready), group[:ready])
+                    held, n_rows = whole.slice(ready).to_batches(), n_rows - ready
+        if n_rows:
+            whole = pa.Table.from_batches(held)
+            yield from compare(whole, _group_numbers(whole))
+
+    def compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, n, node, comp, chunk, c1, c2 = (rows[c].to_numpy() for c in ("key", "n", "node", "component", "chunk", "c1", "c2"))
+        i, j = passing_pairs(group, n, comp, chunk, c1 == c2, rows["small"].to_pylist(), scheme(num, den))
+        order = np.argsort(group[i], kind="stable")
+        keep, more = [], set()
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def root(x: tuple[int, int]) -> tuple[int, int]:
+            while parent.setdefault(x, x) != x:
                 x = parent[x]
             return x
 
-        a_out, b_out, more = [], [], False
-        for i in range(len(n) - 1):
-            j = np.searchsorted(n, n[i] * den // num, side="right")
-            rest = slice(i + 1, j)
-            ok = (comp[rest] != comp[i]) & (within | (chunk[rest] != chunk[i]))
-            near = np.flatnonzero(ok) + i + 1
-            if len(near):
-                near = near[np.bitwise_count(flat[near] ^ flat[i]).sum(axis=1) <= s.differ(int(n[i]))]
-            for k in near.tolist():
-                if forest:
-                    x, y = root(int(comp[i])), root(int(comp[k]))
-                    if x == y:
-                        more = True
-                        continue
-                    parent[max(x, y)] = min(x, y)
-                a_out.append(min(int(node[i]), int(node[k])))
-                b_out.append(max(int(node[i]), int(node[k])))
-        size = len(a_out)
-        return pa.table({"key": pa.array([group["key"][0].as_py()] * size, pa.int64()), "a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64()), "more": pa.array([more] * size, pa.bool_())})
-
-    return rows.groupBy("key", "c1", "c2").applyInArrow(compare, "key bigint, a bigint, b bigint, more boolean")
+        for k in order.tolist():
+            g = int(group[i[k]])
+            if forest:
+                x, y = root((g, int(comp[i[k]]))), root((g, int(comp[j[k]])))
+                if x == y:
+                    more.add(g)
+                    continue
+                parent[max(x, y)] = min(x, y)
+            keep.append(k)
+        i, j = i[keep], j[keep]
+        beyond = np.isin(group[i], np.array(sorted(more), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(beyond)], ["key", "a", "b", "more"])
+
+    return rows.mapInArrow(run, "key bigint, a bigint, b bigint, more boolean")
+
+
+def _group_numbers(rows: pa.Table) -> np.ndarray:
+    """Numbers of the runs of equal (key, c1, c2)."""
+    change = np.zeros(rows.num_rows, bool)
+    for c in ("key", "c1", "c2"):
+        x = rows[c].to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.cumsum(change)
+
+
+def passing_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, chunk: np.ndarray, within: np.ndarray, sketches: list[bytes], plan: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (i, j) of a group, across components (and, if not ``within``, across chunks), that may link by size and
+    sketch.  Rows lie by group and then n; row i meets the rows at distance 1, 2, ... as long as their sizes allow."""
+    words = np.array([len(x) // 8 for x in sketches])
+    allowed = plan.differ(n)
+    last = np.searchsorted(group, group, side="right")
+    out_i, out_j = [], []
+    for w in np.unique(words):
+        own, double = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        place = np.full(len(n), -1)
+        place[own], place[double] = np.arange(len(own)), np.arange(len(own), len(own) + len(double))
+        flat = np.frombuffer(b"".join([sketches[k] for k in own]), U).reshape(-1, w)
+        if len(double):
+            wide = np.frombuffer(b"".join([sketches[k] for k in double]), U).reshape(-1, 2, w)
+            flat = np.concatenate([flat, wide[:, 0] ^ wide[:, 1]])
+        active, step = own, 1
+        while len(active):
+            active = active[active + step < last[active]]
+            active = active[n[active + step] * plan.num <= n[active] * plan.den]
+            j = active + step
+            test = (comp[active] != comp[j]) & (within[active] | (chunk[active] != chunk[j]))
+            i, j = active[test], j[test]
+            if len(i):
+                near = np.bitwise_count(flat[place[i]] ^ flat[place[j]]).sum(axis=1) <= allowed[i]
+                out_i.append(i[near])
+                out_j.append(j[near])
+            step += 1
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -401,15 +451,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     members = saved.keep(blocks.select("key", "node").distinct(), "members")
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     facts = kinds[0].where("n > 0").join(bounded(saved.keep(nodes, "nodes")), "doc_id", "left_semi")
-    facts = saved.keep(facts.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch")), "facts")
+    facts = saved.keep(facts.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch"), F.first("small").alias("small")), "facts")
 
     # each set meets the centre with which it shares most blocks
     near = blocks.where("hub != node").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     stars = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    passed = saved.keep(sketch_passes(stars, facts, num, den), "pairs")
+    tested = saved.keep(stars, "stars")
     saved.drop(blocks)
+    passed = saved.keep(sketch_passes(tested, facts, num, den), "pairs")
     links = verified(passed, docs, width, num, den, saved)
-    tested = passed
     comp = saved.keep(components(links, saved), "components")
     for forest in (True, False):
         now = members.join(bounded(comp), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -422,7 +472,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                 continue
             break
         tested = tested.unionByName(more)
-        links = links.unionByName(verified(more, docs, width, num, den, saved))
+        passed = saved.keep(sketch_passes(more, facts, num, den), "pairs")
+        links = links.unionByName(verified(passed, docs, width, num, den, saved))
         comp = saved.keep(components(links, saved), "components")
 
     rep_comp = comp.where("node != component").select(F.col("node").alias("rep"), "component")

@@ -91,10 +91,10 @@ def offered(length: int, ends: np.ndarray, sentences: np.ndarray, gap: int = GAP
 
 def sentence_tokens(encoder: Encoder) -> np.ndarray:
     """For each id of the vocabulary: does a sentence or line end with it?"""
-    words = encoder.slow.get_vocab()
-    ending = re.compile("[.!?…]['\"”»)]*$|\\n$|Ċ$")
-    out = np.zeros(max(words.values()) + 1, bool)
-    for word, i in words.items():
+    words = encoder.token_strings()
+    ending = re.compile("[.!?…]['\"”»)]*\\s*$|\n\\s*$")
+    out = np.zeros(max(words) + 2, bool)
+    for i, word in words.items():
         out[i] = bool(ending.search(word))
     return out
 

@@ -7,9 +7,11 @@ equal bytes, and a batch is encoded at once.  Every worker loads a vocabulary on
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +64,11 @@ class Encoder:
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.boundary = None  # its normaliser works on whole texts
             return
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.specials = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        byte_level = type(self.slow.pre_tokenizer).__name__ == "ByteLevel" and self.slow.normalizer is None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.path = path
+        self.specials = [t["content"] for t in told.get("added_tokens") or []]
+        byte_level = (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not told.get("normalizer")
         self.boundary = SAFE_BLANK if byte_level else None
         ranks = path[: -len(".json")] + ".tiktoken"
         if byte_level and os.path.exists(ranks):
@@ -77,8 +76,25 @@ class Encoder:
             import tiktoken
 
             with open(ranks, "rb") as lines:
-                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+                self.known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.known, special_tokens={})
+
+    @cached_property
+    def slow(self):
+        """The vocabulary's own library, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
+    def token_strings(self) -> dict[int, str]:
+        """The text of each id, as far as it is text of its own."""
+        if self.fast is not None:
+            return {i: t.decode("utf-8", "replace") for t, i in self.known.items()}
+        return {i: t.replace("Ċ", "\n").replace("Ġ", " ") for t, i in self.slow.get_vocab().items()}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
