@@ -1,9 +1,12 @@
 """N-gram Jaccard join: parity sketches, pigeonhole blocks for each size band, exact verification.
 
 Two sets of which the smaller has a elements and whose similarity is at least t differ in at most d = a (1 - t) / t
-elements.  Dealt over d + 1 blocks by hash, at least one block then is equal in both.  A block is written as the XOR
-of its elements' bits in a 64-bit word: its parity sketch.  Sizes fall into bands, such that linked sets lie in the
-same or in neighbouring bands; a set gives the blocks of its own band's scheme and of the next lower one's.
+elements.  Dealt over d + 1 + m blocks by hash, at least m + 1 blocks then are equal in both.  A block is written as the
+XOR of its elements' 64-bit hashes: its parity sketch.  Each set gives the keys of its d + 1 fullest blocks (in order of
+size, then sketch, then number): the last in this order of the m + 1 equal blocks has at least m blocks below it in
+either set, so both give it.  Blocks with hardly an element, which unlike sets would share, are thus not needed.
+Sizes fall into bands, such that linked sets lie in the same or in neighbouring bands; a set gives the keys of its own
+band's scheme and of the next lower one's.
 
 Sets that share a block are candidates.  Pairs are never expanded: a block's sets form a star around one of them,
 first within a scan task, then of the tasks' centres.  A candidate passes if the Hamming distance of the whole sets'
@@ -94,6 +97,7 @@ class Scheme:
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
     def blocks(self, band: int) -> int:
+        """Keys that a set gives in a band's scheme: one more than sets linked there may differ in."""
         self.band(self.low[min(band, len(self.low) - 1)])
         while len(self.low) < band + 2:
             self.band(self.low[-1])
@@ -106,15 +110,17 @@ class Scheme:
         return np.concatenate(out) if out else np.empty(0, U)
 
 
-def block_keys(set_: np.ndarray, band: int, n_blocks: int) -> np.ndarray:
-    """Parity sketches of the blocks, hashed with the band and the block's number."""
+def block_keys(set_: np.ndarray, band: int, n_keys: int) -> np.ndarray:
+    """Hashed parity sketches of the ``n_keys`` fullest of a third more blocks."""
+    n_blocks = n_keys + n_keys // 3
     block = ((set_ >> U(32)) * U(n_blocks)) >> U(32)
     start = np.searchsorted(block, np.arange(n_blocks + 1, dtype=U))
-    bits = np.append(U(1) << (set_ & U(63)), U(0))
-    sketch = np.bitwise_xor.reduceat(bits, start[:-1])
-    sketch[start[1:] == start[:-1]] = 0
+    sketch = np.bitwise_xor.reduceat(np.append(set_, U(0)), start[:-1])
+    size = np.diff(start)
+    sketch[size == 0] = 0
+    chosen = np.lexsort((sketch, size))[n_blocks - n_keys :]
     with np.errstate(over="ignore"):
-        return mixed(sketch ^ mixed(np.arange(n_blocks, dtype=U) + U((band + 1) << 40)))
+        return mixed(sketch[chosen] ^ mixed(chosen.astype(U) + U((band + 1) << 40)))
 
 
 def parity_sketch(set_: np.ndarray, each: int = 4) -> np.ndarray:
