@@ -322,10 +322,10 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: bool, saved: Saved) -> DataFrame:
+def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: bool, sketch: str, saved: Saved) -> DataFrame:
     """Pairs (key, a, b, more) in a block of ``members`` (key, node, component) across components whose sizes and
-    sketches allow a link: all, or a spanning forest of the components; ``more`` says that a block has pairs beyond it.
-    Of blocks with the same sets one is compared."""
+    sketches (of the named column) allow a link: all, or a spanning forest of the components from the nearest pairs;
+    ``more`` says that a block has pairs beyond it.  Of blocks with the same sets one is compared."""
     h = [F.xxhash64("node"), F.xxhash64(F.lit(1), "node")]
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h[0]).alias("x"), F.bit_xor(h[1]).alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     sizes = saved.keep(sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "open")
@@ -335,7 +335,7 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
     other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
     rows = rows.withColumn("other", F.explode(other))
     rows = rows.select("key", "node", "component", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
-    rows = rows.join(facts.select(F.col("doc_id").alias("node"), "n", "small"), "node")
+    rows = rows.join(facts.select(F.col("doc_id").alias("node"), "n", F.col(sketch).alias("sketch")), "node")
     rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +358,8 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
 
     def compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, n, node, comp, chunk, c1, c2 = (rows[c].to_numpy() for c in ("key", "n", "node", "component", "chunk", "c1", "c2"))
-        i, j = passing_pairs(group, n, comp, chunk, c1 == c2, rows["small"].to_pylist(), scheme(num, den))
-        order = np.argsort(group[i], kind="stable")
+        i, j, far = passing_pairs(group, n, comp, chunk, c1 == c2, rows["sketch"].to_pylist(), scheme(num, den))
+        order = np.lexsort((far / n[i], group[i]))
         keep, more = [], set()
         parent: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -393,13 +393,13 @@ def _group_numbers(rows: pa.Table) -> np.ndarray:
     return np.cumsum(change)
 
 
-def passing_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, chunk: np.ndarray, within: np.ndarray, sketches: list[bytes], plan: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def passing_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, chunk: np.ndarray, within: np.ndarray, sketches: list[bytes], plan: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row pairs (i, j) of a group, across components (and, if not ``within``, across chunks), that may link by size and
-    sketch.  Rows lie by group and then n; row i meets the rows at distance 1, 2, ... as long as their sizes allow."""
+    sketch, and the sketches' distances.  Rows lie by group and then n; row i meets the rows at distance 1, 2, ... as long as their sizes allow."""
     words = np.array([len(x) // 8 for x in sketches])
     allowed = plan.differ(n)
     last = np.searchsorted(group, group, side="right")
-    out_i, out_j = [], []
+    out_i, out_j, out_far = [], [], []
     for w in np.unique(words):
         own, double = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
         place = np.full(len(n), -1)
@@ -416,12 +416,14 @@ def passing_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, chunk: np.
             test = (comp[active] != comp[j]) & (within[active] | (chunk[active] != chunk[j]))
             i, j = active[test], j[test]
             if len(i):
-                near = np.bitwise_count(flat[place[i]] ^ flat[place[j]]).sum(axis=1) <= allowed[i]
+                far = np.bitwise_count(flat[place[i]] ^ flat[place[j]]).sum(axis=1, dtype=np.int64)
+                near = far <= allowed[i]
                 out_i.append(i[near])
                 out_j.append(j[near])
+                out_far.append(far[near])
             step += 1
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j]), np.concatenate([none, *out_far])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -467,20 +469,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     passed = saved.keep(sketch_passes(tested, facts, num, den), "pairs")
     links = verified(passed, docs, width, num, den, saved)
     comp = saved.keep(components(links, saved), "components")
-    for forest in (True, False):
+    for forest, sketch in ((True, "small"), (True, "sketch"), (False, "sketch")):
         now = members.join(bounded(comp), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        found = saved.keep(across(now, facts, num, den, forest, saved), "across")
-        if forest:
-            members = members.join(found.where("more").select("key").distinct(), "key", "left_semi")
+        found = saved.keep(across(now, facts, num, den, forest, sketch, saved), "across")
+        open_ = saved.keep(found.where("more").select("key").distinct(), "beyond")
         more = saved.keep(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not more.limit(1).count():
-            if found.where("more").limit(1).count():
-                continue
+        if more.limit(1).count():
+            tested = tested.unionByName(more)
+            passed = saved.keep(sketch_passes(more, facts, num, den), "pairs")
+            links = links.unionByName(verified(passed, docs, width, num, den, saved))
+            comp = saved.keep(components(links, saved), "components")
+        if not open_.limit(1).count():
             break
-        tested = tested.unionByName(more)
-        passed = saved.keep(sketch_passes(more, facts, num, den), "pairs")
-        links = links.unionByName(verified(passed, docs, width, num, den, saved))
-        comp = saved.keep(components(links, saved), "components")
+        members = saved.keep(members.join(bounded(open_), "key", "left_semi"), "members")
 
     rep_comp = comp.where("node != component").select(F.col("node").alias("rep"), "component")
     of_copy = copies.join(rep_comp, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component_id"))
