@@ -377,6 +377,8 @@ def across(members: DataFrame, facts: DataFrame, num: int, den: int, forest: boo
                     continue
                 parent[max(x, y)] = min(x, y)
             keep.append(k)
+        if not forest:  # one row for a pair, whatever blocks it shares
+            keep = np.unique(np.stack([node[i], node[j]], axis=1), axis=0, return_index=True)[1] if len(i) else keep
         i, j = i[keep], j[keep]
         beyond = np.isin(group[i], np.array(sorted(more), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(beyond)], ["key", "a", "b", "more"])
