@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orrery.plans import relational, retrieval  # noqa: F401  they register
+from orrery.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "sql_q1_pricing_summary"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
