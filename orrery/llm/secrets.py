@@ -29,6 +29,8 @@ PLACES = len(ALPHABET) + 1
 MIN_RATIO = 12.0
 #: Ordinary identifiers are learned from about so many documents, chosen by a hash of the id; random strings from so many.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
+#: Counts added to characters and to pairs.
+SMOOTH_SINGLE, SMOOTH_PAIR = 0.05, 2.0
 
 
 def places(token: Column) -> Column:
@@ -55,11 +57,18 @@ def train(samples: DataFrame) -> list[float]:
     at = counted.select("random", "n", F.concat(F.array(F.lit(0)), places(F.col("token"))).alias("p"))
     pairs = at.select("random", "n", F.explode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))).alias("x"))
     rows = pairs.groupBy("random", F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.sum("n").alias("n")).collect()
-    count = [[[0.5] * PLACES for _ in range(PLACES)] for _ in range(2)]
+    pair = [[[0.0] * PLACES for _ in range(PLACES)] for _ in range(2)]
     for r in rows:
-        count[r["random"]][r["a"]][r["b"]] += r["n"]
-    total = [[sum(row) for row in c] for c in count]
-    return [math.log(count[1][a][b] / total[1][a]) - math.log(count[0][a][b] / total[0][a]) for a in range(PLACES) for b in range(PLACES)]
+        pair[r["random"]][r["a"]][r["b"]] += r["n"]
+
+    def chance(counts: list[list[float]]) -> list[list[float]]:
+        """P(b | a), smoothed by P(b), which is smoothed by an equal share."""
+        single = [sum(counts[a][b] for a in range(PLACES)) + SMOOTH_SINGLE for b in range(PLACES)]
+        total = sum(single)
+        return [[(n + SMOOTH_PAIR * single[b] / total) / (sum(row) + SMOOTH_PAIR) for b, n in enumerate(row)] for row in counts]
+
+    ordinary, random = map(chance, pair)
+    return [math.log(random[a][b]) - math.log(ordinary[a][b]) for a in range(PLACES) for b in range(PLACES)]
 
 
 def ratio(token: Column, table_: Column) -> Column:
