@@ -11,7 +11,7 @@ MAX_RANK = 65535
 
 
 def rrf_term(k: float, rank: Column) -> Column:
-    return 1.0 / (k + F.least(rank, F.lit(MAX_RANK)) + 1.0)
+    return F.when(rank.isNotNull(), 1.0 / (k + F.least(rank, F.lit(MAX_RANK)) + 1.0))
 
 
 def ranked(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
