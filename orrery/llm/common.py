@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +58,22 @@ class Saved:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it by the same path as the driver's."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(sc, "_orrery_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="orrery-")) / "orrery.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "orrery").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._orrery_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
