@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import relational, retrieval  # noqa: F401  they register
+from orrery.plans import more, relational, retrieval  # noqa: F401  they register
 from orrery.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "sql_q1_pricing_summary"

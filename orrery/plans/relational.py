@@ -44,7 +44,7 @@ passed_to_spark("agg_cube", "SELECT p_brand, p_type, count(*) AS n FROM {part} G
 passed_to_spark("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_returnflag", None, "lineitem")
 passed_to_spark("agg_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12", None, "orders")
 passed_to_spark("window_frames", """SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS run3,
-    rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nxt FROM {orders}""", None, "orders")
+    CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INT) AS r, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nxt FROM {orders}""", None, "orders")
 passed_to_spark("set_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}", None, "customer", "supplier")
 passed_to_spark("set_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey AS k FROM {customer} WHERE c_acctbal < 0", None, "orders", "customer")
 passed_to_spark("set_union", "SELECT n_name AS name FROM {nation} UNION SELECT r_name AS name FROM {region}", None, "nation", "region")
