@@ -348,7 +348,7 @@ def test_html_extraction(spark):
     text = "Title <{i}> First para bold {i}. Second one line {i}. Third{i}"
     pages, want = [], []
     for i in range(12):
-        main = f"<article>{body.format(i=i)}<span>Share this</span><section class=comments><p>Nice!</p></section></article>" if i % 3 == 0 else f"<main>{body.format(i=i)}</main>" if i % 3 == 1 else f"<div class=content>{body.format(i=i)}</div>"
+        main = f"<article>{body.format(i=i)}</p><span>Share this</span><section class=comments><p>Nice!</p></section></article>" if i % 3 == 0 else f"<main>{body.format(i=i)}</main>" if i % 3 == 1 else f"<div class=content>{body.format(i=i)}</div>"
         host = ["one.example", "two.example", "three.example"][i % 3]
         pages.append((i, f"http://{host}/{i}", PAGE.format(main=main)))
         want.append((i, text.format(i=i)))
