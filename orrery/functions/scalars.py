@@ -13,6 +13,11 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(text, "[^A-Za-z0-9_-]+"), lambda t: t != "")
 
 
+def words(text: Column) -> Column:
+    """Parts between white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+
+
 def code_tokens(text: Column) -> Column:
     """Lower-cased parts of identifiers, split at case and digit changes; parts of 80 bytes and more are left out."""
     parts = F.regexp_extract_all(text, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
@@ -145,3 +150,29 @@ def toward_half(q: Column, hours: Column, decay: float) -> Column:
 
 def utility(success: Column, n: Column, q: Column) -> Column:
     return (success + 1) / (n + 1) * q
+
+
+#: Patterns of secrets with their names, in order.
+SECRET_PATTERNS = (
+    ("AWS Access Key", r"AKIA[0-9A-Z]{16}"),
+    ("Stripe Secret Key", r"(?i)sk_(test|live)_[0-9a-zA-Z]{24}"),
+    ("Slack Token", r"xox[baprs]-([0-9a-zA-Z\-]{10,48})"),
+    ("PEM Private Key", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----"),
+    ("Generic High-Entropy Secret", r"(?i)(api_key|access_token|secret)\s*[:=]\s*[\"'][A-Za-z0-9_=-]{16,}[\"']"),
+)
+
+
+def secret_labels(text: Column) -> Column:
+    """Names of the patterns that occur in a text."""
+    return F.filter(F.array(*[F.when(text.rlike(p), name) for name, p in SECRET_PATTERNS]), lambda x: x.isNotNull())
+
+
+def tag_value(text: Column, tag: str) -> Column:
+    """What lies between the first ``<tag>`` and the next ``</tag>``, trimmed; null without both."""
+    body = F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    return F.when(text.rlike(f"(?s)<{tag}>.*?</{tag}>"), F.btrim(body, F.lit(" \t\n\r")))
+
+
+def like_contains(text: Column, needle: str) -> Column:
+    """Containment with the wildcards of LIKE taken literally."""
+    return F.contains(text, F.lit(needle))

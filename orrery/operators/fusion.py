@@ -54,3 +54,43 @@ def quantum(semantic: Column, topology: Column, alpha: float) -> Column:
 def confidence(score: Column, gap: Column) -> Column:
     """high from 0.75 on, or from 0.5 on with a clear lead; medium from 0.5 on; else low."""
     return F.when((score >= 0.75) | ((score >= 0.5) & (gap >= 0.15)), "high").when(score >= 0.5, "medium").otherwise("low")
+
+
+#: Thresholds, and the base, scale and cap of the calibrated score of each band.
+BANDS = {"high": (0.75, 0.90, 0.05, 0.99), "medium": (0.50, 0.60, 0.30, 0.89)}
+LOW_FLOOR = 0.10
+CLEAR_LEAD = 0.15
+SURE_KEYWORD, SURE_VECTOR = 0.2, 0.55
+
+
+def calibrated(score: Column, second: Column, vector: Column, keyword: Column) -> tuple[Column, Column]:
+    """(band, final score): a medium score becomes high by a clear lead over the next, a sure vector or a sure keyword score."""
+    v, k = F.coalesce(vector, F.lit(0.0)), F.coalesce(keyword, F.lit(0.0))
+    high_from, hb, hs, hc = BANDS["high"]
+    medium_from, mb, ms, mc = BANDS["medium"]
+    lead = F.coalesce(score - second >= CLEAR_LEAD, F.lit(False))
+    sure = lead | (v >= SURE_VECTOR) | (k >= SURE_KEYWORD) | ((k > 0) & (v < 0.5) & (k > v))
+    high = (score >= high_from) | ((score >= medium_from) & sure)
+    medium = score >= medium_from
+    final = F.when(high, F.least(hb + score * hs, F.lit(hc))).when(medium, F.least(mb + score * ms, F.lit(mc))).otherwise(F.greatest(score, F.lit(LOW_FLOOR)))
+    return F.when(high, "high").when(medium, "medium").otherwise("low"), F.least(F.greatest(final, F.lit(0.0)), F.lit(1.0))
+
+
+def triple_rrf(semantic: DataFrame, keyword: DataFrame, entity: DataFrame, key: str, k: float) -> DataFrame:
+    """(key, rrf, boosted): two ranked lists (key, rank) fused, and a third of boosted scores (key, rrf, boosted).
+
+    A third score moves ``rrf`` to the midpoint, while ``boosted``, by which results are sorted, keeps the sum of the first two.
+    """
+    s, w = semantic.select(key, F.col("rank").alias("s_rank")), keyword.select(key, F.col("rank").alias("k_rank"))
+    both = s.join(w, key, "full_outer").select(key, (F.coalesce(rrf_term(k, F.col("s_rank")), F.lit(0.0)) + F.coalesce(rrf_term(k, F.col("k_rank")), F.lit(0.0))).alias("sum"))
+    e = entity.select(key, F.col("rrf").alias("e_rrf"), F.col("boosted").alias("e_boosted"))
+    rrf_ = F.when(F.col("sum").isNull(), F.col("e_rrf")).when(F.col("e_boosted").isNull(), F.col("sum")).otherwise((F.col("sum") + F.col("e_boosted")) / 2)
+    return both.join(e, key, "full_outer").select(key, rrf_.alias("rrf"), F.coalesce("sum", "e_boosted").alias("boosted"))
+
+
+def skeleton_rerank(hits: DataFrame, anchors: DataFrame, key: str, boost: float = 0.1, penalty: float = 0.5, only_valid: bool = False) -> DataFrame:
+    """Adds is_valid (the anchor exists) and reranked: score + boost up to 1, or score - penalty down to 0."""
+    known = anchors.select(key).distinct().withColumn("_known", F.lit(True))
+    out = hits.join(known, key, "left").withColumn("is_valid", F.coalesce("_known", F.lit(False))).drop("_known")
+    out = out.withColumn("reranked", F.when(F.col("is_valid"), F.least(F.col("score") + boost, F.lit(1.0))).otherwise(F.greatest(F.col("score") - penalty, F.lit(0.0))))
+    return out.where("is_valid") if only_valid else out

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def _cut(df: DataFrame, spark_dir_set: bool) -> DataFrame:
-    return df.checkpoint() if spark_dir_set else df
-
-
 def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both") -> DataFrame:
     """(node, distance) of all nodes within ``max_distance`` steps of a seed (node); the first visit counts."""
     e = edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if direction == "in" else undirected(edges)
-    can_cut = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
     for hop in range(1, max_distance + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)), can_cut)
+        front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)), "hop")
         seen = seen.unionByName(front)
     return seen
 
@@ -42,13 +42,12 @@ def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 5, alpha: flo
     s = seeds.select("node").distinct().join(nodes, "node", "left_semi")
     share = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("m")))).select("node", (1.0 / F.col("m")).alias("restart"))  # one row
     base = nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart"))
-    can_cut = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     rank = base.select("node", F.col("restart").alias("rank"))
     weighted = e.join(out, "src")
     for _ in range(iterations):
         flow = weighted.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         rank = base.join(flow, F.col("node") == F.col("dst"), "left").select("node", ((1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = _cut(rank, can_cut)
+        rank = cut(rank, "rank")
     return rank
 
 
@@ -62,3 +61,120 @@ def collapse(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 def merge_entities(entities: DataFrame, key: str, order: str) -> DataFrame:
     """One entity for a key: the first by ``order``, the union of names, the highest confidence."""
     return entities.groupBy(key).agg(F.min_by("name", order).alias("name"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("aliases"), F.max("confidence").alias("confidence"))
+
+
+def weighted_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 5) -> DataFrame:
+    """(node, rank) from nodes (node, saliency), edges (src, dst, weight) and seeds (node, seed); here alpha is the teleport weight.
+
+    Mass follows edges by weight; teleport is min(1, seed + saliency / 10).
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    share = cut(edges.join(out, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "share")
+    base = nodes.join(seeds, "node", "left").select("node", F.coalesce("seed", F.lit(0.0)).alias("rank"), F.least(F.coalesce("seed", F.lit(0.0)) + F.coalesce("saliency", F.lit(0.0)) / 10, F.lit(1.0)).alias("teleport"))
+    base = cut(base, "teleport")
+    rank = base.select("node", "rank")
+    for _ in range(iterations):
+        flow = share.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
+        rank = cut(base.join(flow, F.col("node") == F.col("dst"), "left").select("node", ((1 - alpha) * F.coalesce("got", F.lit(0.0)) + alpha * F.col("teleport")).alias("rank")), "rank")
+    return rank
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each component, by hops of minimum labels and label jumps."""
+    e = cut(undirected(edges), "edges")
+    now = cut(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    while True:
+        seen = now.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("seen"))
+        step = now.join(seen, "node").select("node", F.least("label", "seen").alias("near"), F.col("label").alias("was"))
+        jump = now.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        nxt = cut(step.join(jump, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "was"), "labels")
+        if nxt.where("label != was").isEmpty():
+            return nxt.select("node", "label")
+        now = nxt.select("node", "label")
+
+
+#: Sizes and least density of a dense cluster.
+CLUSTER_SIZE = (3, 15)
+LEAST_DENSITY = 0.4
+
+
+def _density(members: set, out: dict) -> float:
+    n = len(members)
+    return sum(1 for m in members for x in out.get(m, ()) if x in members) / (n * (n - 1)) if n > 1 else 1.0
+
+
+def grow_clusters(score: dict, out: dict) -> list[tuple[list, float, float]]:
+    """(members, average score, density): greedy growth from the highest scores; ties go to the smaller name.
+
+    Members of a grown cluster are used up even if it is too thin to keep.
+    """
+    least, most = CLUSTER_SIZE
+    near: dict = {}
+    for a, ends in out.items():
+        for b in ends:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    used: set = set()
+    found = []
+    for seed in sorted(score, key=lambda n: (-score[n], n)):
+        if seed in used:
+            continue
+        members = {seed}
+        while len(members) < most:
+            around = {x for m in members for x in near.get(m, ()) if x in score and x not in used and x not in members}
+            ranked = heapq.nsmallest(1, ((-_density(members | {c}, out), c) for c in around))
+            if not ranked or -ranked[0][0] < LEAST_DENSITY:
+                break
+            members.add(ranked[0][1])
+        if len(members) >= least:
+            used |= members
+            found.append((sorted(members), sum(score[m] for m in members) / len(members), _density(members, out)))
+    return [f for f in found if f[2] >= LEAST_DENSITY]
+
+
+def dense_clusters(nodes: DataFrame, edges: DataFrame, min_score: float, min_activations: int = 3) -> DataFrame:
+    """(cluster, members, avg_score, density) among nodes (node, score, activations) of high score.
+
+    Growth depends on order, so the high nodes of one component are one group; components are found by joins.
+    Choose ``min_score`` so that a component of high nodes fits into a task.
+    """
+    high = cut(nodes.where((F.col("score") >= min_score) & (F.col("activations") >= min_activations)).select("node", "score"), "high")
+    inner = edges.select("src", "dst").where("src != dst").distinct().join(high.select(F.col("node").alias("src")), "src", "left_semi").join(high.select(F.col("node").alias("dst")), "dst", "left_semi")
+    inner = cut(inner, "inner")
+    parts = labels(inner)
+    rows = high.join(parts, "node").select("label", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "score")
+    rows = rows.unionByName(inner.join(parts, F.col("src") == F.col("node")).select("label", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0.0).alias("score")))
+
+    def grow(df: pd.DataFrame) -> pd.DataFrame:
+        is_node = df["b"].isna()
+        score = dict(zip(df["a"][is_node], df["score"][is_node], strict=True))
+        out: dict = {}
+        for a, b in zip(df["a"][~is_node], df["b"][~is_node], strict=True):
+            out.setdefault(a, set()).add(b)
+        got = grow_clusters(score, out)
+        return pd.DataFrame({"cluster": [m[0] for m, _, _ in got], "members": [m for m, _, _ in got], "avg_score": [s for _, s, _ in got], "density": [d for _, _, d in got]})
+
+    return rows.groupBy("label").applyInPandas(grow, "cluster string, members array<string>, avg_score double, density double")
+
+
+def pair_priority(rank: tuple, tags: tuple, saliency: tuple):
+    """Priority of a suggested link: rank and shared tags, raised by saliency, within 0 and 1; pairs hold left and right columns."""
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    least = F.least(F.size(tags[0]), F.size(tags[1]))
+    shared = F.when(least > 0, unit(F.size(F.array_intersect(*tags)) / least)).otherwise(0.0)
+    factor = F.least(F.greatest(1 + (saliency[0] + saliency[1]) / 2, F.lit(1.0)), F.lit(2.0))
+    return unit(unit(unit((rank[0] + rank[1]) / 2) * 0.7 + shared * 0.3) * factor)
+
+
+def suggest_links(docs: DataFrame, edges: DataFrame, candidates: int, limit: int) -> DataFrame:
+    """(left_id, right_id, priority): pairs of the ``candidates`` best docs (id, rank, tags, saliency) without an edge.
+
+    The candidate list is the feature's own top-k, so the self-join is bounded by its square.
+    """
+    best = docs.orderBy(F.desc("rank"), "id").limit(candidates)
+    a = best.select(*[F.col(c).alias(f"left_{c}") for c in ("id", "rank", "tags", "saliency")])
+    b = best.select(*[F.col(c).alias(f"right_{c}") for c in ("id", "rank", "tags", "saliency")])
+    pairs = a.join(F.broadcast(b), F.col("left_id") < F.col("right_id"))
+    known = undirected(edges).select(F.col("src").alias("left_id"), F.col("dst").alias("right_id"))
+    both = [(F.col(f"left_{c}"), F.col(f"right_{c}")) for c in ("rank", "tags", "saliency")]
+    return pairs.join(known, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", pair_priority(*both).alias("priority")).orderBy(F.desc("priority"), "left_id", "right_id").limit(limit)

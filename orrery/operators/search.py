@@ -126,3 +126,22 @@ def graphql(df: DataFrame, select: list[str], where: dict[str, Any] | None = Non
     if limit is not None:
         out = out.limit(limit)
     return out.select(*select)
+
+
+def autocomplete(symbols: DataFrame, prefix: str, limit: int) -> DataFrame:
+    """(suggestion, kind) from (text, language, node_kind): texts that start with a prefix or hold an identifier that does, each once."""
+    p = prefix.lower()
+    parts = F.split(F.lower("text"), r"[^a-z0-9_]")
+    kind = F.when(F.coalesce(F.col("language") != "markdown", F.lit(True)), "symbol").when(F.col("node_kind").isin("property", "observation"), "metadata").otherwise("heading")
+    hits = symbols.where(F.lower("text").startswith(p) | F.exists(parts, lambda t: t.startswith(p))).select(F.col("text").alias("suggestion"), kind.alias("kind"))
+    rank = F.when(F.col("kind") == "symbol", 0).when(F.col("kind") == "heading", 1).otherwise(2)
+    return hits.distinct().orderBy(rank, "suggestion").limit(limit)
+
+
+def best_lines(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, line_number, score): the best line of each text, equal case first, then the first line."""
+    q = query.lower()
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line")).where(F.contains(F.lower("line"), F.lit(q)))
+    s = F.when(F.contains("line", F.lit(query)), 0.73).otherwise(0.72)
+    best = lines.groupBy(key).agg(F.max(F.struct(s.alias("score"), (-F.col("i")).alias("i"))).alias("b"))
+    return best.select(key, (1 - F.col("b.i")).alias("line_number"), F.col("b.score").alias("score"))

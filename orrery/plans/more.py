@@ -52,12 +52,6 @@ def state_decay_and_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(q, 10).alias("q"), F.round(sc.utility(i % 7, i % 11, F.lit(0.5)), 6).alias("utility"))
 
 
-@query("SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda p, d: 0.85 * p + 0.15 * d, 0.0::DOUBLE), 4) AS bias FROM events GROUP BY user_id")
-def state_feedback_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return e.select("user_id", F.round(sc.ewma(F.col("v")), 4).alias("bias"))
-
-
 @query("SELECT conv_id, turn, CASE WHEN r > 2 AND role <> 'user' AND length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS r FROM conversations)")
 def session_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two turns stay whole; older output is cut to a snippet."""

@@ -170,12 +170,6 @@ def state_saliency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.round(sc.saliency(F.lit(5.0), F.col("days"), F.col("n")), 6).alias("saliency"))
 
 
-@query("WITH o AS (SELECT user_id, list(least(value / 100, 1.0) ORDER BY event_id) AS r FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(r, lambda q, x: least(greatest(q + 0.2 * (x - q), 0.0), 1.0), 0.5), 6) AS q FROM o")
-def state_q_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: F.least(x["value"] / 100, F.lit(1.0))).alias("r"))
-    return e.select("user_id", F.round(sc.q_update(F.col("r")), 6).alias("q"))
-
-
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS r FROM conversations) WHERE r <= 2")
 def session_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role")
