@@ -105,3 +105,35 @@ def catalog_tables(spark: SparkSession) -> DataFrame:
 def catalog_columns(spark: SparkSession, names: list[str]) -> DataFrame:
     rows = [(n, c.name, c.dataType, i, c.nullable) for n in names for i, c in enumerate(spark.catalog.listColumns(n), 1)]
     return spark.createDataFrame(rows, "sql_table_name string, column_name string, data_type string, ordinal_position int, is_nullable boolean")
+
+
+def markdown_files(spark: SparkSession, root: str, surfaces: tuple[str, ...] = ("blueprint", "plan")) -> DataFrame:
+    """(surface, path, note) of the markdown files below a folder's work surfaces; paths are relative to it."""
+    base = root.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load([f"{base}/{s}" for s in surfaces])
+    tail = F.element_at(F.split("path", rf"\Q{base}\E/", 2), 2)
+    return raw.select(F.substring_index(tail, "/", 1).alias("surface"), tail.alias("path"), F.decode("content", "UTF-8").alias("note"))
+
+
+def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, bytes, digest) of the files below a folder."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def save_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """A knowledge graph as two tables; relations keep only known ends."""
+    known = entities.select("name")
+    kept = relations.join(known.select(F.col("name").alias("src")), "src", "left_semi").join(known.select(F.col("name").alias("dst")), "dst", "left_semi").select(*relations.columns)
+    entities.write.mode("overwrite").parquet(f"{path}/entities")
+    kept.write.mode("overwrite").parquet(f"{path}/relations")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relations")
+
+
+def snapshot_at(log: DataFrame, key: str, order: str, until: int) -> DataFrame:
+    """State of a log of saved and dropped (payload null) snapshots up to a point."""
+    last = log.where(F.col(order) <= until).groupBy(key).agg(F.max_by("payload", order).alias("payload"))
+    return last.where("payload IS NOT NULL")
