@@ -92,7 +92,7 @@ def tool_relevance(entities: DataFrame, relations: DataFrame, terms: list[str],
     tools = entities.where("entity_type = 'Tool'").select(F.col("name").alias("node"))
     ends = relations.select("src", "dst", F.when(F.col("kind") == "Contains", CONTAINS_BONUS).otherwise(0.0).alias("bonus"))
     back = relations.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("bonus"))
-    edges = ends.unionByName(back).groupBy("src", "dst").agg(F.max("bonus").alias("bonus"))
+    edges = cut(ends.unionByName(back).groupBy("src", "dst").agg(F.max("bonus").alias("bonus")), "relations")
     front = relevance_seeds(entities, terms).select(F.col("node").alias("seed"), "node", "score")
     seen, gains = front.select("seed", "node"), []
     for hop in range(hops):

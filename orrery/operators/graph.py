@@ -18,6 +18,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both") -> DataFrame:
     """(node, distance) of all nodes within ``max_distance`` steps of a seed (node); the first visit counts."""
     e = edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if direction == "in" else undirected(edges)
+    if max_distance > 1:
+        e = cut(e, "edges")
     seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
     for hop in range(1, max_distance + 1):
@@ -36,14 +38,14 @@ def degree_rank(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 5, alpha: float = 0.85) -> DataFrame:
     """Personalized PageRank (node, rank) on the undirected graph; mass without neighbours returns to the seeds."""
-    e = undirected(edges)
-    out = e.groupBy("src").agg(F.count("*").alias("n"))
+    e = cut(undirected(edges), "edges")
+    out = cut(e.groupBy("src").agg(F.count("*").alias("n")), "degrees")
     nodes = out.select(F.col("src").alias("node"))
     s = seeds.select("node").distinct().join(nodes, "node", "left_semi")
     share = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("m")))).select("node", (1.0 / F.col("m")).alias("restart"))  # one row
-    base = nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart"))
+    base = cut(nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")), "restart")
     rank = base.select("node", F.col("restart").alias("rank"))
-    weighted = e.join(out, "src")
+    weighted = cut(e.join(out, "src"), "weighted")
     for _ in range(iterations):
         flow = weighted.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         rank = base.join(flow, F.col("node") == F.col("dst"), "left").select("node", ((1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import cut
+
 
 
 def _then(f: Column, g: Column) -> Column:
@@ -68,7 +70,7 @@ def neighbour_weights(edges: DataFrame, per_direction: int) -> DataFrame:
 
 def coactivation(edges: DataFrame, touched: DataFrame, per_direction: int, hops: int = 2, hop_decay: float = 0.5, budget: int = 50) -> DataFrame:
     """(origin, node, hop, weight) that touches of ``touched`` (node) spread to; the budget is used hop by hop, by weight and name."""
-    near = neighbour_weights(edges, per_direction)
+    near = cut(neighbour_weights(edges, per_direction), "neighbours")
     front = touched.select(F.col("node").alias("origin"), "node", F.lit(1.0).alias("weight")).distinct()
     seen, out = front.select("origin", "node", F.lit(0).alias("hop"), "weight"), None
     for hop in range(1, min(max(hops, 1), 2) + 1):

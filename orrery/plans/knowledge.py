@@ -114,13 +114,13 @@ def projection_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT o_orderkey, o_totalprice / 500000 AS s, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) / 500000 AS nxt, (o_orderkey % 10) / 10.0::DOUBLE AS v, (o_orderkey % 7) / 20.0::DOUBLE AS k FROM orders),
     h AS (SELECT *, s >= 0.75 OR (s >= 0.5 AND (coalesce(s - nxt >= 0.15, false) OR v >= 0.55 OR k >= 0.2 OR (k > 0 AND v < 0.5 AND k > v))) AS high FROM s)
-    SELECT o_orderkey, CASE WHEN high THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS band, round(least(CASE WHEN high THEN least(0.9 + s * 0.05, 0.99) WHEN s >= 0.5 THEN least(0.6 + s * 0.3, 0.89) ELSE greatest(s, 0.1) END, 1), 6) AS final FROM h""")
+    SELECT o_orderkey, CASE WHEN high THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS band, round(least(CASE WHEN high THEN least(0.9 + s * 0.05, 0.99) WHEN s >= 0.5 THEN least(0.6 + s * 0.3, 0.89) ELSE greatest(s, 0.1) END, 1), 10) AS final FROM h""")
 def fusion_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     key = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 500000).alias("s"), (F.lead("o_totalprice").over(w) / 500000).alias("nxt"), (key % 10 / 10.0).alias("v"), (key % 7 / 20.0).alias("k"))
     band, final = fusion.calibrated(F.col("s"), F.col("nxt"), F.col("v"), F.col("k"))
-    return o.select("o_orderkey", band.alias("band"), F.round(final, 6).alias("final"))
+    return o.select("o_orderkey", band.alias("band"), F.round(final, 10).alias("final"))
 
 
 @query("""WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS r FROM part ORDER BY r LIMIT 60), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r FROM part ORDER BY r LIMIT 60), c AS (SELECT p_partkey, 0.05::DOUBLE AS rrf, 0.08::DOUBLE AS boosted FROM part WHERE p_brand = 'Brand#2'),

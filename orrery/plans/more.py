@@ -26,9 +26,9 @@ def fusion_entity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(fusion.entity_boost(F.col("p_retailprice") / 10000, n, F.lit(0.8)), 10).alias("boosted"))
 
 
-@query("SELECT o_orderkey, round(0.6::DOUBLE * least(o_totalprice / 300000, 1) + (1 - 0.6::DOUBLE) * least(o_custkey / 1000.0::DOUBLE, 1), 6) AS score FROM orders")
+@query("SELECT o_orderkey, round(0.6::DOUBLE * least(o_totalprice / 300000, 1) + (1 - 0.6::DOUBLE) * least(o_custkey / 1000.0::DOUBLE, 1), 10) AS score FROM orders")
 def fusion_quantum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(fusion.quantum(F.col("o_totalprice") / 300000, F.col("o_custkey") / 1000.0, 0.6), 6).alias("score"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(fusion.quantum(F.col("o_totalprice") / 300000, F.col("o_custkey") / 1000.0, 0.6), 10).alias("score"))
 
 
 @query("SELECT item_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE 1 + greatest(len(w) - 4 - 1, 0) // 16 END AS n_chunks FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)")

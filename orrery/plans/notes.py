@@ -61,11 +61,11 @@ def search_section_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT o_orderkey AS doc_id, o_totalprice / 1000000 AS score FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT l_orderkey AS doc_id, max(l_discount) AS boost FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
-    SELECT doc_id, round(CASE WHEN score IS NULL THEN 0.25 + 0.5 * boost ELSE score + (1 - score) * coalesce(boost, 0) END, 6) AS score, score IS NULL AS injected FROM h FULL JOIN b USING (doc_id)""")
+    SELECT doc_id, round(CASE WHEN score IS NULL THEN 0.25 + 0.5 * boost ELSE score + (1 - score) * coalesce(boost, 0) END, 12) AS score, score IS NULL AS injected FROM h FULL JOIN b USING (doc_id)""")
 def search_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 1000000).alias("score"))
     links = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("doc_id"), F.col("l_discount").alias("boost"))
-    return linkgraph.with_provisional(hits, links).withColumn("score", F.round("score", 6))
+    return linkgraph.with_provisional(hits, links).withColumn("score", F.round("score", 12))
 
 
 @query("""WITH h AS (SELECT n_nationkey AS stem, n_nationkey / 25.0::DOUBLE AS score FROM nation), e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b FROM customer WHERE c_acctbal > 9000), t AS (SELECT n_nationkey AS stem, 'r' || n_regionkey AS tag FROM nation UNION SELECT n_nationkey, substr(n_name, 1, 1) FROM nation)

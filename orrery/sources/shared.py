@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,16 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it by the same path as the driver's."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(context, "_orrery_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="orrery-")) / "orrery.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "orrery").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+    context._orrery_shipped = True
