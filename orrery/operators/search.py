@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -58,11 +59,15 @@ def roll_up(sections: DataFrame, doc: str, score: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold a term.  Terms are counted row by row, so no token table is shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9]+"), lambda t: t != "")
-    d = docs.select(key, words.alias("w"))
-    counts = [F.size(F.filter("w", (lambda t: lambda x: x == t)(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    d = d.select(key, F.size("w").alias("dl"), *counts)
+    """(key, score) of documents that hold a term, a run of a-z and 0-9.  Terms are counted row by row, so no token table is shuffled."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def count(term: str) -> Column:
+        if not re.fullmatch("[a-z0-9]+", term):
+            return F.lit(0)
+        return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))).otherwise(0)
+
+    d = docs.select(key, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     facts = d.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(facts))  # one row
 
