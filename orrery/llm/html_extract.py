@@ -8,8 +8,9 @@ them, occurs on a fair share of the host's pages, and nests: the parent of each
 no smaller support.  The valid classes are the host's template, their texts its fixed wording.
 
 What the template leaves are slots.  A page's slots inside its main region are extracted, but for those whose
-element is marked as navigation, advert, form, comment and the like; wording of the template is left out where it is
-not a paragraph of the article.
+element is marked as navigation, advert, form, comment and the like.  Wording of the template is left out.  In
+paragraphs, headings and other prose it is left out if it is on most of the host's pages and fills its element; prose
+that mixes it with slots stays whole, as does a page whose main region has nothing else.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from orrery.llm.url_filter import host_and_path
 
 #: A class counts for the template from this share of a host's pages and from so many pages on.
 MIN_SHARE, MIN_PAGES = 0.2, 3
+#: Prose counts for the template from this share on, so that a few near copies on a host are no template.
+PROSE_SHARE = 0.5
 #: Templates up to so many bytes are broadcast; more meet the pages in a shuffle join.
 BROADCAST_BYTES = 32 << 20
 
@@ -59,10 +62,11 @@ _OUT_WORDS = frozenset(
 
 
 class Element:
-    __slots__ = ("name", "path", "out", "link", "parent", "number", "main", "marked")
+    __slots__ = ("name", "path", "out", "link", "parent", "number", "main", "marked", "prose")
 
     def __init__(self, name: str, path: str, out: bool, link: bool, parent: Element | None, number: int, main: bool, marked: str) -> None:
         self.name, self.path, self.out, self.link, self.parent, self.number, self.main, self.marked = name, path, out, link, parent, number, main, marked
+        self.prose: int = number if name in _PROSE else parent.prose if parent else 0  # the innermost prose element around
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -86,7 +90,7 @@ def _is_out(name: str, attrs: dict[str, str], inside_main: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], Counter]:
-    """Runs of text with their elements, in page order, '' for a break between blocks; and how often each tag path occurs."""
+    """Runs of text with their elements, in page order, '' for a break between blocks; and how often each (tag path, path of its parent) occurs."""
     root = Element("", "", False, False, None, 0, False, "")
     stack, runs, tags, at, number = [root], [], Counter(), 0, 0
     for m in _TAG.finditer(page):
@@ -132,7 +136,7 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], Counter]:
         number += 1
         inside = top.main
         e = Element(name, f"{top.path}/{name}{'.' + re.sub(r'[0-9]+', '0', marked) if marked else ''}"[-4000:], top.out or _is_out(name, attrs, inside and not (name == "article" and not _within(top, "article"))), top.link or name == "a", top, number, inside or main, "main" if main else "")
-        tags[e.path] += 1
+        tags[e.path, top.path] += 1
         stack.append(e)
     if at < len(page):
         runs.append((stack[-1], page[at:]))
@@ -197,28 +201,28 @@ def extract(page: str | None, fixed: set[int] | frozenset[int] = frozenset()) ->
             region = most
     elif scores:
         region = max(scores, key=lambda k: (scores[k], -k))
-    parts: list[str] = []
-    prose = None
+    inside: list[tuple[Element | None, str, bool]] = []  # runs of the region; whether the template has them
+    open_prose: set[int] = set()  # prose elements with a slot
     for e, t in runs:
         if not t:
-            parts.append(" ")
+            inside.append((None, " ", False))
             continue
         if e.out:
             continue
         x = e
-        inside = region is None
-        prose = False
-        while x is not None:
-            inside = inside or x.number == region
-            prose = prose or x.name in _PROSE
+        while region is not None and x is not None and x.number != region:
             x = x.parent
-        if inside and (prose or not fixed or token_of(e.path, " ".join(t.split())) not in fixed):
-            parts.append(t)
-    return " ".join("".join(parts).split())
+        if x is not None:
+            known = bool(fixed) and token_of(e.path, " ".join(t.split())) in fixed
+            inside.append((e, t, known))
+            if not known and not t.isspace():
+                open_prose.add(e.prose)
+    text = " ".join("".join(t for e, t, known in inside if not known or (e.prose and e.prose in open_prose)).split())
+    return text or " ".join("".join(t for e, t, known in inside if not known or e.prose).split())
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, parent, is_text, n) of each distinct token of each page."""
+    """(host, page, token, parent, is_text, prose, n) of each distinct token of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,29 +231,29 @@ def tokens(pages: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for host, page, page_html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     runs, tags = text_runs(page_html)
-                    out += [(host, page, token_of(p), token_of(p.rpartition("/")[0]) if p.count("/") > 1 else None, False, n) for p, n in tags.items()]
-                    texts = Counter((e.path, w) for e, t in runs if t and (w := " ".join(t.split())))
-                    out += [(host, page, token_of(p, w), token_of(p), True, n) for (p, w), n in texts.items()]
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "token", "parent", "is_text", "n"])
+                    out += [(host, page, token_of(p), token_of(up) if up else None, False, False, n) for (p, up), n in tags.items()]
+                    texts = Counter((e.path, e.prose > 0, w) for e, t in runs if t and (w := " ".join(t.split())))
+                    out += [(host, page, token_of(p, w), token_of(p), True, prose, n) for (p, prose, w), n in texts.items()]
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "token", "parent", "is_text", "prose", "n"])
 
-    return pages.where("html IS NOT NULL").select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, "host string, page bigint, token bigint, parent bigint, is_text boolean, n int")
+    return pages.where("html IS NOT NULL").select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, "host string, page bigint, token bigint, parent bigint, is_text boolean, prose boolean, n int")
 
 
 def templates(pages: DataFrame, saved: Saved, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, fixed): the tokens of the texts in each host's template, at most mean tokens of a page / ``min_share``."""
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
-    found = tokens(pages).groupBy("host", "token", "parent", "is_text").agg(F.count("*").alias("support"), vector)
+    found = tokens(pages).groupBy("host", "token", "parent", "is_text", "prose").agg(F.count("*").alias("support"), vector)
     count = pages.where("html IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
     found = found.where(F.col("support") >= min_pages).join(count, "host").where(F.col("support") >= min_share * F.col("pages"))
-    found = saved.keep(found.drop("pages"), "tokens")
+    found = saved.keep(found, "tokens")
     tags = found.where("NOT is_text").select("host", F.col("token").alias("parent"), F.col("support").alias("parent_support"))
     nested = found.join(tags, ["host", "parent"], "left")
     nests = F.col("is_text") | F.col("parent").isNull() | (F.col("parent_support") >= F.col("support"))
     classes = nested.groupBy("host", "support", "vector").agg(F.count("*").alias("size"), F.count_if(~F.col("is_text")).alias("tags"), F.min(F.coalesce(nests, F.lit(False))).alias("valid"))
     valid = classes.where("valid AND size > 1 AND tags > 0").select("host", "support", "vector")
-    texts = found.where("is_text").join(valid, ["host", "support", "vector"], "left_semi")
+    texts = found.where("is_text").where(~F.col("prose") | (F.col("support") >= PROSE_SHARE * F.col("pages"))).join(valid, ["host", "support", "vector"], "left_semi")
     return texts.groupBy("host").agg(F.collect_list("token").alias("fixed"))
 
 

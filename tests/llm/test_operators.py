@@ -358,3 +358,25 @@ def test_html_extraction(spark):
     assert sorted((r.page_id, r.text) for r in got.collect()) == sorted(want)
     assert got.where("n_chars != length(text)").count() == 0
     assert entities.unescape("&lt;") == "<"
+
+
+def extracted(spark, pages):
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    return {r.page_id: r.text for r in got.collect()}
+
+
+def test_html_template_prose_is_left_out(spark):
+    notice = "<p>Subscribe to our letter for more.</p>"
+    pages = [(i, f"http://a.example/{i}", f"<html><body><main class='w-1/2'><article><h1>Title {i}</h1>{notice}<p>Read <b>this</b> text {i}.</p></article></main></body></html>") for i in range(10)]
+    pages += [(20 + i, f"http://b.example/{i}", "<html><body><article><p>The same text.</p></article></body></html>") for i in range(4)]
+    near = lambda i: f"<table><tr><td>Shared by copies.</td></tr></table><p>Only {i}.</p>" if i < 3 else f"<p>Other {i}.</p>"
+    pages += [(30 + i, f"http://c.example/{i}", f"<html><body><article>{near(i)}</article></body></html>") for i in range(10)]
+    got = extracted(spark, pages)
+    assert all(got[i] == f"Title {i} Read this text {i}." for i in range(10))
+    assert all(got[20 + i] == "The same text." for i in range(4))
+    assert all(got[30 + i] == (f"Shared by copies. Only {i}." if i < 3 else f"Other {i}.") for i in range(10))
+
+
+def test_html_parents_come_from_the_element_stack():
+    _, tags = html_extract.parse("<div class='w-1/2'><p>x</p></div>")
+    assert tags == {("/div.w-0/0", ""): 1, ("/div.w-0/0/p", "/div.w-0/0"): 1}
