@@ -59,14 +59,18 @@ _OUT_WORDS = frozenset(
     " sidebar rail widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar"
     " comment comments discussion disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login signin register search searchbox form tags skip copyright legal disclaimer".split()
 )
+#: Marks of these tags and roles hold for all that is inside; a word or a form may just be on a wrapper of the page.
+_FIRM_TAGS = _OUT_TAGS - {"form"}
 
 
 class Element:
-    __slots__ = ("name", "path", "out", "link", "parent", "number", "main", "marked", "prose")
+    __slots__ = ("name", "path", "out", "link", "parent", "number", "main", "marked", "prose", "firm", "cleared")
 
     def __init__(self, name: str, path: str, out: bool, link: bool, parent: Element | None, number: int, main: bool, marked: str) -> None:
         self.name, self.path, self.out, self.link, self.parent, self.number, self.main, self.marked = name, path, out, link, parent, number, main, marked
         self.prose: int = number if name in _PROSE else parent.prose if parent else 0  # the innermost prose element around
+        self.firm = out  # if out: no main element inside clears the mark
+        self.cleared = 0  # if out by a wrapper only: 1 inside main, 2 inside an article
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -82,13 +86,19 @@ def _is_out(name: str, attrs: dict[str, str], inside_main: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _OUT_ROLES:
         return True
-    if name in ("html", "body", "main") or (name == "article" and not inside_main and not {"comment", "comments"} & {w.lower() for w in _PART.findall(attrs.get("class", ""))}):
+    if name in ("html", "body", "main") or attrs.get("role", "").lower() == "main" or (name == "article" and not inside_main and not {"comment", "comments"} & {w.lower() for w in _PART.findall(attrs.get("class", ""))}):
         return False
     words = {w.lower() for k in ("class", "id") for w in _PART.findall(attrs.get(k, ""))}
     found = words & _OUT_WORDS
     return bool(found) and not (inside_main and found <= {"header", "banner", "tags", "search", "form"} and name in ("h1", "h2", "header"))
 
 
+def _is_firm(name: str, attrs: dict[str, str]) -> bool:
+    """Whether a marked element outside the main region is out with all main elements inside."""
+    hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I)
+    return bool(hidden) or name in _FIRM_TAGS or name == "header" or attrs.get("role", "").lower() in _OUT_ROLES - {"form"}
+
+
 def parse(page: str) -> tuple[list[tuple[Element, str]], Counter]:
     """Runs of text with their elements, in page order, '' for a break between blocks; and how often each (tag path, path of its parent) occurs."""
     root = Element("", "", False, False, None, 0, False, "")
@@ -135,7 +145,12 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], Counter]:
         main = name in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
         number += 1
         inside = top.main
-        e = Element(name, f"{top.path}/{name}{'.' + re.sub(r'[0-9]+', '0', marked) if marked else ''}"[-4000:], top.out or _is_out(name, attrs, inside and not (name == "article" and not _within(top, "article"))), top.link or name == "a", top, number, inside or main, "main" if main else "")
+        own = _is_out(name, attrs, inside and not (name == "article" and not _within(top, "article")))
+        e = Element(name, f"{top.path}/{name}{'.' + re.sub(r'[0-9]+', '0', marked) if marked else ''}"[-4000:], top.out or own, top.link or name == "a", top, number, inside or main, "main" if main else "")
+        if e.out:
+            e.firm = top.firm or own and (inside or main or _is_firm(name, attrs))
+            if not e.firm:
+                e.cleared = 1 if name == "main" or attrs.get("role", "").lower() == "main" else top.cleared or 2 * main
         tags[e.path, top.path] += 1
         stack.append(e)
     if at < len(page):
@@ -151,6 +166,14 @@ def _within(e: Element | None, name: str) -> bool:
     return False
 
 
+def _home(article: Element) -> Element | None:
+    """The main region of an article, or else its parent; sibling articles have the same."""
+    x = article.parent
+    while x is not None and not x.marked:
+        x = x.parent
+    return x or article.parent
+
+
 def token_of(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
@@ -168,19 +191,24 @@ def extract(page: str | None, fixed: set[int] | frozenset[int] = frozenset()) ->
     runs, _ = text_runs(page)
     size: Counter = Counter()  # by main region: characters of open text
     scores: Counter = Counter()  # by container, where there is no main region
+    wrapped: Counter = Counter()  # by article inside a marked wrapper: characters of slots
     elements: dict[int, Element] = {}
+    cleared = 1
     for e, t in runs:
         n = len(t.strip()) if t else 0
-        if not n or e.out:
+        if not n or (e.out and not e.cleared):
             continue
         known = fixed and token_of(e.path, " ".join(t.split())) in fixed
         x: Element | None = e
         while x is not None:
-            if x.marked:
-                size[x.number] += n
+            if x.marked and (not x.out or x.cleared):
                 elements[x.number] = x
+                if e.cleared < 2:
+                    size[x.number] += n
+                elif not e.link and not known:
+                    wrapped[x.number] += n
             x = x.parent
-        if not e.link and not known:
+        if not e.out and not e.link and not known:
             block: Element | None = e
             while block is not None and block.name not in _BLOCK:
                 block = block.parent
@@ -192,25 +220,31 @@ def extract(page: str | None, fixed: set[int] | frozenset[int] = frozenset()) ->
                 if block.parent is not None:
                     scores[block.parent.number] += n / 2
                     elements[block.parent.number] = block.parent
-    region = None
+    has_main = any(elements[k].name != "article" for k in size)
+    if wrapped and not has_main and max(wrapped.values()) > max([*size.values(), *scores.values()], default=0):
+        size, cleared = wrapped, 2  # the mark was on a wrapper of the article, not on an aside of the page
+    regions: set[int] = set()
     if size:
         most = max(size, key=lambda k: (size[k], k))  # of nested ones of equal size the inner
         articles = [k for k in size if elements[k].name == "article"]
-        region = max(articles, key=lambda k: (size[k], -k)) if articles else most
-        if 3 * size[region] < size[most]:
-            region = most
+        regions = {most}
+        if articles:
+            best = elements[max(articles, key=lambda k: (size[k], -k))]
+            together = {k for k in articles if _home(elements[k]) is _home(best)}
+            if 3 * sum(size[k] for k in together) >= size[most]:
+                regions = together
     elif scores:
-        region = max(scores, key=lambda k: (scores[k], -k))
+        regions = {max(scores, key=lambda k: (scores[k], -k))}
     inside: list[tuple[Element | None, str, bool]] = []  # runs of the region; whether the template has them
     open_prose: set[int] = set()  # prose elements with a slot
     for e, t in runs:
         if not t:
             inside.append((None, " ", False))
             continue
-        if e.out:
+        if e.out and not 0 < e.cleared <= cleared:
             continue
         x = e
-        while region is not None and x is not None and x.number != region:
+        while regions and x is not None and x.number not in regions:
             x = x.parent
         if x is not None:
             known = bool(fixed) and token_of(e.path, " ".join(t.split())) in fixed

@@ -380,3 +380,24 @@ def test_html_template_prose_is_left_out(spark):
 def test_html_parents_come_from_the_element_stack():
     _, tags = html_extract.parse("<div class='w-1/2'><p>x</p></div>")
     assert tags == {("/div.w-0/0", ""): 1, ("/div.w-0/0/p", "/div.w-0/0"): 1}
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<div class='content-sidebar-wrap'><article><h1>A</h1><p>Text of it.</p></article><div class='sidebar'><p>Side.</p></div></div>", "A Text of it."),
+        ("<div class='layout with-sidebar'><main><p>Main text.</p><div class='related'><article><p>Other.</p></article></div></main></div>", "Main text."),
+        ("<form id='f'><div role='main' class='with-sidebar'><p>Main text.</p></div></form>", "Main text."),
+        ("<div class='page-header-menu'><main><article><p>One one.</p></article><article><p>Two two.</p></article></main></div>", "One one. Two two."),
+        ("<main><article><p>One one.</p></article><article><p>Two two.</p></article><article><p>Six six.</p></article></main>", "One one. Two two. Six six."),
+        ("<div><article><p>A longer one of them.</p></article><article><p>Two.</p></article><article class='comment'><p>Nice.</p></article></div>", "A longer one of them. Two."),
+        ("<main><div><article><p>One one.</p></article></div><div><article><p>Two two.</p></article></div><div class='promo'><article><p>Buy.</p></article></div></main>", "One one. Two two."),
+        ("<div class='sidebar'><article><p>Teaser text.</p></article></div><div><p>The text of the page, in a plain container.</p></div>", "The text of the page, in a plain container."),
+        ("<div class='sidebar'><article><p>Quite a long teaser text.</p></article></div><main><p>Main text.</p></main>", "Main text."),
+        ("<article><p>Tiny.</p></article><div class='layout with-sidebar'><article><p>The text of the page.</p></article></div>", "The text of the page."),
+        ("<aside><article><p>Teaser.</p></article></aside><div style='display:none'><main><p>Hidden.</p></main></div>", ""),
+        ("<main><article><p>Text of it.</p><article><p>A comment.</p></article></article></main>", "Text of it."),
+    ],
+)
+def test_html_main_texts_are_whole(body, want):
+    assert html_extract.extract(f"<html><body>{body}</body></html>") == want
