@@ -36,21 +36,27 @@ def degree_rank(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.max("raw").alias("most")))).select("node", "n_in", "n_out", (F.col("raw") / F.col("most")).alias("score"))  # one row
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 5, alpha: float = 0.85) -> DataFrame:
-    """Personalized PageRank (node, rank) on the undirected graph; mass without neighbours returns to the seeds."""
+def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
+    """Personalized PageRank (node, rank) on the undirected graph; mass without neighbours returns to the seeds.
+
+    At most ``iterations`` rounds, and none after ranks have moved by ``tol`` or less in sum; with 0 all rounds are run.
+    """
     e = cut(undirected(edges), "edges")
     out = cut(e.groupBy("src").agg(F.count("*").alias("n")), "degrees")
     nodes = out.select(F.col("src").alias("node"))
     s = seeds.select("node").distinct().join(nodes, "node", "left_semi")
     share = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("m")))).select("node", (1.0 / F.col("m")).alias("restart"))  # one row
     base = cut(nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")), "restart")
-    rank = base.select("node", F.col("restart").alias("rank"))
+    rank = base.select("node", "restart", F.col("restart").alias("rank"))
     weighted = cut(e.join(out, "src"), "weighted")
     for _ in range(iterations):
-        flow = weighted.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        rank = base.join(flow, F.col("node") == F.col("dst"), "left").select("node", ((1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        flow = weighted.join(rank.select("node", "rank"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        step = (1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))
+        rank = rank.join(flow, F.col("node") == F.col("dst"), "left").select("node", "restart", step.alias("rank"), F.abs(step - F.col("rank")).alias("moved"))
         rank = cut(rank, "rank")
-    return rank
+        if tol > 0 and (rank.agg(F.sum("moved")).first()[0] or 0.0) <= tol:
+            break
+    return rank.select("node", "rank")
 
 
 def collapse(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -160,3 +160,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = windows.drain(windows.windowed(stream, "ts", "1 hour", watermark="2 hours"), "late").collect()
     n = {int(r["w"]["start"].timestamp()) // 3600: r["n"] for r in got}
     assert n[1] == 1 and 20 not in n
+
+
+def ranks_of(edges, seeds, rounds, tol, alpha=0.85):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seeds = [s for s in seeds if s in near]
+    restart = {n: (1 / len(seeds) if n in seeds else 0.0) for n in near}
+    rank, done = dict(restart), 0
+    for _ in range(rounds):
+        step = {n: (1 - alpha) * restart[n] + alpha * sum(rank[m] / len(near[m]) for m in near[n]) for n in near}
+        moved, rank, done = sum(abs(step[n] - rank[n]) for n in near), step, done + 1
+        if moved <= tol:
+            break
+    return rank, done
+
+
+def test_pagerank_runs_until_it_settles(spark):
+    path = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n2", "n7"), ("n0", "x"), ("x", "n1")]
+    star = [("hub", f"leaf{i}") for i in range(4)] + [("leaf0", "leaf1")]
+    for edges, seeds, args in [(path, ["n0", "n3", "absent"], {}), (path[:9], ["n0"], {"alpha": 0.5}), (star, ["hub"], {"tol": 0.01}), (path, ["n0"], {"iterations": 4, "tol": 0.0})]:
+        want, rounds = ranks_of(edges, seeds, args.get("iterations", 30), args.get("tol", 1e-6), args.get("alpha", 0.85))
+        assert (rounds < 30) == bool(args)
+        got = {r["node"]: r["rank"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(s,) for s in seeds], "node string"), **args).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+        assert min(got.values()) > 0 or args.get("iterations") == 4
