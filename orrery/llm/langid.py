@@ -19,16 +19,14 @@ from orrery.llm.common import table
 
 #: The classifier is fitted on about so many labelled documents of a language at most, chosen by a hash of the id.
 DOCS_PER_LANGUAGE = 2500
-#: And on the most frequent languages, if there are more.
-MAX_LANGUAGES = 200
 FEATURES = 1 << 16
 SWITCH = 12.0
 #: What a word costs in a language that does not write in its script.
 FOREIGN_SCRIPT = -30.0
-#: Long texts are labelled in stretches of so many words, so that the steps of a batch are bounded.
+#: Long texts are labelled in stretches of so many words, so that the back pointers held at once are bounded; scores carry over.
 STRETCH = 4096
-#: Texts are scored together up to so many bytes.
-SCORE_BYTES = 1 << 20
+#: Texts are scored together up to so many bytes, fewer if there are more than so many languages.
+SCORE_BYTES, SCORE_LANGUAGES = 1 << 20, 200
 
 #: Letters and bytes of characters beyond ASCII stay, all else separates words.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -63,8 +61,10 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
         self.languages = languages
-        smooth = counts + 0.1
-        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32) if languages else np.zeros((FEATURES, 0), np.float32)
+        self.table = np.zeros((FEATURES, len(languages)), np.float32)
+        for k in range(0, len(languages), 64):
+            smooth = counts[:, k : k + 64] + 0.1
+            self.table[:, k : k + 64] = np.log(smooth / smooth.sum(axis=0))
         writes = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
         known = writes.any(axis=1)
         self.script = np.where(writes | ~known[:, None], 0.0, FOREIGN_SCRIPT).astype(np.float32)
@@ -83,46 +83,65 @@ class Model:
         return np.add.reduceat(points, starts, axis=0) + self.script[script], n_words
 
     def label(self, scores: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """Viterbi labels of all words, stretch by stretch; stretches of like length step together."""
+        """Viterbi labels of all words; texts of like length step together."""
         first = np.cumsum(n_words) - n_words
-        from_, size = [], []
-        for f, n in zip(first.tolist(), n_words.tolist(), strict=True):
-            for k in range(0, n, STRETCH):
-                from_.append(f + k)
-                size.append(min(STRETCH, n - k))
-        from_, size = np.array(from_, np.int64), np.array(size, np.int64)
-        labels = np.zeros(len(scores), np.uint8)
-        order = np.argsort(-size, kind="stable")
+        labels = np.zeros(len(scores), np.min_scalar_type(max(1, len(self.languages) - 1)))
+        order = np.argsort(-n_words, kind="stable")
         for k in range(0, len(order), 512):
             own = order[k : k + 512]
-            self._viterbi(scores, from_[own], size[own], labels)
+            own = own[n_words[own] > 0]
+            if len(own):
+                self._viterbi(scores, first[own], n_words[own], labels)
         return labels
 
     @staticmethod
     def _viterbi(scores: np.ndarray, from_: np.ndarray, size: np.ndarray, labels: np.ndarray) -> None:
-        """``size`` descends, so the stretches still open at a step are the first ones."""
+        """``size`` descends, so the texts still open at a step are the first ones.
+
+        Going forward keeps the best scores at the start of each stretch; going back, a stretch's choices are made anew
+        from them, so the labels are those of the best path of the whole text.
+        """
         steps, n = int(size[0]), len(size)
         open_ = np.searchsorted(-size, -np.arange(steps), side="left")  # how many have a word at step t
-        best = scores[from_].copy()
-        stay = [None] * steps
-        top = [None] * steps
-        for t in range(1, steps):
-            m = open_[t]
-            own = best[:m]
-            a = own.argmax(axis=1)
-            change = own[np.arange(m), a] - np.float32(SWITCH)
-            kept = own >= change[:, None]
-            stay[t], top[t] = kept, a
-            best[:m] = np.where(kept, own, change[:, None]) + scores[from_[:m] + t]
+
+        def forward(best: np.ndarray, start: int, end: int, choices: list | None) -> np.ndarray:
+            """Best scores after word ``end`` - 1 from those after word ``start`` - 1; texts that have ended keep theirs."""
+            if start:
+                best -= best.max(axis=1, keepdims=True)  # keeps float32 exact enough in long texts
+            for t in range(start, end):
+                m = open_[t]
+                if t:
+                    own = best[:m]
+                    a = own.argmax(axis=1)
+                    change = own[np.arange(m), a] - np.float32(SWITCH)
+                    kept = own >= change[:, None]
+                    if choices is not None:
+                        choices.append((kept, a))
+                    best[:m] = np.where(kept, own, change[:, None]) + scores[from_[:m] + t]
+                else:
+                    best = scores[from_].copy()
+                    if choices is not None:
+                        choices.append(None)
+            return best
+
+        starts = list(range(0, steps, STRETCH))
+        marks: list[np.ndarray] = [np.zeros((n, scores.shape[1]), np.float32)]
+        for a in starts[:-1]:
+            marks.append(forward(marks[-1][: open_[a]].copy(), a, a + STRETCH, None)[: open_[a + STRETCH]])
         now = np.zeros(n, np.int64)
-        for t in range(steps - 1, -1, -1):
-            m = open_[t]
-            later = open_[t + 1] if t + 1 < steps else 0
-            now[later:m] = best[later:m].argmax(axis=1)  # stretches whose last word this is
-            labels[from_[:m] + t] = now[:m]
-            if t:
-                own = now[:m]
-                now[:m] = np.where(stay[t][np.arange(m), own], own, top[t])
+        for a in reversed(starts):
+            end = min(a + STRETCH, steps)
+            choices: list = []
+            best = forward(marks.pop()[: open_[a]].copy(), a, end, choices)
+            for t in range(end - 1, a - 1, -1):
+                m = open_[t]
+                later = open_[t + 1] if t + 1 < steps else 0
+                now[later:m] = best[later:m].argmax(axis=1)  # texts whose last word this is
+                labels[from_[:m] + t] = now[:m]
+                if t:
+                    kept, change_from = choices[t - a]
+                    own = now[:m]
+                    now[:m] = np.where(kept[np.arange(m), own], own, change_from)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
         """Language, score and spans (language, words) of each text."""
@@ -136,7 +155,7 @@ class Model:
         def flush() -> None:
             nonlocal size
             scores, n_words = self.word_scores(raws)
-            labels = self.label(scores, n_words) if len(scores) else np.zeros(0, np.uint8)
+            labels = self.label(scores, n_words) if len(scores) else np.zeros(0, np.int64)
             at = 0
             for i, n in zip(group, n_words.tolist(), strict=True):
                 own = labels[at : at + n]
@@ -156,7 +175,7 @@ class Model:
                 group.append(i)
                 raws.append(normal(text))
                 size += len(raws[-1])
-                if size >= SCORE_BYTES:
+                if size * max(SCORE_LANGUAGES, len(self.languages)) >= SCORE_BYTES * SCORE_LANGUAGES:
                     flush()
         if group:
             flush()
@@ -169,7 +188,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     What reaches the driver is FEATURES counts a language at most.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(n)
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((N_SCRIPTS, 0)))

@@ -401,3 +401,28 @@ def test_html_parents_come_from_the_element_stack():
 )
 def test_html_main_texts_are_whole(body, want):
     assert html_extract.extract(f"<html><body>{body}</body></html>") == want
+
+
+def test_viterbi_carries_over_stretches(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 3)
+    m = langid.Model(["a", "b", "c"], np.ones((langid.FEATURES, 3)), np.ones((langid.N_SCRIPTS, 3)))
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n_words = rng.integers(0, 14, 5)
+        scores = rng.normal(0, 9, (int(n_words.sum()), 3)).astype(np.float32)
+        got, at = m.label(scores, n_words), 0
+        for n in n_words.tolist():
+            value = lambda p, own=scores[at : at + n]: sum(float(own[t, k]) for t, k in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))
+            best = [float(x) for x in scores[at]] if n else [0.0]
+            for t in range(1, n):
+                best = [max(best[j] - langid.SWITCH * (j != k) for j in range(3)) + float(scores[at + t, k]) for k in range(3)]
+            assert value(got[at : at + n].tolist()) == pytest.approx(max(best), abs=1e-3)
+            at += n
+
+
+def test_all_labels_are_learned(spark):
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(2)) * 3
+    data = [(i, " ".join([word(i % 300)] * 5), f"l{i % 300:03d}") for i in range(600)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string").coalesce(1))
+    assert model.languages == sorted({k for _, _, k in data})
+    assert model.predict([t for _, t, _ in data])[0] == [k for _, _, k in data]
