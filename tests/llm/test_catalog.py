@@ -1,3 +1,5 @@
+import random
+
 import __spark_entry__
 import corpus_pipeline
 from tests.test_queries import SF, duck, rows_of  # noqa: F401
@@ -27,3 +29,65 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, SF).checkpoint() if spark.sparkContext.getCheckpointDir() else stage(spark, docs, SF)
         assert docs.columns == columns and 0 < docs.count() <= before
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+WORDS = {
+    "en": "the and of water house river stone light morning people with from this that have been were their which would".split(),
+    "de": "der und das wasser haus fluss stein licht morgen leute mit von dies nicht haben wurde waren ihre welche würde".split(),
+    "ru": "и вода дом река камень свет утро люди была она с от это что имеют были их который бы не".split(),
+}
+SHARED = "a line that several of the people have in their house"
+PASSAGE = "stone river water people morning light house the and of were which would have been"
+
+
+def planted():
+    """Documents (doc_id, text, lang) and what each stage makes of them: doc_id -> text."""
+    rng = random.Random(9)
+    some = lambda k, n: " ".join(rng.choice(WORDS[k]) for _ in range(n))
+    docs = {i: (some(k, 60), k) for i in range(60) for k in [list(WORDS)[i % 3]]}
+    docs[100], docs[101] = ("123 456 !?", None), (None, "en")  # no language
+    docs[102] = (f"{some('en', 40)} {some('ru', 60)}", None)  # mixed, kept
+    for i in (110, 111, 112):
+        docs[i] = (f"{some('en', 30)}\n{SHARED}\n{some('en', 30)}", "en")
+    for i in (115, 116):
+        docs[i] = (SHARED, "en")  # loses all its text, as 117 keeps the line
+    docs[117] = (f"{SHARED}\n{some('en', 30)}", "en")
+    docs[120] = (some("de", 80), "de")
+    docs[121] = (docs[120][0].replace(" ", "  "), "de")
+    docs[122] = (docs[120][0] + " " + some("de", 2), "de")
+    docs[130] = (f"{some('en', 60)} {PASSAGE} {some('en', 60)}", "en")
+    docs[131] = (PASSAGE, "en")  # mostly benchmark text
+    text = {i: t for i, (t, _) in docs.items()}
+    after = [{i: t for i, t in text.items() if i not in (100, 101)}]
+    lines = {i: "\n".join(x for x in t.split("\n") if x != SHARED or i == 117) for i, t in after[0].items()}
+    after.append({i: t for i, t in lines.items() if t})
+    words = {i: t.split() for i, t in after[1].items()}
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in words.items()}
+    parent = {i: i for i in grams}
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if b < a and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                ra, rb = parent[a], parent[b]
+                parent = {i: min(ra, rb) if r in (ra, rb) else r for i, r in parent.items()}
+    after.append({i: t for i, t in after[1].items() if parent[i] == i})
+    cut = {i: " ".join(t.replace(PASSAGE, "").split()) for i, t in after[2].items()}
+    after.append({i: t for i, t in cut.items() if t})
+    return docs, after
+
+
+def test_pipeline_stages_on_planted_documents(spark, tmp_path):
+    docs, after = planted()
+    rows = [(i, t, k, "x", len(t or "")) for i, (t, k) in docs.items()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert 121 not in after[2] and 122 not in after[2] and 120 in after[2] and 115 not in after[1]
+    now = frame
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], after, strict=True):
+        got = stage(spark, now, str(tmp_path)).collect()
+        plain = (lambda t: " ".join(t.split())) if name == "benchmark_decontamination" else str
+        assert {r.doc_id: plain(r.text) for r in got} == {i: plain(t) for i, t in want.items()}, name
+        assert len(got) == len(want) and all(r.n_chars == len(r.text) and r.source == "x" for r in got), name
+        now = spark.createDataFrame(got, frame.schema)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == set(after[-1])
