@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from orrery.llm import decontam, jaccard, langid, line_dedup, packing
 from orrery.llm.common import Saved, table
 
-#: A document is rejected if it has no language, or if none has this share of its words.
-MIN_LANGUAGE_SHARE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are mainly in one language; learns from their labels."""
+    """Keeps documents that have a language, or several; learns from their labels."""
     names = tuple(docs.columns)
     found = langid.identify(docs, langid.fit(docs), keep=names)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*names)
+    return found.where(F.col("lang_pred") != "und").select(*names)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,12 @@ def test_pipeline_stages_on_planted_documents(spark, tmp_path):
         now = spark.createDataFrame(got, frame.schema)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(after[-1])
+
+
+def test_documents_in_several_languages_are_kept(spark):
+    rng = random.Random(10)
+    some = lambda k, n: " ".join(rng.choice(WORDS[k]) for _ in range(n))
+    rows = [(i, some(k, 60), k) for i in range(60) for k in [list(WORDS)[i % 3]]]
+    rows += [(100, f"{some('en', 40)} {some('de', 30)} {some('ru', 30)}", None), (101, "123 !?", None)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
+    assert {r.doc_id for r in got.collect()} == {*range(60), 100}
