@@ -3,8 +3,9 @@
 import hashlib
 import html as entities
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -58,6 +59,8 @@ def rows(df):
 @pytest.mark.parametrize(
     "operator",
     [
+        lambda d, b: html_extract.extract_pages(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))),
+        lambda d, b: url_filter.filter_urls(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url")), url_filter.rule_table(d.sparkSession, url_filter.RULES)),
         lambda d, b: tokens.token_counts(d, BPE),
         lambda d, b: packing.pack(d, BPE),
         lambda d, b: exact_dedup.exact_dedup(d),
@@ -378,8 +381,83 @@ def test_html_template_prose_is_left_out(spark):
 
 
 def test_html_parents_come_from_the_element_stack():
-    _, tags = html_extract.parse("<div class='w-1/2'><p>x</p></div>")
-    assert tags == {("/div.w-0/0", ""): 1, ("/div.w-0/0/p", "/div.w-0/0"): 1}
+    tags = [(e, e.parent) for e, t in html_extract.parse("<div class='w-1/2'><p>x</p></div>") if t is None]
+    outer = html_extract.token_of(0, b"div.w-1/2")
+    assert [(e.token, p.token) for e, p in tags] == [(outer, 0), (html_extract.token_of(outer, b"p."), outer)]
+
+
+def plain_template(pages):
+    """The tags of the valid classes of one host's pages, counted without hashes of vectors."""
+    counts = [Counter((e.token, e.parent.token) for e, t in html_extract.parse(p) if t is None) for p in pages]
+    texts = [Counter((html_extract.text_token(e, t), e.token) for e, t in html_extract.parse(p) if isinstance(t, str) and t.strip()) for p in pages]
+    vector = {(k, up, kind): tuple(c[k, up] for c in side) for kind, side in (("tag", counts), ("text", texts)) for k, up in {x for c in side for x in c}}
+    support = {k: sum(n > 0 for n in v) for k, v in vector.items()}
+    tag_support = {k: n for (k, _, kind), n in support.items() if kind == "tag"}
+    classes = defaultdict(list)
+    for k, v in vector.items():
+        if support[k] >= max(html_extract.MIN_PAGES, html_extract.MIN_SHARE * len(pages)):
+            classes[v].append(k)
+    tags = set()
+    for v in classes.values():
+        own = [(k, up) for k, up, kind in v if kind == "tag"]
+        if len(v) > 1 and own and all(up == 0 or tag_support[up] >= tag_support[k] for k, up in own):
+            tags |= {k for k, _ in own}
+    return tags
+
+
+def wordless(i, host):
+    """A page without a telling name: divisions and spans, a menu, a fixed line, prose, and a varying line at the foot."""
+    menu = "".join(f"<span><a href='/{k}'>word{(i * 7 + k) % 50}</a></span>" for k in range(3 + i % 4))
+    prose = "".join(f"<div>{'Sentence ' * (8 + (i + k) % 5)}number {i} {k}.</div>" for k in range(2 + i % 3))
+    page = f"<div class=x1><div class=x2>{menu}</div><div class=x3>All that is new on {host}</div><div class=x4><div class=x5>Head {i}</div>{prose}</div><div class=x6>Line {i} of the foot.</div></div>"
+    return page, " ".join([f"Head {i}", *re.findall("<div>(.*?)</div>", prose)])
+
+
+def test_html_template_finds_the_text_without_telling_names(spark):
+    made = {i: wordless(i, "abc"[i % 3]) for i in range(60)}
+    df = spark.createDataFrame([(i, f"http://{'abc'[i % 3]}.example/{i}", p) for i, (p, _) in made.items()], "page_id bigint, url string, html string")
+    for marks in (True, False):
+        assert {r.page_id: r.text for r in html_extract.extract_pages(df, marks=marks).collect()} == {i: t for i, (_, t) in made.items()}
+    assert html_extract.extract(made[0][0], marks=False) != made[0][1]
+
+
+def test_html_templates_agree_with_a_plain_version(spark, monkeypatch):
+    from orrery.llm.common import Saved
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").withColumn("host", html_extract.host_and_path(F.col("url"))[0])
+    found = html_extract.deduce(pages, Saved(spark, "test")).collect()
+    by_host = defaultdict(list)
+    for r in pages.select("host", "html").collect():
+        by_host[r.host].append(r.html)
+    large = [h for h, p in by_host.items() if len(p) >= html_extract.MIN_PAGES]
+    assert {r.host: set(r.tags) for r in found if r.host in large} == {h: plain_template(by_host[h]) for h in large}
+    assert sum(r.region is not None for r in found) > 0.9 * len(large)
+
+
+def test_html_method_alone_decides_on_the_test_tables(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = {r.page_id: r.text for r in html_extract.extract_pages(pages, marks=False).collect()}
+    helped = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    bare = {r.page_id: html_extract.extract(r.html, marks=False) for r in pages.collect()}
+    article = lambda x: " ".join(entities.unescape(re.sub("<[^>]*>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", re.search("<article>(.*)</article>", x, re.S)[1]))).split())
+    want = {r.page_id: article(r.html) for r in pages.collect()}
+    assert helped == want and sum(bare[k] == want[k] for k in want) == 0
+    assert sum(alone[k] == want[k] for k in want) > 0.85 * len(want)  # the others are on hosts of few pages
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # templates by shuffle, hot hosts salted
+    monkeypatch.setattr(html_extract, "PAGES_PER_TASK", 4)
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == helped
+
+
+@pytest.mark.parametrize("page", ["<select>x" * 100_000, '<a "' * 100_000, '<a b="' * 100_000 + ">", "<div>x" * 50_000, "<article>x" * 20_000, "<b>x</i>" * 20_000, "<script>x" * 50_000])
+def test_html_parser_is_linear(page):
+    at = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - at < 4
+
+
+def test_html_keeps_formulas_and_drops_form_parts():
+    page = "<article><p>Then <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><svg><text>Fig</text></svg><select><option>No</option></select><textarea><b>no</b></textarea><template>no</template></article>"
+    assert html_extract.extract(page) == "Then a=b holds. Fig"
 
 
 @pytest.mark.parametrize(
