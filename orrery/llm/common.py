@@ -1,16 +1,15 @@
-"""Pieces shared by the corpus operators: the shared folder, saved tables, text expressions."""
+"""Pieces shared by the corpus operators: text expressions, and the tables of the shared folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import Saved
+from orrery.sources.tables import table
+
+__all__ = ["LOWER", "SPACE", "SPACE_CHARS", "UPPER", "Saved", "ascii_lower", "integral_id", "nested", "table", "unnested"]
+
 #: The ASCII white space of the contracts, as a Java/Python regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -18,67 +17,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-class Saved:
-    """Tables written to the shared folder, which cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.name = spark, name
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def path(self, label: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{label}"
-
-    def keep(self, df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` once and return a reader of what was written."""
-        to = self.path(label)
-        writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(to)
-        out = self.spark.read.schema(df.schema).parquet(to)
-        out._saved_path = to
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        for t in tables:
-            self.drop_path(t._saved_path)
-
-    def drop_path(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python finds it by the same path as the driver's."""
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(sc, "_orrery_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="orrery-")) / "orrery.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "orrery").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(archive))
-    sc._orrery_shipped = True
+def ascii_lower(c: Column) -> Column:
+    """A-Z lower-cased, every other character as it is."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def nested(docs: DataFrame) -> Column:
+    """All columns but ``text`` in one struct ``row``, so that no name of an operator's own can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]).alias("row")
 
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z lower-cased, every other character as it is."""
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+def unnested(names: list[str], text: Column, **changed: Column) -> list[Column]:
+    """The columns ``names`` out of ``row``, with this text and these columns in place of the old ones."""
+    new = {"text": text, **changed}
+    return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in names]
 
 
+def integral_id(docs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``docs``, if its ids are whole numbers; others would silently link with nothing."""
+    if (kind := docs.schema[name].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} is {kind}, not a whole number")
+    return docs

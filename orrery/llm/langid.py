@@ -1,91 +1,168 @@
 """Language ID: script ranges narrow the candidates, then Viterbi over per-word scores with a switching penalty.
 
-A word's score for a language is the log-likelihood of its byte trigrams (with the blanks around it), learned from
-labelled documents.  A language that hardly ever writes in the word's script is no candidate for it.  Viterbi with a
-constant cost for changing language labels the words, so mixed texts come out as spans; a document's language is that
-of most of its words, its score their share.
+A word is a run of letters and marks; its script is that of its characters' code-point range.  Only the languages that
+write in a word's script are its candidates and are scored.  A candidate's score is the log-likelihood of the word's
+character trigrams (with the blanks around it), learned from labelled documents.  Viterbi with a constant cost for
+changing language labels the words, so mixed texts come out as spans; a document's language is that of most of its
+words, its score their share.  Words in a script that no learned language writes take their neighbours' language.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from orrery.llm.common import table
 
 #: The classifier is fitted on about so many labelled documents of a language at most, chosen by a hash of the id.
 DOCS_PER_LANGUAGE = 2500
-FEATURES = 1 << 16
+#: Hashed trigrams at most, and cells (trigrams x languages) at most, so that the model that is broadcast has at most 64 MB
+#: for languages of one script each: beyond 256 languages they share fewer trigrams.
+FEATURES, MIN_FEATURES, MODEL_CELLS = 1 << 16, 1 << 10, 1 << 24
 SWITCH = 12.0
-#: What a word costs in a language that does not write in its script.
-FOREIGN_SCRIPT = -30.0
+#: The score of a word in a language that is no candidate: no path goes there.
+NO_CANDIDATE = -1e4
+#: A language writes in a script that so many of its words are in.
+WRITES = 0.01
 #: Long texts are labelled in stretches of so many words, so that the back pointers held at once are bounded; scores carry over.
 STRETCH = 4096
-#: Texts are scored together up to so many bytes, fewer if there are more than so many languages.
-SCORE_BYTES, SCORE_LANGUAGES = 1 << 20, 200
-
-#: Letters and bytes of characters beyond ASCII stay, all else separates words.
-_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-#: Script ranges by the lead byte of UTF-8: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 Indic and Thai, 7 Kana, 8 Han, 9 Hangul, 10 other.
-SCRIPTS = np.zeros(256, np.uint8)
-for _first, _last, _script in ((0x61, 0x7A, 1), (0xC2, 0xCA, 1), (0xCB, 0xCD, 10), (0xCE, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 10), (0xD6, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE2, 10), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xEE, 0xF4, 10)):
-    SCRIPTS[_first : _last + 1] = _script
-N_SCRIPTS = 11
-
-
-def normal(text: str) -> bytes:
-    return text.lower().encode().translate(_LETTERS)
-
-
-def features(raw: np.ndarray) -> np.ndarray:
-    """The feature of each byte: a hash of it and its neighbours."""
+#: Texts are scored together up to so many characters, fewer if there are more than so many languages.
+SCORE_CHARS, SCORE_LANGUAGES = 1 << 20, 200
+
+#: Script ranges by code point; of a word in several scripts the later one in the list counts.
+SCRIPT_RANGES = [
+    ("Latin", [(0x41, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)]),
+    ("Greek", [(0x370, 0x3FF), (0x1F00, 0x1FFF)]),
+    ("Cyrillic", [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)]),
+    ("Armenian", [(0x530, 0x58F)]),
+    ("Hebrew", [(0x590, 0x5FF), (0xFB1D, 0xFB4F)]),
+    ("Arabic", [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)]),
+    ("Syriac", [(0x700, 0x74F)]),
+    ("Thaana", [(0x780, 0x7BF)]),
+    ("Devanagari", [(0x900, 0x97F), (0xA8E0, 0xA8FF)]),
+    ("Bengali", [(0x980, 0x9FF)]),
+    ("Gurmukhi", [(0xA00, 0xA7F)]),
+    ("Gujarati", [(0xA80, 0xAFF)]),
+    ("Oriya", [(0xB00, 0xB7F)]),
+    ("Tamil", [(0xB80, 0xBFF)]),
+    ("Telugu", [(0xC00, 0xC7F)]),
+    ("Kannada", [(0xC80, 0xCFF)]),
+    ("Malayalam", [(0xD00, 0xD7F)]),
+    ("Sinhala", [(0xD80, 0xDFF)]),
+    ("Thai", [(0xE00, 0xE7F)]),
+    ("Lao", [(0xE80, 0xEFF)]),
+    ("Tibetan", [(0xF00, 0xFFF)]),
+    ("Myanmar", [(0x1000, 0x109F)]),
+    ("Georgian", [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)]),
+    ("Ethiopic", [(0x1200, 0x139F)]),
+    ("Khmer", [(0x1780, 0x17FF)]),
+    ("Mongolian", [(0x1800, 0x18AF)]),
+    ("Han", [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)]),
+    ("Kana", [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]),
+    ("Hangul", [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)]),
+]
+SCRIPTS = {name: i for i, (name, _) in enumerate(SCRIPT_RANGES, 1)}
+OTHER_SCRIPT = len(SCRIPT_RANGES) + 1
+N_SCRIPTS = len(SCRIPT_RANGES) + 2
+_LAST = 0x2FFFF  # further code points count as this one
+
+
+@cache
+def script_table() -> np.ndarray:
+    """The script of each code point; 0 if it is neither letter nor mark and so separates words."""
+    letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(_LAST + 1)), bool, _LAST + 1)
+    out = np.full(_LAST + 1, OTHER_SCRIPT, np.uint8)
+    for name, ranges in SCRIPT_RANGES:
+        for first, last in ranges:
+            out[first : last + 1] = SCRIPTS[name]
+    out[~letter] = 0
+    return out
+
+
+def normal(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with blanks for what is no letter."""
+    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(script_table()[np.minimum(raw, _LAST)] > 0, raw, np.uint32(32))
+
+
+def feature_count(n_languages: int) -> int:
+    return max(MIN_FEATURES, min(FEATURES, 1 << (MODEL_CELLS // max(1, n_languages)).bit_length() - 1))
+
+
+def features(raw: np.ndarray, size: int) -> np.ndarray:
+    """The feature of each character: a hash of it and its neighbours; ``size`` is a power of two."""
     wide = np.empty(len(raw) + 2, np.uint32)
     wide[0] = wide[-1] = 32
     wide[1:-1] = raw
-    gram = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
-    return (gram * np.uint32(2654435761)) >> np.uint32(16)
+    gram = (wide[:-2] * np.uint32(0x9E3779B1)) ^ (wide[1:-1] * np.uint32(0x85EBCA6B)) ^ (wide[2:] * np.uint32(0xC2B2AE35))
+    gram ^= gram >> np.uint32(15)
+    return (gram * np.uint32(0x2C1B3C6D)) >> np.uint32(33 - size.bit_length())
 
 
 def word_starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start, and which bytes belong to words."""
+    """Where words start, and which characters belong to words."""
     inside = raw != 32
     return np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])), inside
 
 
+def word_scripts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(script_table()[np.minimum(raw, _LAST)], starts)
+
+
 class Model:
-    """Per-byte log-likelihoods [feature, language] and the scripts that each language writes."""
+    """By script: the languages that write in it, and their log-likelihoods [feature, candidate]."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
-        self.languages = languages
-        self.table = np.zeros((FEATURES, len(languages)), np.float32)
-        for k in range(0, len(languages), 64):
-            smooth = counts[:, k : k + 64] + 0.1
-            self.table[:, k : k + 64] = np.log(smooth / smooth.sum(axis=0))
-        writes = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
-        known = writes.any(axis=1)
-        self.script = np.where(writes | ~known[:, None], 0.0, FOREIGN_SCRIPT).astype(np.float32)
-
-    def word_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.languages, self.features = languages, counts.shape[0]
+        writes = scripts >= WRITES * np.maximum(1, scripts.sum(axis=0))
+        writes &= scripts > 0
+        self.candidates = [np.flatnonzero(w) for w in writes]
+        self.tables = []
+        for own in self.candidates:
+            likelihood = np.zeros((self.features, len(own)), np.float32)
+            for k in range(0, len(own), 64):
+                smooth = counts[:, own[k : k + 64]] + 0.1
+                likelihood[:, k : k + 64] = np.log(smooth / smooth.sum(axis=0))
+            self.tables.append(likelihood)
+
+    def word_scores(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Scores [word, language] of all words of normalised texts; words of each text."""
-        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        blank = np.full(1, 32, np.uint32)
+        raw = np.concatenate([x for t in texts for x in (t, blank)])
         starts, inside = word_starts(raw)
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
         n_words = np.diff(np.searchsorted(starts, bounds))
         if not len(starts):
             return np.zeros((0, len(self.languages)), np.float32), n_words
-        points = self.table[features(raw)]
-        points[~inside] = 0
-        script = np.maximum.reduceat(SCRIPTS[raw], starts)
-        return np.add.reduceat(points, starts, axis=0) + self.script[script], n_words
+        script = word_scripts(raw, starts)
+        found = features(raw, self.features)[inside]
+        sizes = np.add.reduceat(inside, starts, dtype=np.int64)
+        scores = np.full((len(starts), len(self.languages)), NO_CANDIDATE, np.float32)
+        present = np.unique(script)
+        for s in present:
+            own, words = self.candidates[s], np.flatnonzero(script == s)
+            if not len(own):
+                scores[words] = 0
+                continue
+            grams = found if len(present) == 1 else found[np.repeat(script == s, sizes)]
+            begin = np.cumsum(sizes[words]) - sizes[words]
+            scores[words[:, None], own] = np.add.reduceat(self.tables[s][grams], begin, axis=0)
+        return scores, n_words
 
     def label(self, scores: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """Viterbi labels of all words; texts of like length step together."""
+        """Viterbi labels of all words among the languages that are a candidate for any; texts of like length step together."""
+        used = np.flatnonzero((scores > NO_CANDIDATE).any(axis=0))
+        if 0 < len(used) < scores.shape[1]:
+            return used[self.label(np.ascontiguousarray(scores[:, used]), n_words)]
         first = np.cumsum(n_words) - n_words
-        labels = np.zeros(len(scores), np.min_scalar_type(max(1, len(self.languages) - 1)))
+        labels = np.zeros(len(scores), np.min_scalar_type(max(1, scores.shape[1] - 1)))
         order = np.argsort(-n_words, kind="stable")
         for k in range(0, len(order), 512):
             own = order[k : k + 512]
@@ -149,7 +226,7 @@ class Model:
         if not self.languages:
             return langs, points, spans
         group: list[int] = []
-        raws: list[bytes] = []
+        raws: list[np.ndarray] = []
         size = 0
 
         def flush() -> None:
@@ -175,7 +252,7 @@ class Model:
                 group.append(i)
                 raws.append(normal(text))
                 size += len(raws[-1])
-                if size * max(SCORE_LANGUAGES, len(self.languages)) >= SCORE_BYTES * SCORE_LANGUAGES:
+                if size * max(SCORE_LANGUAGES, len(self.languages)) >= SCORE_CHARS * SCORE_LANGUAGES:
                     flush()
         if group:
             flush()
@@ -185,13 +262,14 @@ class Model:
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) with a text and a lang, on a bounded sample of each language.
 
-    What reaches the driver is FEATURES counts a language at most.
+    What reaches the driver is ``feature_count`` counts a language at most.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(n)
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((N_SCRIPTS, 0)))
+    size = feature_count(len(languages))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / n[k]))])
     sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
 
@@ -199,21 +277,20 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
         found: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = np.frombuffer(normal(text.as_py()), np.uint8)
-                if len(raw):
-                    starts, inside = word_starts(raw)
-                    own = found.setdefault(lang, np.zeros(FEATURES + N_SCRIPTS, np.int64))
-                    own[:FEATURES] += np.bincount(features(raw)[inside], minlength=FEATURES)
-                    if len(starts):
-                        own[FEATURES:] += np.bincount(np.maximum.reduceat(SCRIPTS[raw], starts), minlength=N_SCRIPTS)
+                raw = normal(text.as_py())
+                starts, inside = word_starts(raw)
+                if len(starts):
+                    own = found.setdefault(lang, np.zeros(size + N_SCRIPTS, np.int64))
+                    own[:size] += np.bincount(features(raw, size)[inside], minlength=size)
+                    own[size:] += np.bincount(word_scripts(raw, starts), minlength=N_SCRIPTS)
         for lang, own in found.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "feature", "n"])
 
     got = sample.mapInArrow(count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((FEATURES + N_SCRIPTS, len(languages)))
+    counts = np.zeros((size + N_SCRIPTS, len(languages)))
     counts[got["feature"].to_numpy(), got["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()] = got["n"].to_numpy()
-    return Model(languages, counts[:FEATURES], counts[FEATURES:])
+    return Model(languages, counts[:size], counts[size:])
 
 
 def is_held_out() -> Column:
@@ -224,24 +301,28 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """The columns ``keep`` of each row of ``docs`` with lang_pred and score (and ``spans``: language and words of each).
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if nothing was learned.  Rows keep their
-    number whatever their nulls and repetitions; an empty table gives none.  No shuffle.
+    number whatever their nulls and repetitions; an empty table gives none.  A kept column named like a result gives
+    way to it; other columns are not read.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(keep)
-    read = docs.select(*keep, F.col("text").alias("__text"))
+    results = ["lang_pred", "score", *["spans"] * spans]
+    kept = [c for c in keep if c.lower() not in results]
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("kept"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, max(1, b.num_rows), 1024):
                 part = b.slice(at, 1024)
-                langs, points, found = sent.value.predict(part.column(len(names)).to_pylist())
-                columns = [*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(points, pa.float64())]
+                langs, points, found = sent.value.predict(part.column(1).to_pylist())
+                columns = [part.column(0), pa.array(langs, pa.string()), pa.array(points, pa.float64())]
                 if spans:
                     columns.append(pa.array([[{"lang": x, "words": n} for x, n in s] for s in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", *["spans"] * spans])
+                yield pa.RecordBatch.from_arrays(columns, ["kept", *results])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1]) + ", lang_pred string, score double" + ", spans array<struct<lang:string,words:int>>" * spans
-    return read.mapInArrow(run, schema)
+    schema = StructType([read.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    if spans:
+        schema = schema.add("spans", ArrayType(StructType([StructField("lang", StringType()), StructField("words", IntegerType())])))
+    return read.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in kept], *results)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
