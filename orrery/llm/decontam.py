@@ -1,9 +1,9 @@
 """Benchmark decontamination: a generalised suffix automaton of the normalised test items.
 
 Every document's words stream through the automaton, which keeps the longest match that ends at each word.  Where
-it reaches ``window`` words (or the whole of a shorter item), those words are hit.  An automaton holds at most
-``CHUNK_BYTES`` of items, whose size is checked before it is built and broadcast; larger benchmarks are dealt by
-hash over several automata, through which each document passes one after the other in the same scan.
+it reaches ``window`` words (or the whole of a shorter item), those words are hit.  An automaton holds about
+``CHUNK_BYTES`` of items, whose size is checked before it is built and broadcast.  A larger benchmark is dealt over
+several automata that take turns; then a Bloom filter of the item windows first sets aside the documents that need them.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from orrery.llm.common import table
+from orrery.llm.common import Saved, nested, table, unnested
 
 WINDOW = 10
 CHUNK_BYTES = 1 << 20
@@ -146,51 +148,169 @@ def merged(intervals: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def item_chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in chunks of about ``chunk_bytes``, one at a time on the driver; the size is checked first."""
+def item_pieces(benchmark: DataFrame, window: int, chunk_bytes: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(k, t) of the items; a long one comes in pieces that overlap by ``window`` - 1 words, so each window is whole in one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words, out = words_of(text.as_py()), []
+                start = 0
+                while start == 0 or start + window - 1 < len(words):
+                    size, end = 0, start
+                    while end < len(words) and (size < chunk_bytes // 8 or end - start < 2 * window):
+                        size += len(words[end]) + 1
+                        end += 1
+                    out.append(b" ".join(words[start:end]).decode())
+                    if end >= len(words):
+                        break
+                    start = end - window + 1
+                yield pa.RecordBatch.from_arrays([pa.array([key or ""] * len(out), pa.string()), pa.array(out, pa.string())], ["k", "t"])
+
     items = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return items.mapInArrow(cut, "k string, t string").where("t != ''")
+
+
+def item_chunks(pieces: DataFrame, saved: Saved, chunk_bytes: int = CHUNK_BYTES) -> list[DataFrame]:
+    """The pieces dealt by hash over chunks of about ``chunk_bytes``, each a folder of its own."""
+    size = pieces.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    for i in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i)
-        yield [("" if r["k"] is None else r["k"], words_of(r["t"])) for r in own.collect()]
+    if n == 1:
+        return [pieces]
+    dealt = saved.keep(pieces.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(n)).cast("int")), "chunks", ["chunk"])
+    return [dealt.where(F.col("chunk") == i).select("k", "t") for i in range(n)]  # reads the folder of that chunk only
+
+
+def collected(chunk: DataFrame) -> list[tuple[str, list[bytes]]]:
+    """A chunk's items on the driver: about ``CHUNK_BYTES``."""
+    return [(r["k"], r["t"].encode().split()) for r in chunk.collect()]
 
 
-def through(docs: DataFrame, benchmark: DataFrame, columns: list, finish: Callable[[pa.RecordBatch, list, list], pa.RecordBatch], schema: str | StructType, window: int, chunk_bytes: int) -> DataFrame:
+class WindowFilter:
+    """Bloom filter of item windows, at most ``MAX_BITS``: more windows let more documents pass, and never lose one."""
+
+    MAX_BITS = 1 << 28
+
+    def __init__(self, n_bytes: int, window: int) -> None:
+        self.window, self.sizes = window, set()
+        self.bits = np.zeros(min(self.MAX_BITS, 1 << max(16, (3 * n_bytes).bit_length())) >> 3, np.uint8)
+
+    @staticmethod
+    def hashes(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def windows(self, h: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each run of ``size`` words."""
+        out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+        for j in range(size):
+            out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def _places(self, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for shift in (0, 20, 36):
+            at = (w >> np.uint64(shift)) % np.uint64(len(self.bits) * 8)
+            yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, words: list[bytes]) -> None:
+        size = min(self.window, len(words))
+        self.sizes.add(size)
+        for byte, bit in self._places(self.windows(self.hashes(words), size)):
+            np.bitwise_or.at(self.bits, byte, bit)
+
+    def may_hit(self, words: list[bytes]) -> bool:
+        h = self.hashes(words)
+        for size in self.sizes:
+            if len(h) >= size:
+                hit = np.ones(len(h) - size + 1, bool)
+                for byte, bit in self._places(self.windows(h, size)):
+                    hit &= (self.bits[byte] & bit) > 0
+                if hit.any():
+                    return True
+        return False
+
+
+Finish = Callable[[pa.RecordBatch, list, list], pa.RecordBatch]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], of: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), 1024):
+            yield of(whole.slice(at, 1024))
+
+
+def through(docs: DataFrame, benchmark: DataFrame, columns: list, finish: Finish, schema: str | StructType, window: int, chunk_bytes: int) -> DataFrame:
     """``columns`` of ``docs`` (text last) through the automata of the benchmark's chunks.
 
     ``finish(batch, spans, items)`` makes the result of a batch, from merged [first, last] word numbers and item ids.
+    One chunk is one scan.  With more, a first scan sets aside the documents that a Bloom filter of the item windows
+    lets pass; these go through one automaton after the other, each broadcast, used and destroyed in its own round, so
+    one automaton at a time is held, and documents without any window are read once.
     """
     spark = docs.sparkSession
+    saved = Saved(spark, "decontamination")
     out = docs.select(*columns)
     n = len(out.columns)
-    chunks = [spark.sparkContext.broadcast(Automaton(c, window)) for c in item_chunks(benchmark, chunk_bytes)]
-    if len(chunks) > 1:
-        out = out.select("*", F.array().cast("array<array<int>>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    between = out.schema
-
-    def scan(batches: Iterator[pa.RecordBatch], sent, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 1024):
-                b = whole.slice(at, 1024)
-                rows = b.num_rows
-                old_spans, old_items = ([[]] * rows, [[]] * rows) if first else (b.column(n).to_pylist(), b.column(n + 1).to_pylist())
-                spans, items = [], []
-                for text, s, k in zip(b.column(n - 1), old_spans, old_items, strict=True):
-                    found: set[str] = set(k)
-                    intervals: list[list[int]] = []
-                    sent.value.scan(words_of(text.as_py()), intervals, found)
-                    spans.append(merged(s + intervals))
-                    items.append(sorted(found))
-                if last:
-                    yield finish(b, spans, items)
-                else:
-                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], b.schema.names)
-
-    for i, sent in enumerate(chunks):
-        last = i == len(chunks) - 1
-        out = out.mapInArrow(partial(scan, sent=sent, first=i == 0, last=last), schema if last else between)
-    return out
+    chunks = item_chunks(item_pieces(benchmark, window, chunk_bytes), saved, chunk_bytes)
+
+    def scan(batches: Iterator[pa.RecordBatch], sent, last: bool) -> Iterator[pa.RecordBatch]:
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            old_spans, old_items = ([[]] * b.num_rows, [[]] * b.num_rows) if last else (b.column(n).to_pylist(), b.column(n + 1).to_pylist())
+            spans, items = [], []
+            for text, s, k in zip(b.column(n - 1), old_spans, old_items, strict=True):
+                found: set[str] = set(k)
+                intervals: list[list[int]] = []
+                sent.value.scan(words_of(text.as_py()), intervals, found)
+                spans.append(merged(s + intervals))
+                items.append(sorted(found))
+            if last:
+                return finish(b, spans, items)
+            return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+
+        return _slices(batches, of)
+
+    if len(chunks) == 1:
+        only = spark.sparkContext.broadcast(Automaton(collected(chunks[0]), window))
+        return out.mapInArrow(partial(scan, sent=only, last=True), schema)
+
+    windows = WindowFilter(len(chunks) * chunk_bytes, window)
+    for chunk in chunks:
+        for _, words in collected(chunk):
+            windows.add(words)
+    sent_windows = spark.sparkContext.broadcast(windows)
+    state = StructType([StructField("spans", ArrayType(ArrayType(IntegerType()))), StructField("items", ArrayType(StringType()))])
+    boxed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns[:-1]] or [F.lit(0).alias("none")]).alias("columns"), F.col(f"`{out.columns[-1]}`").alias("text"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            maybe = [sent_windows.value.may_hit(words_of(t.as_py())) for t in b.column(1)]
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe, pa.bool_())], ["columns", "text", "maybe"])
+
+        return _slices(batches, of)
+
+    sifted = saved.keep(boxed.mapInArrow(sift, StructType([*boxed.schema.fields, StructField("maybe", BooleanType())])), "sifted", ["maybe"])
+    opened = [*[F.col("columns")[c].alias(c) for c in out.columns[:-1]], F.col("text").alias(out.columns[-1])]
+    rest, now = sifted.where("NOT maybe").select(*opened), sifted.where("maybe").select(*opened)
+    names = [f"c{i}" for i in range(n)]
+    between = StructType([StructField(c, f.dataType) for c, f in zip(names, out.schema.fields, strict=True)] + state.fields)
+    now = now.toDF(*names).select("*", F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for chunk in chunks:
+        sent = spark.sparkContext.broadcast(Automaton(collected(chunk), window))
+        before, now = now, saved.keep(now.mapInArrow(partial(scan, sent=sent, last=False), between), "round")
+        sent.destroy()
+        if hasattr(before, "_saved_path"):
+            saved.drop(before)
+
+    def end(batches: Iterator[pa.RecordBatch], clean: bool) -> Iterator[pa.RecordBatch]:
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            own = pa.RecordBatch.from_arrays(b.columns[:n], out_names)
+            return finish(own, [[]] * b.num_rows, [[]] * b.num_rows) if clean else finish(own, b.column(n).to_pylist(), b.column(n + 1).to_pylist())
+
+        return _slices(batches, of)
+
+    out_names = out.columns
+    hit = now.mapInArrow(partial(end, clean=False), schema)
+    return rest.mapInArrow(partial(end, clean=True), schema).unionByName(hit)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -228,24 +348,23 @@ def remove_words(text: str | None, spans: list[list[int]]) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``documents`` without benchmark passages: hit spans are cut out; documents of which they cover more than
-    ``max_coverage`` of the words go.  Other rows, null and empty texts among them, stay as they are."""
-    names = docs.columns
+    ``max_coverage`` of the words go.  Other rows, null and empty texts among them, stay as they are; n_chars follows
+    the text.  Rows are judged one by one, so null and repeated ids change nothing; no column's name can clash."""
 
     def clean(b: pa.RecordBatch, spans: list, _: list) -> pa.RecordBatch:
         keep, texts = [], []
-        for text, s in zip(b.column(len(names)), spans, strict=True):
+        for text, s in zip(b.column(1), spans, strict=True):
             text = text.as_py()
             keep.append(not s or sum(z - a + 1 for a, z in s) <= max_coverage * len(words_of(text)))
             texts.append(remove_words(text, s) if keep[-1] else None)
         changed = pa.array([bool(s) for s in spans], pa.bool_())
-        columns = [*b.columns[: len(names)], pa.array(texts, pa.string()), changed]
-        return pa.RecordBatch.from_arrays(columns, [*names, "__text", "__changed"]).filter(pa.array(keep, pa.bool_()))
-
-    schema = StructType([*docs.schema.fields, StructField("__text", StringType()), StructField("__changed", BooleanType())])
-    read = [F.col(c) if c != "text" else F.lit(None).cast("string").alias("text") for c in names]
-    found = through(docs, benchmark, [*read, F.col("text").alias("__text")], clean, schema, window, CHUNK_BYTES)
-    n_chars = F.when(F.col("__changed"), F.char_length("__text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
-    return found.select(*[F.col("__text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in names])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), changed], ["row", "text", "changed"]).filter(pa.array(keep, pa.bool_()))
+
+    read = docs.select(nested(docs), "text")
+    schema = StructType([read.schema["row"], StructField("text", StringType()), StructField("changed", BooleanType())])
+    found = through(docs, benchmark, [nested(docs), "text"], clean, schema, window, CHUNK_BYTES)
+    lengths = {c: F.when(F.col("changed"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]) for c in docs.columns if c == "n_chars"}
+    return found.select(*unnested(docs.columns, F.col("text"), **lengths))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
