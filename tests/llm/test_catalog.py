@@ -1,7 +1,10 @@
 import random
+from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from tests.test_queries import SF, duck, rows_of  # noqa: F401
 
 from orrery.llm import catalog
@@ -93,6 +96,73 @@ def test_pipeline_stages_on_planted_documents(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(after[-1])
 
 
+CLASHES = ("score", "lang_pred", "spans", "rid", "kept", "x_id", "x_rid", "own_id", "lost_id", "row", "doc", "changed", "words", "h1", "batch", "__text", "__changed", "n_dropped", "component_id", "start")
+
+
+def test_pipeline_stages_with_clashing_columns_odd_ids_and_no_rows(spark, tmp_path):
+    docs, _ = planted()
+    rows = [(i, t, k, "x", len(t or "")) for i, (t, k) in docs.items()]
+    rows += [(None, f"{SHARED}\nand the water of the river that have been", "en", None, None), (None, None, None, None, None), (0, docs[0][0], "en", "x", 1), (3, "the house of the people", "en", "x", 23)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clashing = plain.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    key = lambda df: sorted((tuple(r) for r in df.select(plain.columns).collect()), key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, clashing, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        assert got.columns == clashing.columns and want.columns == plain.columns
+        assert key(got) == key(want), name
+        assert got.where(" OR ".join(f"`{c}` <> 7" for c in CLASHES)).count() == 0, name
+        assert stage(spark, clashing.limit(0), str(tmp_path)).count() == 0, name
+        no_ids = [r for r in want.collect() if r.doc_id is None]
+        assert len(no_ids) == {"language_id": 1, "benchmark_decontamination": 2}.get(name, 2), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, clashing, str(tmp_path))
+    assert key(packed.select(F.col("doc_id"), F.col("length").alias("text"), F.lit(0).alias("lang"), F.lit(0).alias("source"), F.lit(0).alias("n_chars")))
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing.limit(0), str(tmp_path)).count() == 0
+
+
+#: The columns that the contracts ask for, first and in this order.
+CONTRACTS = {
+    "op1_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op2_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op3_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op4_url_filters": "page_id bigint, host string, path string, rule string, verdict string",
+    "op5_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op6_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op7_benchmark_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op8_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op9_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op10_secret_scans": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACTS))
+def test_queries_keep_their_contract(spark, name):
+    got = __spark_entry__.queries()[name](spark, SF)
+    assert dict(f.split() for f in CONTRACTS[name].split(", ")).items() <= dict(got.dtypes).items()
+    source = "pages" if name[:4] in ("op1_", "op4_") else "documents"
+    ids = lambda df, c: Counter(r[0] for r in df.select(c).collect())
+    want = spark.read.parquet(f"{SF}/{source}.parquet")
+    key = want.columns[0]
+    if name == "op9_packing":
+        assert set(ids(got, key)) == set(ids(want, key))
+    else:
+        assert ids(got, key) == ids(want, key)
+    if name == "op10_secret_scans":  # the base spans, again, in plain Python
+        import hashlib
+        import re
+
+        assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+        of = {r.doc_id: r for r in got.collect()}
+        for r in want.collect():
+            t = r.text or ""
+            base = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 12]
+            base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+            base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+            spans = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base))
+            assert of[r.doc_id].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+            assert [of[r.doc_id][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[3] == k for x in base) for k in ("assign", "access", "hex")]
+
+
 def test_documents_in_several_languages_are_kept(spark):
     rng = random.Random(10)
     some = lambda k, n: " ".join(rng.choice(WORDS[k]) for _ in range(n))

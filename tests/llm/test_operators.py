@@ -189,6 +189,19 @@ def hits_of(text, window=10):
     return len(w), len(hit), sorted(items)
 
 
+def test_long_items_come_in_pieces_and_no_window_is_lost(spark):
+    words = [f"v{i % 41}x{i % 7}" for i in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "v1x1"), (3, None), (4, "")], "item_id bigint, text string")
+    pieces = [(r.k, r.t.split()) for r in decontam.item_pieces(bench, 10, 400).collect()]
+    assert len(pieces) > 5 and max(len(" ".join(w)) for _, w in pieces) < 200
+    cut = {tuple(w[j : j + 10]) for k, w in pieces if k == "1" for j in range(len(w) - 9)}
+    assert cut == {tuple(words[j : j + 10]) for j in range(len(words) - 9)}
+    seen = decontam.WindowFilter(5000, 10)
+    for _, w in pieces:
+        seen.add([x.encode() for x in w])
+    assert seen.may_hit([x.encode() for x in ["a", *words[100:110]]]) and seen.may_hit([b"v1x1"]) and not seen.may_hit([b"q"] * 30)
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 30])
 def test_contamination(docs, spark, chunk_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
@@ -244,11 +257,34 @@ def test_line_dedup(docs):
             drop = len(key(line)) >= 20 and len(ids) >= 3 and i != max(k for k in ids if k is not None)
             kept += [] if drop else [line]
         want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    for batches in (1, 5):
-        got = line_dedup.dedup_lines(docs, batches=batches).select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("lines", "\n"), 256))
+    for batches, limit in ((1, 32 << 20), (5, 32 << 20), (5, 0)):  # with the last, no list is broadcast but that of hot keys
+        got = line_dedup.dedup_lines(docs, batches=batches, broadcast_bytes=limit).select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("lines", "\n"), 256))
         assert rows(got) == sorted(want, key=repr)
 
 
+def test_line_runs_are_levelled_disjoint_and_joined_without_exchange(spark, monkeypatch):
+    from orrery.llm.common import Saved
+
+    runs = line_dedup.LineRuns(spark, Saved(spark, "test"))
+    whole = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(True).alias("first"), F.xxhash64(F.col("id") % 700).alias("h1"), F.xxhash64(F.lit(1), F.col("id") % 700).alias("h2"))
+    shape = []
+    for i in range(9):
+        runs.add(whole.where(F.col("doc_id") % 9 == i))
+        shape.append([k for k, r in enumerate(runs.levels) if r is not None])
+    assert shape == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2], [3], [0, 3]]
+    keys = [tuple(r) for run in runs.runs() for r in run.select("h1", "h2").collect()]
+    assert len(keys) == len(set(keys)) == 700
+    plan = runs.merge(*runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = {r.h1: (r.n, r.k) for r in whole.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("k")).collect()}
+    assert {r.h1: (r.n_docs, r.keeper) for r in runs.frequent(3).collect()} == want
+    monkeypatch.setattr(line_dedup, "HOT", 0.0015)  # some keys are hot, others not
+    lines = whole.select("h1", "h2", F.col("doc_id").alias("n")).where("n % 3 < 2")
+    few = runs.frequent(5)
+    assert 0 < few.where(F.col("n_docs") > 3000 * 0.0015).count()
+    assert rows(line_dedup.with_keeper(lines, few, 3000, 0).select("n", "keeper")) == rows(lines.join(few, ["h1", "h2"]).select("n", "keeper"))
+
+
 def components_of(data, width, num, den):
     def shingles(x):
         w = (x or "").encode().lower().split()
@@ -498,6 +534,28 @@ def test_viterbi_carries_over_stretches(monkeypatch):
             at += n
 
 
+def test_scripts_narrow_the_candidates(spark):
+    vocabulary = {"en": "house water stone", "hi": "घर पानी पत्थर", "th": "บ้าน น้ำ หิน", "vi": "nhà nước tiếng đường việt", "ja": "いえの みずを 石です", "zh": "房子 水源 石头"}
+    data = [(i, " ".join(vocabulary[k].split() * 8), k) for i in range(60) for k in [list(vocabulary)[i % 6]]]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    named = lambda script: {model.languages[k] for k in model.candidates[langid.SCRIPTS[script]]}
+    assert named("Devanagari") == {"hi"} and named("Thai") == {"th"} and named("Latin") == {"en", "vi"} and named("Kana") == {"ja"} and "zh" in named("Han")
+    assert not len(model.candidates[langid.SCRIPTS["Greek"]])
+    scores, _ = model.word_scores([langid.normal("House पत्थर λόγος")])
+    assert [sorted(np.flatnonzero(s > langid.NO_CANDIDATE).tolist()) for s in scores] == [[model.languages.index(k) for k in ("en", "vi")], [model.languages.index("hi")], list(range(6))]
+    assert model.predict(["việt đường", "หิน", "पानी house पत्थर", "λόγος"])[0][:3] == ["vi", "th", "hi"]
+    assert langid.feature_count(10) == langid.FEATURES and langid.feature_count(5000) * 5000 <= langid.MODEL_CELLS
+
+
+def test_held_out_accuracy(spark):
+    """Of the labelled documents that the query does not learn from."""
+    sf = "/root/testdata/sf0.01"
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    held = langid.op6_language_id(spark, sf).where("held_out").join(lang, "doc_id").where("lang IS NOT NULL").collect()
+    wrong = [r for r in held if r.lang != r.lang_pred]
+    assert len(held) > 200 and len(wrong) <= 0.01 * len(held)
+
+
 def test_all_labels_are_learned(spark):
     word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(2)) * 3
     data = [(i, " ".join([word(i % 300)] * 5), f"l{i % 300:03d}") for i in range(600)]
