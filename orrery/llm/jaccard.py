@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Saved, table
+from orrery.llm.common import Saved, integral_id, table
 from orrery.llm.components import components
 
 U = np.uint64
@@ -38,6 +38,8 @@ FLUSH_KEYS, BUCKET_KEYS = 1 << 19, 1 << 20
 MIN_BUCKETS = 64
 #: Ids up to so many are broadcast to fetch texts (32 MB); more go through a shuffle.
 BROADCAST_IDS = 1 << 21
+#: A class of equal sets with more than this share of the rows is hot.
+HOT = 1 / 1000
 #: Sets of a block that are compared in one task; larger blocks are dealt over pairs of chunks.
 CHUNK = 4096
 
@@ -433,13 +435,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     A set holds the distinct ``width``-word shingles of the lower-cased (A-Z) text, or all its words as one if they
     are fewer.  Two documents link when den * intersection >= num * union; component_id is the smallest doc_id that
-    links reach.  A null or empty text has an empty set and links with nothing, equal empty texts neither.  Rows
+    links reach; ids that are no whole numbers are refused.  A null or empty text has an empty set and links with nothing, equal empty texts neither.  Rows
     repeated with one doc_id are one document; a row without an id has no component and links with nothing.  An empty
     table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     saved = Saved(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = integral_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size / 6 * 2 * (den - num) / num
     n_buckets = 1 << max(MIN_BUCKETS.bit_length() - 1, int(expected / BUCKET_KEYS).bit_length())
@@ -448,7 +450,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     info = kinds[0].select("doc_id", "n", "h1", "h2")
 
     classes = info.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    copies = info.where("n > 0").join(classes, ["h1", "h2"]).where("doc_id != rep").select("doc_id", "rep").distinct()
+    classes = saved.keep(classes, "classes")
+    is_hot = F.col("size") > max(1, info.count() * HOT)
+    full, hot = info.where("n > 0"), F.broadcast(classes.where(is_hot))  # at most 1 / HOT classes are hot
+    of_hot = full.join(hot, ["h1", "h2"])
+    of_rest = full.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(classes.where(~is_hot), ["h1", "h2"])
+    copies = of_hot.unionByName(of_rest).where("doc_id != rep").select("doc_id", "rep").distinct()
     copies = saved.keep(copies, "copies")
     rep_of = bounded(copies)
 
