@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import Saved, table
 
 #: The base patterns. A shorter value of ``assign`` still uses up its match, so its length is tested after; the
 #: other two match whole runs, where a length in the pattern means the same.
@@ -69,6 +69,7 @@ def word_lists(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = max(1, docs.count())
     chosen = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_000)) < min(1.0, SAMPLE_DOCS / n) * 1_000_000)
+    chosen = Saved(spark, "secrets").keep(chosen.select("text"), "sample")  # else later filters on the words would cut the words of all rows
     letters = F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,20}+(?![A-Za-z0-9+/_=-])")
     of_docs = chosen.select(F.slice(F.array_sort(F.regexp_extract_all("text", letters, F.lit(0)), lambda a, b: F.when(F.xxhash64(a) < F.xxhash64(b), -1).when(F.xxhash64(a) > F.xxhash64(b), 1).otherwise(0)), 1, JOINED_WORDS).alias("words"))
     names = spark.sql("SHOW ALL FUNCTIONS").select(F.col("function").alias("line")).unionByName(spark.sql("SET -v").select(F.concat_ws(" ", "key", "meaning").alias("line")))
@@ -78,10 +79,12 @@ def word_lists(docs: DataFrame) -> DataFrame:
 
 def identifiers(lists: DataFrame) -> DataFrame:
     """Words joined as identifiers: three to seven words that follow each other, in one of several forms."""
-    starts = lists.where("size(words) > 1").select("words", F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round")).select("words", "round", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
-    h = F.pmod(F.xxhash64("round", "at", F.get("words", F.col("at") - 1)), F.lit(1 << 30))
-    some = starts.select(F.expr("slice(words, at, 3 + pmod(at + round, 5))").alias("w"), h.alias("h"))
-    some = some.select("h", F.transform("w", lambda x: F.lower(x)).alias("w"))
+    def run_of(at: Column, round_: Column) -> Column:
+        own = F.transform(F.sequence(at, F.least(at + 2 + F.pmod(at + round_, F.lit(5)), F.size("words")) - 1), lambda j: F.lower(F.get(F.col("words"), j)))
+        return F.struct(own.alias("w"), F.pmod(F.xxhash64(round_, at, F.get(F.col("words"), at)), F.lit(1 << 30)).alias("h"))
+
+    each = lists.where("size(words) > 2").select("words", F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round"))
+    some = each.select(F.inline(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda at: run_of(at, F.col("round")))))
     camel = F.transform("w", lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 20)))
     number = (F.col("h") % 10_000).cast("string")
     forms = [
