@@ -111,3 +111,20 @@ def tool_relevance(entities: DataFrame, relations: DataFrame, terms: list[str],
 def multi_hop(relations: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(node, distance) in either direction, the start included; nodes first met at the last hop are left out."""
     return graph.distances(relations, start, max(hops - 1, 0), "both") if hops > 0 else graph.distances(relations, start, 0, "both").limit(0)
+
+
+def upserted_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities (name, ...) of which new ones replace those of the same name; of new ones with one name the last by id."""
+    last = new.groupBy("name").agg(F.max_by(F.struct(*[c for c in new.columns if c != "name"]), "id").alias("r")).select("name", "r.*").select(*new.columns)
+    return entities.join(last.select("name"), "name", "left_anti").select(*entities.columns).unionByName(last)
+
+
+def added_relations(entities: DataFrame, relations: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations (src, dst, kind, ...) with the new ones whose ends are both known, each (src, dst, kind) once; and the new ones that are refused."""
+    known = entities.select("name").distinct()
+    ends = new.join(known.withColumnsRenamed({"name": "src"}).withColumn("_s", F.lit(True)), "src", "left").join(known.withColumnsRenamed({"name": "dst"}).withColumn("_d", F.lit(True)), "dst", "left")
+    ok = F.col("_s").isNotNull() & F.col("_d").isNotNull()
+    good, bad = ends.where(ok).select(*new.columns), ends.where(~ok).select(*new.columns)
+    key = ["src", "dst", "kind"]
+    fresh = good.dropDuplicates(key).join(relations.select(*key), key, "left_anti").select(*relations.columns)
+    return relations.unionByName(fresh), bad

@@ -3,22 +3,79 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
-from orrery.sources.shared import cut
+from orrery.sources.shared import Saved, cut
+
+#: Edges of a graph that one task may hold.
+SMALL_EDGES = 4_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both") -> DataFrame:
-    """(node, distance) of all nodes within ``max_distance`` steps of a seed (node); the first visit counts."""
+def _one_task(edges: DataFrame, seeds: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel(src, dst, seeds, n)`` over nodes numbered from 0, in one task; the caller has checked that the edges are few.
+
+    It gives a frame whose column ``node`` holds such numbers.
+    """
+    kind = edges.schema["src"].dataType
+    rows = edges.select("src", "dst").unionByName(seeds.select(F.col("node").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        is_edge = whole["dst"].is_valid().to_numpy()
+        src, dst = whole["src"].to_pandas(), whole["dst"].to_pandas()
+        codes, names = pd.factorize(pd.concat([src, dst[is_edge]]))
+        own = codes[: len(src)]
+        out = kernel(own[is_edge], codes[len(src) :], own[~is_edge], len(names))
+        out["node"] = np.asarray(names)[out["node"].to_numpy()]
+        yield pa.RecordBatch.from_pandas(out[result.names], schema=None, preserve_index=False)
+
+    result = _schema(schema, kind)
+    return rows.repartition(1).mapInArrow(run, result)
+
+
+def _schema(rest: str, kind: DataType) -> StructType:
+    types = {"int": IntegerType(), "double": DoubleType()}
+    return StructType([StructField("node", kind), *[StructField(n, types[t]) for n, t in (f.split() for f in rest.split(", "))]])
+
+
+def _breadth_first(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, n: int, hops: int) -> pd.DataFrame:
+    far = np.full(n, -1, np.int32)
+    far[seeds] = 0
+    for hop in range(1, hops + 1):
+        step = dst[far[src] == hop - 1]
+        step = step[far[step] < 0]
+        if not len(step):
+            break
+        far[step] = hop
+    found = np.flatnonzero(far >= 0)
+    return pd.DataFrame({"node": found, "distance": far[found]})
+
+
+def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both", small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(node, distance) of all nodes within ``max_distance`` steps of a seed (node); the first visit counts.
+
+    Graphs of at most ``small_edges`` edges are searched in one task, larger ones by a join a step.
+    """
     e = edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if direction == "in" else undirected(edges)
-    if max_distance > 1:
+    if small_edges and max_distance > 0:
+        e = cut(e, "edges")
+        if e.count() <= small_edges:
+            return _one_task(e, seeds, partial(_breadth_first, hops=max_distance), "distance int")
+    elif max_distance > 1:
         e = cut(e, "edges")
     seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
@@ -29,6 +86,29 @@ def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction:
     return seen
 
 
+#: Hops and rows of a neighbour query, by default and at most.
+HOPS, MAX_HOPS, NEIGHBORS, MAX_NEIGHBORS = 2, 8, 50, 300
+
+
+def neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "both", hops: int = HOPS, limit: int = NEIGHBORS) -> DataFrame:
+    """(node, distance): the ``limit`` nearest nodes around the seeds, seeds left out; hops and limit are kept in their bounds."""
+    hops, limit = min(max(1, hops), MAX_HOPS), min(max(1, limit), MAX_NEIGHBORS)
+    return distances(edges, seeds, hops, direction).where("distance > 0").orderBy("distance", "node").limit(limit)
+
+
+def neighbor_counts(edges: DataFrame) -> DataFrame:
+    """(node, n_out, n_in, n_both): distinct neighbours that a node links to, is linked from, either."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("out")))
+    pairs = ends.groupBy("node", "other").agg(F.max("out").alias("o"), F.min("out").alias("i"))
+    return pairs.groupBy("node").agg(F.count_if("o").alias("n_out"), F.count_if(~F.col("i")).alias("n_in"), F.count("*").alias("n_both"))
+
+
+def paths_at(nodes: DataFrame, paths: DataFrame, distance: int | None = None) -> DataFrame:
+    """Paths (node, path) of the nodes (node, distance) around a centre, at one distance or any but 0, once each."""
+    near = nodes.where("distance > 0") if distance is None else nodes.where(F.col("distance") == distance)
+    return near.join(paths.select("node", "path"), "node").select("path").distinct()
+
+
 def degree_rank(edges: DataFrame) -> DataFrame:
     """(node, score): ln(1 + 2 in + out) over the largest."""
     ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
@@ -36,29 +116,75 @@ def degree_rank(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.max("raw").alias("most")))).select("node", "n_in", "n_out", (F.col("raw") / F.col("most")).alias("score"))  # one row
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
-    """Personalized PageRank (node, rank) on the undirected graph; mass without neighbours returns to the seeds.
+def _power(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, n: int, iterations: int, alpha: float, tol: float) -> pd.DataFrame:
+    out = np.bincount(src, minlength=n)
+    seeds = np.unique(seeds)
+    seeds = seeds[out[seeds] > 0]
+    restart = np.zeros(n)
+    if len(seeds):
+        restart[seeds] = 1.0 / len(seeds)
+    rank, degree = restart.copy(), np.maximum(1, out)
+    for _ in range(iterations):
+        step = (1 - alpha) * restart + alpha * np.bincount(dst, (rank / degree)[src], minlength=n)
+        moved, rank = np.abs(step - rank).sum(), step
+        if tol > 0 and moved <= tol:
+            break
+    found = np.flatnonzero(out > 0)
+    return pd.DataFrame({"node": found, "rank": rank[found]})
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """Personalized PageRank (node, rank) on the undirected graph; a seed without neighbours counts for nothing.
 
     At most ``iterations`` rounds, and none after ranks have moved by ``tol`` or less in sum; with 0 all rounds are run.
+    Graphs of at most ``small_edges`` edges are ranked in one task.  Of larger ones the edges are bucketed by source and
+    each round's ranks by node, so that a round shuffles only what flows, once, added up before.
     """
     e = cut(undirected(edges), "edges")
-    out = cut(e.groupBy("src").agg(F.count("*").alias("n")), "degrees")
-    nodes = out.select(F.col("src").alias("node"))
-    s = seeds.select("node").distinct().join(nodes, "node", "left_semi")
+    if small_edges and e.count() <= small_edges:
+        return _one_task(e, seeds, partial(_power, iterations=iterations, alpha=alpha, tol=tol), "rank double")
+    spark = e.sparkSession
+    saved, buckets = Saved(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = e.groupBy("src").agg(F.count("*").alias("n"))
+    weighted = saved.keep_sorted(e.join(out, "src"), "weighted", ["src"], buckets)
+    nodes = weighted.select(F.col("src").alias("node")).distinct()
+    s = saved.keep(seeds.select("node").distinct().join(nodes, "node", "left_semi"), "seeds")
     share = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("m")))).select("node", (1.0 / F.col("m")).alias("restart"))  # one row
-    base = cut(nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")), "restart")
-    rank = base.select("node", "restart", F.col("restart").alias("rank"))
-    weighted = cut(e.join(out, "src"), "weighted")
+    start = nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart"))
+    rank = saved.keep_sorted(start.withColumns({"rank": F.col("restart"), "moved": F.lit(0.0)}), "rank", ["node"], buckets)
     for _ in range(iterations):
         flow = weighted.join(rank.select("node", "rank"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         step = (1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))
+        before = rank
         rank = rank.join(flow, F.col("node") == F.col("dst"), "left").select("node", "restart", step.alias("rank"), F.abs(step - F.col("rank")).alias("moved"))
-        rank = cut(rank, "rank")
+        rank = saved.keep_sorted(rank, "rank", ["node"], buckets)
+        saved.drop(before)
         if tol > 0 and (rank.agg(F.sum("moved")).first()[0] or 0.0) <= tol:
             break
     return rank.select("node", "rank")
 
 
+#: Nodes around the seeds that are ranked at most, by their distance and name.
+MAX_CANDIDATES = 5000
+
+
+def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, limit: int = 20, candidates: int = MAX_CANDIDATES, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(node, distance, score) of the nodes most related to the seeds, seeds left out.
+
+    Nodes within ``max_distance`` of a seed, the ``candidates`` nearest at most, make the horizon; personalized PageRank
+    runs on its part of the graph.  The order is by score, then distance, then node.
+    """
+    whole = cut(edges.select("src", "dst").distinct(), "edges")
+    horizon = cut(distances(whole, seeds, max(1, max_distance), small_edges=small_edges), "horizon")
+    near = horizon.where("distance = 0").unionByName(horizon.where("distance > 0").orderBy("distance", "node").limit(candidates))
+    near = F.broadcast(cut(near, "near")) if candidates <= 100_000 else cut(near, "near")  # and the seeds of the caller
+    ends = near.select("node")
+    part = whole.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    rank = pagerank(part, seeds, iterations, alpha, tol, small_edges)
+    found = rank.join(near, "node").where("distance > 0").select("node", "distance", F.col("rank").alias("score"))
+    return found.orderBy(F.desc("score"), "distance", "node").limit(limit)
+
+
 def collapse(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges between clusters: ends are renamed by (node, cluster), loops and repeats go."""
     m = mapping.select("node", "cluster")
@@ -143,13 +269,16 @@ def grow_clusters(score: dict, out: dict) -> list[tuple[list, float, float]]:
 def dense_clusters(nodes: DataFrame, edges: DataFrame, min_score: float, min_activations: int = 3) -> DataFrame:
     """(cluster, members, avg_score, density) among nodes (node, score, activations) of high score.
 
-    Growth depends on order, so the high nodes of one component are one group; components are found by joins.
-    Choose ``min_score`` so that a component of high nodes fits into a task.
+    Growth depends on order, so the high nodes of one component are one group; components are found by joins.  A
+    component of more than ``SMALL_EDGES`` edges is refused: choose a higher ``min_score``.
     """
     high = cut(nodes.where((F.col("score") >= min_score) & (F.col("activations") >= min_activations)).select("node", "score"), "high")
     inner = edges.select("src", "dst").where("src != dst").distinct().join(high.select(F.col("node").alias("src")), "src", "left_semi").join(high.select(F.col("node").alias("dst")), "dst", "left_semi")
     inner = cut(inner, "inner")
-    parts = labels(inner)
+    parts = cut(labels(inner), "components")
+    largest = inner.join(parts, F.col("src") == F.col("node")).groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > SMALL_EDGES:
+        raise ValueError(f"a component has {largest} edges, more than a task may hold; raise min_score")
     rows = high.join(parts, "node").select("label", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "score")
     rows = rows.unionByName(inner.join(parts, F.col("src") == F.col("node")).select("label", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0.0).alias("score")))
 

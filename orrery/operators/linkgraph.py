@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as sc
+from orrery.operators.hits import hit_order, linked_by, tag_filter, under_path
+from orrery.operators.requests import directives
 from orrery.operators.search import ladder
 
 
@@ -162,3 +164,67 @@ def proximity_boost(hits: DataFrame, links: DataFrame, tags: DataFrame, link_boo
     n_tags = sets.join(near, F.col("tag_set") == F.col("mine")).select("stem", "n_tags")
     out = h.join(n_links, "stem", "left").join(n_tags, "stem", "left")
     return out.select("stem", (F.col("score") + link_boost * F.coalesce("n_links", F.lit(0)) + tag_boost * F.coalesce("n_tags", F.lit(0))).alias("score"))
+
+
+#: The weight of a note's further sections.
+SECTION_TAIL = 0.15
+STRATEGIES = ("fts", "path_fuzzy", "exact", "re")
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """Rows with their value of ``scores`` (key, name), 0 where there is none."""
+    return rows.join(scores.select(key, name), key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def planned_search(notes: DataFrame, note: Note, text: str, limit: int | None, sections: DataFrame | None = None, ranks: DataFrame | None = None, boosts: DataFrame | None = None, edges: DataFrame | None = None, condition: Column | None = None, strategy: str | None = None) -> DataFrame:
+    """(doc_id, score): a whole note search in one plan.
+
+    ``text`` may hold directives: its limit and match strategy come before the arguments, its tag, path and sort
+    directives filter and order, its linked_by and link_to directives filter by ``edges`` (src, dst).  ``fts`` blends lexical, section and path score, ``path_fuzzy`` path and section score,
+    ``exact`` and ``re`` stand alone; without words every note that passes the filters scores 1.  The best sections
+    (doc_id, heading_path, level, body) of a note add up and may lift it; with the first two strategies its graph rank
+    (doc_id, rank) and then suggested links (doc_id, boost) raise it.  Zeros go; the order is by the sort directives,
+    then score, path and stem; without a limit all notes come, unordered.  ``notes`` has doc_id, path, stem and what ``note`` refers to, folded unless the request
+    minds case.
+    """
+    request = directives(text)
+    limit = request.limit or limit
+    kind = strategy or {"fuzzy": "path_fuzzy", "regex": "re"}.get(request.match or "", request.match) or "fts"
+    if kind not in STRATEGIES:
+        raise ValueError(f"unknown strategy {kind}")
+    query = request.text if request.case_sensitive or kind == "re" else request.text.lower()
+    words = list(dict.fromkeys(query.split()))
+    rows = notes if condition is None else notes.where(condition)
+    if tags := request.lists.get("tags"):
+        rows = rows.where(tag_filter(note.tags, some=tags))
+    if prefixes := request.lists.get("path"):
+        rows = rows.where(reduce(lambda a, b: a | b, [under_path(F.col("path"), p) for p in prefixes]))
+    if edges is not None:
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        for name, links in (("linked_by", edges), ("link_to", back)):
+            if stems := request.lists.get(name):
+                ends = notes.where(F.lower("stem").isin([x.lower() for x in stems])).select(F.col("doc_id").alias("node"))
+                rows = linked_by(rows, links, "doc_id", ends)
+    section = F.lit(0.0)
+    if sections is not None and query:
+        best = section_candidates(sections, query, words)
+        sums = best.groupBy("doc_id").agg(F.max("score").alias("best_section"), F.sum("score").alias("all_sections"))
+        rows = rows.join(sums, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("best_section", "all_sections")})
+        section = F.col("best_section")
+    if not query:
+        score = F.lit(1.0)
+    elif kind == "fts":
+        score = text_blend(document_score(note, query, words), section, path_score(note, query, words))
+    elif kind == "path_fuzzy":
+        score = fuzzy_path_blend(path_score(note, query, words), section)
+    else:
+        score = exact_score(note, query) if kind == "exact" else regex_score(note, query)
+    if sections is not None and query:
+        score = F.greatest(score, _unit(section + SECTION_TAIL * (F.col("all_sections") - section)))
+    scored = rows.withColumn("score", score).where("score > 0")
+    if ranks is not None and query and kind in ("fts", "path_fuzzy"):
+        scored = with_scores(scored, ranks, "doc_id").withColumn("score", rank_boost(F.col("score"), F.col("rank")))
+    if boosts is not None:
+        raised = with_provisional(scored.select("doc_id", "score"), boosts).select("doc_id", "score")
+        scored = rows.select("doc_id", "path", "stem").join(raised, "doc_id")
+    return (scored if limit is None else scored.orderBy(*hit_order(request.sort)).limit(limit)).select("doc_id", "score")

@@ -137,3 +137,78 @@ def halt_points(df: DataFrame, key: str, order: str, score: Column, floor: float
     return marked.groupBy(key).agg(F.min(order).alias("halt_at"))
 
 
+
+
+def last_turns(turns: DataFrame, session: str, order: str, n: int) -> DataFrame:
+    """The last ``n`` turns of each session, 0 the oldest of them: what a ring of that size holds."""
+    w = Window.partitionBy(session)
+    kept = turns.withColumn("_r", F.row_number().over(w.orderBy(F.desc(order)))).where(F.col("_r") <= n)
+    return kept.withColumn("slot", F.row_number().over(w.orderBy(order)) - 1).drop("_r")
+
+
+def drained(turns: DataFrame, session: str, order: str, n: int) -> DataFrame:
+    """The oldest ``n`` turns of each session."""
+    return turns.withColumn("_r", F.row_number().over(Window.partitionBy(session).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+
+
+#: From which bias on a plan widens or narrows, and by how much at full strength.
+WIDEN_FROM, NARROW_FROM, STRONG = -0.25, 0.35, 0.7
+
+
+def tuned_plan(bias: Column, k1: Column, k2: Column, mix: Column, min_score: Column, chars: Column) -> Column:
+    """A struct of the recall plan (k1, k2, mix, min_score, chars) that feedback has widened or narrowed; k2 is 1 to k1."""
+    b = F.when(F.isnan(bias) | bias.isNull(), 0.0).otherwise(F.least(F.greatest(bias, F.lit(-1.0)), F.lit(1.0)))
+    strength = F.abs(b)
+    step = F.when(strength >= STRONG, 2).otherwise(1)
+    unit = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    wide_2 = k2 + step
+    wide = F.struct(F.greatest(k1 + 3 * step, wide_2).alias("k1"), wide_2.alias("k2"), unit(mix - 0.06 * strength, 0.0, 1.0).alias("mix"), unit(min_score - 0.05 * strength, 0.01, 1.0).alias("min_score"), unit(chars + F.round(240 * strength).cast("int"), 320, 2400).alias("chars"))
+    few_2 = F.greatest(k2 - step, F.lit(1))
+    few = F.struct(F.greatest(k1 - 2 * step, few_2).alias("k1"), few_2.alias("k2"), unit(mix + 0.05 * strength, 0.0, 1.0).alias("mix"), unit(min_score + 0.04 * strength, 0.01, 0.35).alias("min_score"), unit(chars - F.round(160 * strength).cast("int"), 320, 2400).alias("chars"))
+    same = F.struct(k1.alias("k1"), k2.alias("k2"), mix.cast("double").alias("mix"), min_score.cast("double").alias("min_score"), chars.alias("chars"))
+    plan = F.when(b <= WIDEN_FROM, wide).when(b >= NARROW_FROM, few).otherwise(same)
+    k = F.greatest(plan["k1"], F.lit(1))
+    return F.struct(k.alias("k1"), F.least(F.greatest(plan["k2"], F.lit(1)), k).alias("k2"), plan["mix"].alias("mix"), plan["min_score"].alias("min_score"), plan["chars"].alias("chars"))
+
+
+def decided(log: DataFrame, key: str, order: str, state: str, start: str = "provisional", final: tuple[str, ...] = ("promoted", "rejected")) -> DataFrame:
+    """(key, state, at): what an append log of suggestions and decisions comes to.
+
+    Only a suggestion that is still open can be decided, so the first decision after its first suggestion counts.
+    """
+    opened = log.where(F.col(state) == start).groupBy(key).agg(F.min(order).alias("opened"))
+    decisions = log.where(F.col(state).isin(*final)).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(state).alias("_s"))
+    first = opened.join(decisions, (F.col(key) == F.col("_k")) & (F.col("_o") > F.col("opened")), "left").groupBy(key, "opened").agg(F.min_by("_s", "_o").alias("_s"), F.min("_o").alias("_o"))
+    return first.select(key, F.coalesce("_s", F.lit(start)).alias("state"), F.coalesce("_o", "opened").alias("at"))
+
+
+class Builds:
+    """Which corpora are built, by fingerprint: a build runs under a lease of an epoch, and only its holder may end it."""
+
+    def __init__(self) -> None:
+        self.done: dict[str, str] = {}
+        self.running: dict[str, tuple[str, int]] = {}
+        self.progress: dict[str, float] = {}
+        self.epoch = 0
+
+    def begin(self, corpus: str, fingerprint: str) -> int | None:
+        """The lease of a new build; None if this fingerprint is built or being built.  A new fingerprint takes the lease over."""
+        if self.done.get(corpus) == fingerprint or self.running.get(corpus, ("", 0))[0] == fingerprint:
+            return None
+        self.epoch += 1
+        self.running[corpus], self.progress[corpus] = (fingerprint, self.epoch), 0.0
+        return self.epoch
+
+    def report(self, corpus: str, lease: int, share: float) -> bool:
+        if self.running.get(corpus, ("", 0))[1] != lease:
+            return False
+        self.progress[corpus] = min(1.0, max(self.progress[corpus], share))
+        return True
+
+    def finish(self, corpus: str, lease: int, ok: bool = True) -> bool:
+        if self.running.get(corpus, ("", 0))[1] != lease:
+            return False
+        fingerprint, _ = self.running.pop(corpus)
+        if ok:
+            self.done[corpus], self.progress[corpus] = fingerprint, 1.0
+        return True

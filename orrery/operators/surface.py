@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, VarcharType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, VarcharType
 
 #: Logical operators that change something or describe the session; a query's parsed plan holds none.
 _WRITES = ("Create", "Drop", "Insert", "Append", "Overwrite", "Delete", "Update", "Merge", "Set", "Alter", "Show", "Describe", "Use", "Explain", "Cache", "Uncache", "Add", "Reset", "Truncate", "Load", "Refresh", "Repair", "Analyze", "Comment", "Replace", "Rename")
@@ -115,3 +119,41 @@ def run_plugin(df: DataFrame, name: str) -> DataFrame:
             yield f(b)
 
     return df.mapInPandas(batches, schema)
+
+
+def register_aggregate(spark: SparkSession, name: str, result: str, function: Callable) -> None:
+    """An aggregate function of SQL that a Python function over a group's column (a pandas Series) computes.
+
+    A group is one column in one task: for keys of bounded groups.
+    """
+
+    def run(column):
+        return function(column)
+
+    spark.udf.register(name, F.pandas_udf(run, result, F.PandasUDFType.GROUPED_AGG))
+
+
+def scored_by(df: DataFrame, columns: list[str], scorer: Callable[[pa.RecordBatch], list[float]], name: str = "score") -> DataFrame:
+    """Rows with a score that an outside scorer gives for Arrow batches of ``columns``; batch by batch, without a shuffle."""
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    own = df.columns
+
+    def run(batches):
+        for b in batches:
+            asked = pa.RecordBatch.from_arrays([b.column(own.index(c)) for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(asked), pa.float64())], [*own, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def sql_payload(spark: SparkSession, sql: str, limit: int, **tables: DataFrame) -> dict:
+    """What a service answers to a read-only query: its columns and types, at most ``limit`` rows as JSON cells, and whether there are more."""
+    df = run_read_only(spark, sql, **tables)
+    rows = df.limit(limit + 1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("j")).collect()
+    return {"columns": [{"name": n, "type": t} for n, t in df.dtypes], "rows": [json.loads(r["j"]) for r in rows[:limit]], "more": len(rows) > limit}
+
+
+def plan_summary(df: DataFrame) -> dict[str, int]:
+    """How often each operator is in the physical plan."""
+    names = re.findall(r"[A-Z]\w+(?=[ (\[]|$)", "\n".join(line.split("[")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines()), re.M)
+    return dict(Counter(names))

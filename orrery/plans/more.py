@@ -60,11 +60,11 @@ def session_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.when((F.col("r") > 2) & (F.col("role") != "user"), sc.snippet(F.col("text"), 40)).otherwise(F.col("text")).alias("text"))
 
 
-_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49)"
+_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
 
 
 @query(f"WITH {_EDGES} SELECT dst AS node, 1 AS distance FROM e WHERE src = 's1' UNION SELECT 's1', 0")

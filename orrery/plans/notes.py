@@ -60,21 +60,21 @@ def search_section_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.section_candidates(s, QUERY, TOKENS).select("doc_id", "heading_path", F.round("score", 6).alias("score"))
 
 
-@query("""WITH h AS (SELECT o_orderkey AS doc_id, o_totalprice / 1000000 AS score FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT l_orderkey AS doc_id, max(l_discount) AS boost FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
+@query("""WITH h AS (SELECT o_orderkey AS doc_id, o_totalprice / 1000000 AS score FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT l_orderkey AS doc_id, max(l_discount) AS boost FROM lineitem GROUP BY 1)
     SELECT doc_id, round(CASE WHEN score IS NULL THEN 0.25 + 0.5 * boost ELSE score + (1 - score) * coalesce(boost, 0) END, 12) AS score, score IS NULL AS injected FROM h FULL JOIN b USING (doc_id)""")
 def search_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 1000000).alias("score"))
-    links = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("doc_id"), F.col("l_discount").alias("boost"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_discount").alias("boost"))
     return linkgraph.with_provisional(hits, links).withColumn("score", F.round("score", 12))
 
 
-@query("""WITH h AS (SELECT n_nationkey AS stem, n_nationkey / 25.0::DOUBLE AS score FROM nation), e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b FROM customer WHERE c_acctbal > 9000), t AS (SELECT n_nationkey AS stem, 'r' || n_regionkey AS tag FROM nation UNION SELECT n_nationkey, substr(n_name, 1, 1) FROM nation)
+@query("""WITH h AS (SELECT n_nationkey AS stem, n_nationkey / 25.0::DOUBLE AS score FROM nation), e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b FROM customer), t AS (SELECT n_nationkey AS stem, 'r' || n_regionkey AS tag FROM nation UNION SELECT n_nationkey, substr(n_name, 1, 1) FROM nation)
     SELECT x.stem, round(x.score + sum(0.1::DOUBLE * (EXISTS (FROM e WHERE (a = x.stem AND b = y.stem) OR (a = y.stem AND b = x.stem)))::INT + 0.05::DOUBLE * (EXISTS (FROM t p JOIN t q ON p.tag = q.tag WHERE p.stem = x.stem AND q.stem = y.stem))::INT), 6) AS score FROM h x JOIN h y ON x.stem <> y.stem GROUP BY x.stem, x.score""")
 def search_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations gain by links and shared tags (region, first letter)."""
     n = table(spark, sf_dir, "nation")
     hits = n.select(F.col("n_nationkey").alias("stem"), (F.col("n_nationkey") / 25.0).alias("score"))
-    links = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).cast("int").alias("dst"))
+    links = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).cast("int").alias("dst"))
     tags = n.select(F.col("n_nationkey").alias("stem"), F.explode(F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.substring("n_name", 1, 1))).alias("tag"))
     return linkgraph.proximity_boost(hits, links, tags, 0.1, 0.05).withColumn("score", F.round("score", 6))
 

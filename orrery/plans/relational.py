@@ -32,7 +32,7 @@ passed_to_spark("sql_q5_nation_revenue", """SELECT n_name, round(sum(l_extendedp
     WHERE r_name = 'ASIA' GROUP BY n_name""", None, "customer", "orders", "lineitem", "supplier", "nation", "region")
 passed_to_spark("join_left", "SELECT c_custkey, count(o_orderkey) AS n_orders FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey", None, "customer", "orders")
 passed_to_spark("join_right", "SELECT c_custkey, count(o_orderkey) AS n FROM {orders} RIGHT JOIN {customer} ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY c_custkey", None, "customer", "orders")
-passed_to_spark("join_full", """SELECT coalesce(a.k, b.k) AS k, a.n AS n_cust, b.n AS n_supp FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_acctbal > 9000 GROUP BY c_nationkey) a
+passed_to_spark("join_full", """SELECT coalesce(a.k, b.k) AS k, a.n AS n_cust, b.n AS n_supp FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey) a
     FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY s_nationkey) b ON a.k = b.k""", None, "customer", "supplier")
 passed_to_spark("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", None, "customer", "orders")
 passed_to_spark("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", None, "customer", "orders")
