@@ -15,10 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go.  Rows are judged one by one, so null and repeated ids change nothing; an
     empty table stays empty; no column's name can clash.
     """
-    own = docs.select(nested(docs), "text")
-    boxed = own.select(F.struct("row", "text").alias("doc"), "text")
-    found = langid.identify(boxed, langid.fit(docs), keep=("doc",))
-    return found.where(F.col("lang_pred") != "und").select("doc.row", "doc.text").select(*unnested(docs.columns, F.col("text")))
+    found = langid.identify(docs.select(nested(docs), "text"), langid.fit(docs), keep=("row", "text"))
+    return found.where(F.col("lang_pred") != "und").select(*unnested(docs.columns, F.col("text")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

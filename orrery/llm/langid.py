@@ -306,7 +306,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     results = ["lang_pred", "score", *["spans"] * spans]
-    kept = [c for c in keep if c.lower() not in results]
+    kept = [c for c in keep if c.lower() not in (*results, "text")]
+    own_text = ["text"] * ("text" in [c.lower() for c in keep])  # it goes to the workers once
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("kept"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,15 +315,15 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             for at in range(0, max(1, b.num_rows), 1024):
                 part = b.slice(at, 1024)
                 langs, points, found = sent.value.predict(part.column(1).to_pylist())
-                columns = [part.column(0), pa.array(langs, pa.string()), pa.array(points, pa.float64())]
+                columns = [*part.columns[: 1 + len(own_text)], pa.array(langs, pa.string()), pa.array(points, pa.float64())]
                 if spans:
                     columns.append(pa.array([[{"lang": x, "words": n} for x, n in s] for s in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(columns, ["kept", *results])
+                yield pa.RecordBatch.from_arrays(columns, ["kept", *own_text, *results])
 
-    schema = StructType([read.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*read.schema.fields[: 1 + len(own_text)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     if spans:
         schema = schema.add("spans", ArrayType(StructType([StructField("lang", StringType()), StructField("words", IntegerType())])))
-    return read.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in kept], *results)
+    return read.mapInArrow(run, schema).select(*[F.col("text") if c.lower() == "text" else F.col("kept")[c].alias(c) for c in keep if c.lower() not in results], *results)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
