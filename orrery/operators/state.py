@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.joins import RANGE_ROWS, in_ranges
 from orrery.sources.shared import cut
 
 
@@ -21,21 +22,24 @@ def _compose(steps: Column) -> Column:
     return F.aggregate(steps, none, lambda acc, s: _then(acc, s))
 
 
-def ordered_fold(df: DataFrame, key: str, order: str, a: Column, b: Column, lo: float, hi: float, start: float, run: int = 10000) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: str, a: Column, b: Column, lo: float, hi: float, start: float, rows: int = RANGE_ROWS) -> DataFrame:
     """(key, state, n): x -> least(greatest(a x + b, lo), hi) over a key's rows in the order of a unique number, from ``start``.
 
-    Such steps compose to a step of the same form, so a key's rows are folded in ranges of ``run`` order values
-    first and the ranges after: a hot key is spread over tasks and never one array.
+    Such steps compose to a step of the same form, so a key's rows are folded in ranges of about ``rows`` rows first and
+    the ranges after, whatever the numbers: a hot key is spread over tasks and never one array.
     """
     step = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-    rows = df.select(key, F.col(order).alias("_o"), F.floor(F.col(order) / run).alias("_run"), step.alias("_s"))
+    if "_range" in df.columns:
+        ranged = df.select(key, F.col(order).alias("_o"), "_range", step.alias("_s"))
+    else:
+        ranged = in_ranges(df.select(key, F.col(order).alias("_o"), step.alias("_s")), [key, "_o"], rows)
 
     def fold(by: list[str], pos: str, src: DataFrame) -> DataFrame:
         got = src.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("o"), F.col("_s").alias("s")))).alias("_l"), F.sum("_n").alias("_n"))
         return got.withColumn("_s", _compose(F.transform("_l", lambda x: x["s"]))).drop("_l")
 
-    ranges = fold([key, "_run"], "_o", rows.withColumn("_n", F.lit(1)))
-    whole = fold([key], "_run", ranges)
+    ranges = fold([key, "_range"], "_o", ranged.withColumn("_n", F.lit(1)))
+    whole = fold([key], "_range", ranges)
     s = F.col("_s")
     return whole.select(key, F.least(F.greatest(s["a"] * start + s["b"], s["lo"]), s["hi"]).alias("state"), F.col("_n").alias("n"))
 
@@ -47,10 +51,14 @@ def q_values(df: DataFrame, key: str, order: str, reward: Column, rate: float =
 
 def touches(df: DataFrame, key: str, order: str, time: str, decay: float = 0.05, alpha: float = 0.5, base: float = 5.0) -> DataFrame:
     """Saliency after a key's touches: the score decays by the days since the last one, then rises by alpha ln 2, within 1 and 10."""
-    w = Window.partitionBy(key).orderBy(order)
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    days = F.greatest(F.coalesce(seconds - F.lag(seconds).over(w), F.lit(0.0)), F.lit(0.0)) / 86400.0
-    timed = df.withColumn("_days", days)
+    ranged = in_ranges(df.select(key, order, seconds.alias("_seconds")), [key, order])
+    ends = ranged.groupBy(key, "_range").agg(F.max_by("_seconds", order).alias("_last"))
+    carried = ends.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), F.lag("_last").over(Window.partitionBy(key).orderBy("_range")).alias("_carried"))  # a row a range
+    before = F.coalesce(F.lag("_seconds").over(Window.partitionBy(key, "_range").orderBy(order)), F.col("_carried"))
+    joined = ranged.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    days = F.greatest(F.coalesce(F.col("_seconds") - before, F.lit(0.0)), F.lit(0.0)) / 86400.0
+    timed = joined.withColumn("_days", days)
     return ordered_fold(timed, key, order, F.exp(-decay * F.col("_days")), alpha * F.log1p(F.lit(1.0)), 1.0, 10.0, base)
 
 

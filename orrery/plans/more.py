@@ -31,18 +31,19 @@ def fusion_quantum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(fusion.quantum(F.col("o_totalprice") / 300000, F.col("o_custkey") / 1000.0, 0.6), 10).alias("score"))
 
 
-@query("SELECT item_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE 1 + greatest(len(w) - 4 - 1, 0) // 16 END AS n_chunks FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)")
+@query("SELECT item_id, len(w) AS n_words, array_to_string(list_transform(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE 1 + greatest(len(w) - 4 - 1, 0) // 16 END), lambda i: array_to_string(w[i * 16 + 1 : i * 16 + 20], ' ')), '|') AS chunks FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)")
 def scalar_word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that share 4."""
     b = table(spark, sf_dir, "benchmark")
     words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    return b.select("item_id", F.size(words).cast("long").alias("n_words"), F.size(sc.word_chunks(F.col("text"), 20, 4)).cast("long").alias("n_chunks"))
+    return b.select("item_id", F.size(words).cast("long").alias("n_words"), F.array_join(sc.word_chunks(F.col("text"), 20, 4), "|").alias("chunks"))
 
 
-@query("SELECT page_id, CASE split_part(split_part(split_part(url, '#', 1), '?', 1), '.', -1) WHEN 'html' THEN 'other' ELSE NULL END AS kind FROM pages")
+@query("SELECT page_id, CASE split_part(split_part(split_part(url, '#', 1), '?', 1), '.', -1) WHEN 'html' THEN 'python' ELSE NULL END AS kind FROM pages")
 def scalar_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = F.element_at(F.split(F.substring_index(F.substring_index("url", "#", 1), "?", 1), r"\."), -1)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(ext == "html", "other").alias("kind"))
+    """The language of each page's file, were html files python."""
+    path = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
+    return table(spark, sf_dir, "pages").select("page_id", sc.language_of_path(F.regexp_replace(path, r"\.html$", ".py")).alias("kind"))
 
 
 @query("SELECT event_id, round(0.5 + (least(value / 100, 1) - 0.5) * pow(0.99, event_id % 24), 10) AS q, round((event_id % 7 + 1.0::DOUBLE) / (event_id % 11 + 1) * 0.5, 6) AS utility FROM events")

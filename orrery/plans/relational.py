@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.operators import search
+from orrery.operators import joins, search
 from orrery.plans.registry import query
 from orrery.sources import tables
 from orrery.sources.tables import table
@@ -58,12 +58,19 @@ passed_to_spark("latency_percentiles", "SELECT event_type, round(percentile(valu
 @query("SELECT o_orderkey, o_custkey, e.event_id AS last_event FROM (SELECT *, o_custkey % 50 AS u FROM orders) o ASOF LEFT JOIN (SELECT user_id AS u, ts, max(event_id) AS event_id FROM events GROUP BY ALL) e ON o.u = e.u AND o.o_orderdate + INTERVAL 23 YEAR >= e.ts")
 def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest event before each order: one sort of the union, no pair expansion."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey") % 50, "*").withColumnRenamed("(o_custkey % 50)", "u")
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u"), "ts").agg(F.max("event_id").alias("event_id"))
-    left = o.select("u", F.expr("o_orderdate + INTERVAL 23 YEAR").alias("t"), F.lit(1).alias("side"), "o_orderkey", "o_custkey", F.lit(None).cast("long").alias("event_id"))
-    right = e.select("u", F.col("ts").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), "event_id")
-    w = Window.partitionBy("u").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("last_event", F.last("event_id", ignorenulls=True).over(w)).where("side = 1").select("o_orderkey", "o_custkey", "last_event")
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("u"), F.expr("o_orderdate + INTERVAL 23 YEAR").alias("t"), "o_orderkey", "o_custkey")
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u"), "ts").agg(F.max("event_id").alias("last_event"))
+    return joins.as_of(o, e, "u", "t", "ts", "last_event").select("o_orderkey", "o_custkey", "last_event")
+
+
+@query("""WITH i AS (SELECT o_orderkey, o_custkey % 100 AS k, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS a FROM orders), p AS (SELECT l_suppkey AS k, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS d FROM lineitem)
+    SELECT o_orderkey, count(*) AS n FROM i JOIN p ON i.k = p.k AND d BETWEEN a AND a + 20 GROUP BY 1""")
+def join_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments in the twenty days after each order, of the supplier with the customer's number."""
+    days = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), days("o_orderdate").alias("a"))
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), days("l_shipdate").alias("d"))
+    return joins.within(p, o, "k", F.col("d"), F.col("a"), F.col("a") + 20, 30).groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM customer o LEFT JOIN (SELECT c_custkey AS k, 'NEW' AS c_mktsegment FROM customer WHERE c_acctbal < 0) n ON n.k = o.c_custkey")
@@ -133,11 +140,11 @@ def graphql_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.graphql(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], {"o_totalprice": {"gte": 100000}, "o_orderstatus": "F"}, [("o_totalprice", False), ("o_orderkey", True)], limit=15, page=2)
 
 
-@query("SELECT 'customer' AS sql_table_name, 5 AS n UNION ALL SELECT 'nation', 3")
+@query("SELECT * FROM (VALUES ('customer', 'c_custkey', 'bigint', 1), ('customer', 'c_name', 'string', 2), ('customer', 'c_nationkey', 'int', 3), ('customer', 'c_acctbal', 'double', 4), ('customer', 'c_mktsegment', 'string', 5), ('nation', 'n_nationkey', 'int', 1), ('nation', 'n_name', 'string', 2), ('nation', 'n_regionkey', 'int', 3)) t(sql_table_name, column_name, data_type, ordinal_position)")
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("customer", "nation"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return tables.catalog_columns(spark, ["customer", "nation"]).groupBy("sql_table_name").agg(F.count("*").cast("int").alias("n"))
+    return tables.catalog_columns(spark, ["customer", "nation"]).select("sql_table_name", "column_name", "data_type", "ordinal_position")
 
 
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r <= 3")

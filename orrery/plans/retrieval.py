@@ -147,10 +147,10 @@ def graph_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collapse(e, m)
 
 
-@query("SELECT lower(c_mktsegment) AS k, min_by(c_name, c_custkey) AS name, max(c_acctbal) AS confidence, count(DISTINCT c_name) AS n FROM customer GROUP BY 1")
+@query("SELECT lower(c_mktsegment) AS k, min_by(c_name, c_custkey) AS name, max(c_acctbal) AS confidence, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS aliases FROM customer GROUP BY 1")
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("confidence"), "c_custkey")
-    return graph.merge_entities(c, "k", "c_custkey").select("k", "name", "confidence", F.size(F.split("aliases", ",")).cast("long").alias("n"))
+    return graph.merge_entities(c, "k", "c_custkey").select("k", "name", "confidence", "aliases")
 
 
 @query("SELECT p_partkey, len(list_filter(regexp_split_to_array(p_name || ' ' || p_brand, '[^A-Za-z0-9_-]+'), lambda x: x <> '')) AS n_tokens, (contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT) / 2.0::DOUBLE AS ratio, ((length(p_name) - length(replace(p_name, 'r', ''))))::INT AS n_r, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 8) || '...' ELSE p_name END AS snip FROM part")

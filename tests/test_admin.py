@@ -165,3 +165,26 @@ def test_clean_up_deletes_what_was_written(spark):
     assert df.count() == 3 and kept.count() == 3 and clean_up(spark) >= 2
     with pytest.raises(Exception, match="(?i)exist|found"):
         spark.read.parquet(kept._saved_path).count()
+
+
+def test_as_of_and_folds_over_sparse_numbers_and_hot_keys(spark, monkeypatch):
+    from orrery.operators import joins
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(joins, "RANGE_ROWS", 20)
+    left = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 150), rng.integers(0, 10**9, 150), strict=True))]
+    right = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 10**9, 60), strict=True))]
+    got = joins.as_of(spark.createDataFrame(left, "k int, t bigint, i int"), spark.createDataFrame(right, "k int, u bigint, v int"), "k", "t", "u", "v").collect()
+    want = {i: max(((u, v) for q, u, v in right if q == k and u <= t), default=(0, None))[1] for k, t, i in left}
+    assert {r.i: r.v for r in got} == want and len(got) == 150
+    rows = [(0, int(t), float(v)) for t, v in zip(np.sort(rng.integers(0, 10**15, 200)), rng.normal(0, 1, 200), strict=True)]
+    x = 1.0
+    for _, _, v in rows:
+        x = min(max(0.9 * x + v, 0.0), 2.0)
+    r = state.ordered_fold(spark.createDataFrame(rows, "k int, o bigint, v double"), "k", "o", F.lit(0.9), F.col("v"), 0.0, 2.0, 1.0, rows=16).first()
+    assert r.n == 200 and abs(r.state - x) < 1e-9
+    assert joins.in_ranges(spark.createDataFrame(rows, "k int, o bigint, v double"), ["k", "o"], 16).groupBy("_range").count().agg(F.max("count")).first()[0] < 60
+    points = spark.createDataFrame([(1, 5), (1, 9), (2, 5)], "k int, at int")
+    spans = spark.createDataFrame([(1, 0, 5, "a"), (1, 5, 40, "b"), (2, 6, 4, "c"), (2, 5, 5, "d")], "k int, lo int, hi int, name string")
+    found = joins.within(points, spans, "k", F.col("at"), F.col("lo"), F.col("hi"), 4)
+    assert sorted((r.k, r["at"], r.name) for r in found.collect()) == [(1, 5, "a"), (1, 5, "b"), (1, 9, "b"), (2, 5, "d")]

@@ -92,7 +92,7 @@ def test_ordered_fold_in_ranges(spark):
     rng = random.Random(1)
     rows = [(k, i * 3 + k, rng.uniform(-2, 3)) for k in range(3) for i in range(200 if k else 1)]
     df = spark.createDataFrame(rows, "k int, i long, v double").repartition(5)
-    got = {r["k"]: (r["state"], r["n"]) for r in state.ordered_fold(df, "k", "i", F.lit(0.9), F.col("v"), 0.0, 2.0, 1.0, run=16).collect()}
+    got = {r["k"]: (r["state"], r["n"]) for r in state.ordered_fold(df, "k", "i", F.lit(0.9), F.col("v"), 0.0, 2.0, 1.0, rows=16).collect()}
     for k in range(3):
         x = 1.0
         mine = sorted(r for r in rows if r[0] == k)
