@@ -127,10 +127,10 @@ def register_aggregate(spark: SparkSession, name: str, result: str, function: Ca
     A group is one column in one task: for keys of bounded groups.
     """
 
-    def run(column):
+    def run(column: pd.Series) -> float:
         return function(column)
 
-    spark.udf.register(name, F.pandas_udf(run, result, F.PandasUDFType.GROUPED_AGG))
+    spark.udf.register(name, F.pandas_udf(run, result))
 
 
 def scored_by(df: DataFrame, columns: list[str], scorer: Callable[[pa.RecordBatch], list[float]], name: str = "score") -> DataFrame:
