@@ -11,14 +11,17 @@ from orrery.sources.shared import cut
 RANGE_ROWS = 1_000_000
 
 
-def in_ranges(df: DataFrame, by: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+def in_ranges(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
     """The rows in order of ``by``, with the number ``_range`` of the range that they are in.
 
-    Ranges hold about ``rows`` rows each whatever the values, so a hot key comes in many, and their numbers ascend with
-    the order.  The table is written, as a second reading would draw other bounds.
+    Ranges hold about ``rows`` (``RANGE_ROWS``) rows each whatever the values, so a hot key comes in many, and their numbers ascend with
+    the order; a table of no more rows is one range.  Ranges are written, as a second reading would draw other bounds.
     """
+    size, rows = df.count(), rows or RANGE_ROWS
+    if size <= rows:
+        return df.withColumn("_range", F.lit(0))
     df = cut(df, "rows")
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // rows))
     return cut(df.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
