@@ -182,11 +182,11 @@ def tuned_plan(bias: Column, k1: Column, k2: Column, mix: Column, min_score: Col
 def decided(log: DataFrame, key: str, order: str, state: str, start: str = "provisional", final: tuple[str, ...] = ("promoted", "rejected")) -> DataFrame:
     """(key, state, at): what an append log of suggestions and decisions comes to.
 
-    Only a suggestion that is still open can be decided, so the first decision after its first suggestion counts.
+    Only a suggestion that is still open can be decided, so the first decision after its first suggestion counts, of equal times that which comes first in the alphabet.
     """
     opened = log.where(F.col(state) == start).groupBy(key).agg(F.min(order).alias("opened"))
     decisions = log.where(F.col(state).isin(*final)).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(state).alias("_s"))
-    first = opened.join(decisions, (F.col(key) == F.col("_k")) & (F.col("_o") > F.col("opened")), "left").groupBy(key, "opened").agg(F.min_by("_s", "_o").alias("_s"), F.min("_o").alias("_o"))
+    first = opened.join(decisions, (F.col(key) == F.col("_k")) & (F.col("_o") > F.col("opened")), "left").groupBy(key, "opened").agg(F.min_by("_s", F.struct("_o", "_s")).alias("_s"), F.min("_o").alias("_o"))
     return first.select(key, F.coalesce("_s", F.lit(start)).alias("state"), F.coalesce("_o", "opened").alias("at"))
 
 

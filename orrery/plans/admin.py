@@ -185,7 +185,7 @@ def session_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = "l AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_quantity < 25 THEN 'provisional' WHEN l_quantity < 35 THEN 'promoted' ELSE 'rejected' END AS state FROM lineitem)"
 
 
-@query(f"""WITH {_LOG}, o AS (SELECT k, min(pos) AS opened FROM l WHERE state = 'provisional' GROUP BY k), d AS (SELECT o.k, opened, arg_min(l.state, l.pos) AS s, min(l.pos) AS t FROM o LEFT JOIN l ON l.k = o.k AND l.pos > opened AND l.state <> 'provisional' GROUP BY ALL)
+@query(f"""WITH {_LOG}, o AS (SELECT k, min(pos) AS opened FROM l WHERE state = 'provisional' GROUP BY k), d AS (SELECT o.k, opened, first(l.state ORDER BY l.pos, l.state) AS s, min(l.pos) AS t FROM o LEFT JOIN l ON l.k = o.k AND l.pos > opened AND l.state <> 'provisional' GROUP BY ALL)
     SELECT k, coalesce(s, 'provisional') AS state, coalesce(t, opened) AS decided FROM d""")
 def state_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
