@@ -1,0 +1,62 @@
+"""Saved inverted index: postings dealt to folders by a hash of the term, so that a search reads its terms' folders only."""
+
+from __future__ import annotations
+
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from orrery.sources.shared import Saved
+
+#: Folders of an index.
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """``postings``: (key, term, tf, dl, bucket); ``facts``: one row (N, avgdl)."""
+
+    postings: DataFrame
+    facts: DataFrame
+    key: str
+    buckets: int
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> TextIndex:
+    """Index the terms, runs of a-z and 0-9 of the lower-cased text, of all rows; keys are unique.
+
+    A null text has no terms, but counts as a document.  Terms are counted row by row; the one shuffle deals postings
+    to folders, where Spark splits those of frequent terms over files.
+    """
+    saved = Saved(docs.sparkSession, "text-index")
+    words = F.sort_array(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    d = docs.select(F.col(key).alias("key"), words.alias("w")).withColumn("dl", F.size("w"))
+    # equal words follow each other, so a word's count is the distance of its first place to that of the next word
+    places = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    d = d.where("dl > 0").select("key", "w", "dl", places.alias("at"))
+    counted = F.transform("at", lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - i).alias("tf")))
+    postings = d.select("key", "dl", F.inline(counted)).select("key", "term", "tf", "dl", bucket_of(F.col("term"), buckets).alias("bucket"))
+    kept = saved.keep(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", ["bucket"])
+    length = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"))
+    facts = saved.keep(docs.agg(F.count("*").alias("N"), F.avg(length).alias("avgdl")), "facts")
+    return TextIndex(kept, facts, key, buckets)
+
+
+def bm25(index: TextIndex, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of documents that hold a term, as ``search.bm25`` gives them; a term asked twice counts twice."""
+    asked = Counter(terms)
+    wanted = reduce(lambda x, y: x | y, [(F.col("bucket") == bucket_of(F.lit(t), index.buckets)) & (F.col("term") == t) for t in asked], F.lit(False))
+    hits = index.postings.where(wanted).select("key", "term", "tf", "dl")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    times = reduce(lambda c, t: c.when(F.col("term") == t[0], t[1]), asked.items(), F.when(F.lit(False), 0)).otherwise(0)
+    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.facts))  # a row for each term asked; one row
+    return scored.groupBy("key").agg(F.sum(part).alias("score")).withColumnRenamed("key", index.key)
