@@ -27,6 +27,8 @@ DOCS_PER_LANGUAGE = 2500
 #: for languages of one script each: beyond 256 languages they share fewer trigrams.
 FEATURES, MIN_FEATURES, MODEL_CELLS = 1 << 16, 1 << 10, 1 << 24
 SWITCH = 12.0
+#: Paths whose scores differ by less are told apart by Viterbi alone.
+NEAR = 0.1
 #: The score of a word in a language that is no candidate: no path goes there.
 NO_CANDIDATE = -1e4
 #: A language writes in a script that so many of its words are in.
@@ -162,8 +164,10 @@ class Model:
         if 0 < len(used) < scores.shape[1]:
             return used[self.label(np.ascontiguousarray(scores[:, used]), n_words)]
         first = np.cumsum(n_words) - n_words
-        labels = np.zeros(len(scores), np.min_scalar_type(max(1, scores.shape[1] - 1)))
+        whole = self.settled(scores, n_words)
+        labels = np.repeat(np.maximum(whole, 0), n_words).astype(np.min_scalar_type(max(1, scores.shape[1] - 1)))
         order = np.argsort(-n_words, kind="stable")
+        order = order[whole[order] < 0]
         for k in range(0, len(order), 512):
             own = order[k : k + 512]
             own = own[n_words[own] > 0]
@@ -171,6 +175,40 @@ class Model:
                 self._viterbi(scores, first[own], n_words[own], labels)
         return labels
 
+    @staticmethod
+    def settled(scores: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """The language of texts whose best path is one language throughout, -1 for others and texts without words.
+
+        A path that leaves a language for some words gains at most the sum of the best other scores less its own over
+        these, and pays for a change at least.  So if no run of words gains the cost, and the language is the best one
+        for the whole text, no path is better.  ``NEAR`` keeps rounding out of it: near ties go through Viterbi.
+        """
+        out = np.full(len(n_words), -1, np.int64)
+        own = np.flatnonzero(n_words)
+        if not len(own):
+            return out
+        if scores.shape[1] == 1:
+            out[own] = 0
+            return out
+        size = n_words[own]
+        first = np.cumsum(size) - size
+        totals = np.add.reduceat(scores, first, axis=0, dtype=np.float64)
+        best = totals.argmax(axis=1)
+        lead = totals[np.arange(len(own)), best] - np.partition(totals, -2, axis=1)[:, -2]
+        at, lang = np.arange(len(scores)), np.repeat(best, size)
+        base = scores[at, lang].copy()
+        scores[at, lang] = -np.inf
+        gain = np.clip(scores.max(axis=1).astype(np.float64) - base, -8 * SWITCH, 8 * SWITCH)  # what lies beyond decides alike
+        scores[at, lang] = base
+        after = np.cumsum(gain)
+        after -= np.repeat(after[first] - gain[first], size)
+        apart = np.repeat(np.arange(len(own)) * (17.0 * SWITCH * (size.max() + 1)), size)  # one text's sums stay below those of the text before
+        least = np.minimum.accumulate(after - gain - apart) + apart
+        run = np.maximum.reduceat(after - least, first)
+        sure = (run < SWITCH - NEAR) & (lead > NEAR)
+        out[own[sure]] = best[sure]
+        return out
+
     @staticmethod
     def _viterbi(scores: np.ndarray, from_: np.ndarray, size: np.ndarray, labels: np.ndarray) -> None:
         """``size`` descends, so the texts still open at a step are the first ones.

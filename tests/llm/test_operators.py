@@ -621,3 +621,22 @@ def test_all_labels_are_learned(spark):
     model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string").coalesce(1))
     assert model.languages == sorted({k for _, _, k in data})
     assert model.predict([t for _, t, _ in data])[0] == [k for _, _, k in data]
+
+
+def test_settled_texts_have_the_labels_of_viterbi(monkeypatch):
+    rng = np.random.default_rng(11)
+    n_words = rng.integers(0, 60, 400)
+    scores = rng.normal(0, 3, (int(n_words.sum()), 4)).astype(np.float32)
+    home = np.repeat(rng.integers(0, 4, 400), n_words)
+    scores[np.arange(len(scores)), home] += np.float32(2.5)
+    first = np.cumsum(n_words) - n_words
+    for i in range(0, 400, 5):  # a stretch in another language
+        scores[first[i] : first[i] + n_words[i] // 3, 1] += 9
+    scores[rng.random(scores.shape) < 0.002] = langid.NO_CANDIDATE
+    kept, m = scores.copy(), langid.Model(list("abcd"), np.ones((langid.FEATURES, 4)), np.ones((langid.N_SCRIPTS, 4)))
+    whole = m.settled(scores, n_words)
+    assert (scores == kept).all() and (whole[n_words == 0] == -1).all()
+    assert 50 < (whole >= 0).sum() < 350
+    got = m.label(scores, n_words)
+    monkeypatch.setattr(langid.Model, "settled", staticmethod(lambda s, n: np.full(len(n), -1)))
+    assert (got == m.label(scores, n_words)).all()
