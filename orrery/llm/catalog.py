@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, packing, secrets, sharding, tokens, turns, url_filter
+from orrery.llm import conversations, decontam, exact_dedup, html_extract, jaccard, langid, line_dedup, packing, secrets, sharding, tokens, turns, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_dedup.op8_exact_dedup,
         packing.op9_packing,
         secrets.op10_secret_scans,
+        conversations.op11_conversation_repair,
         sharding.op12_sharding,
         turns.op13_turn_reassembly,
     )

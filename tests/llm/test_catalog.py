@@ -21,7 +21,7 @@ def test_sql_of_the_operators(spark, duck):  # noqa: F811
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_pipeline_stages(spark):
