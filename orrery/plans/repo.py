@@ -101,7 +101,7 @@ _SECTIONS = """x AS (SELECT doc_id, 'line ' || line_no AS heading_path, greatest
 @query(f"""WITH {_NOTES}, {_COUNTED}, {_LINES}, {_SECTIONS}, s AS (SELECT doc_id, ({_LEXICAL})::DOUBLE AS lexical, greatest(CASE WHEN contains(title, 'of the') OR contains(path, 'of the') THEN 0.82 ELSE 0 END, CASE WHEN pr > 0 THEN 0.5 + pr * 0.45 ELSE 0 END)::DOUBLE AS p, tag FROM h),
     j AS (SELECT s.*, coalesce(best, 0) AS best, coalesce(total, 0) AS total, (doc_id % 100) / 100.0::DOUBLE AS rank FROM s LEFT JOIN y USING (doc_id) WHERE tag IN ('en', 'de')),
     v AS (SELECT doc_id, rank, greatest(lexical * 0.62 + best * 0.23 + p * 0.15, lexical, least(best + 0.15 * (total - best), 1)) AS score FROM j)
-    SELECT doc_id, round(score + (1 - score) * rank * 0.35, 6) AS score FROM v WHERE score > 0""")
+    SELECT doc_id, round(score + (1 - score) * rank * 0.35, 9) AS score FROM v WHERE score > 0""")
 def search_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters, lexical, section and path scores, roll-up of sections, graph rank, order and limit of one request."""
     d, note = _notes(spark, sf_dir)
@@ -109,7 +109,7 @@ def search_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = lines.select("doc_id", F.concat(F.lit("line "), (F.col("i") + 1).cast("string")).alias("heading_path"), ((F.col("i") + 1) % 7).alias("level"), "body")
     ranks = d.select("doc_id", ((F.col("doc_id") % 100) / 100.0).alias("rank"))
     notes = d.withColumns({"path": F.concat_ws("/", "source", F.col("doc_id").cast("string")), "stem": F.col("source")})
-    return linkgraph.planned_search(notes, note, f"{QUERY} tag:(en,de)", None, sections, ranks).select("doc_id", F.round("score", 6).alias("score"))
+    return linkgraph.planned_search(notes, note, f"{QUERY} tag:(en,de)", None, sections, ranks).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_NOTES}, {_COUNTED} SELECT doc_id, round(greatest(CASE WHEN contains(title, 'of the') OR contains(path, 'of the') THEN 0.82 ELSE 0 END, CASE WHEN pr > 0 THEN 0.5 + pr * 0.45 ELSE 0 END)::DOUBLE, 6) AS score FROM h WHERE score > 0 ORDER BY score DESC, path, stem LIMIT 50""")

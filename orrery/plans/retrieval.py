@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as sc
-from orrery.operators import fusion, graph, search, text_index, vector_index
+from orrery.operators import fusion, graph, search, vector_index
 from orrery.plans.registry import query
 from orrery.sources.tables import table
 from orrery.streaming import windows
@@ -40,24 +40,17 @@ def search_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.round(search.attachment_score(F.lit("x"), F.col("url"), ["en", "html"], "example"), 6).alias("score"))
 
 
-_BM25 = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+BM25 = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
     t AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'thing')) AS a, len(list_filter(w, lambda x: x = 'tion')) AS b FROM w),
     f AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t)
     SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS score FROM t, f WHERE a > 0 OR b > 0"""
 
 
-@query(_BM25)
+@query(BM25)
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), ["thing", "tion"], "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(_BM25)
-def search_bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores from a saved index, of which two folders are read."""
-    index = text_index.build(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return text_index.bm25(index, ["thing", "tion"]).select("doc_id", F.round("score", 6).alias("score"))
-
-
 @query("SELECT o_custkey, round(least(greatest(max(s) + 0.15 * (sum(s) - max(s)), 0), 1), 6) AS doc_score FROM (SELECT o_custkey, o_totalprice / 1000000 AS s FROM orders) GROUP BY o_custkey")
 def section_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") / 1000000).alias("s"))

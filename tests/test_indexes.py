@@ -1,10 +1,13 @@
 """Saved indexes: recall of vectors against brute force, text scores against the scan."""
 
+import random
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import search, text_index, vector_index
+from orrery.operators import kept_index, near, search, vector_index
 from orrery.sources.tables import table
 
 
@@ -68,19 +71,138 @@ def test_vector_index_odd_rows(spark):
     assert [(r["query"], r["key"], r["score"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [("a", "a", 1.0, 1), ("a", "b", 1.0, 2), ("a", "d", 0.0, 3)]
 
 
-def test_text_index_gives_the_scores_of_the_scan(spark):
-    rows = [(1, "red ring, Red"), (2, None), (3, ""), (4, "ring " * 3000 + "blue"), (5, "red"), (6, "reds ringing"), (7, "...")]
-    docs = spark.createDataFrame(rows, "id long, text string")
-    index = text_index.build(docs, "id", "text", buckets=4)
-    for terms in (["red"], ["red", "ring"], ["red", "red"], ["absent"], ["a b"], []):
-        got = {r["id"]: r["score"] for r in text_index.bm25(index, terms).collect()}
-        want = {r["id"]: r["score"] for r in search.bm25(docs, terms, "id", "text").collect()} if terms else {}
-        assert got == pytest.approx(want), terms
-    assert text_index.bm25(text_index.build(docs.limit(0), "id", "text"), ["red"]).collect() == []
-
-
-def test_text_index_reads_the_folders_of_its_terms(spark):
-    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(200)], "id long, text string")
-    plan = text_index.bm25(text_index.build(docs, "id", "text"), ["w7"])._jdf.queryExecution().toString()
-    filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "term" in line]
-    assert filters and all("PartitionFilters: []" not in f for f in filters)
+def kept_on(spark, tmp_path, rows, columns=None, schema="id long, text string"):
+    index = kept_index.KeptIndex(spark, f"{tmp_path}/index")
+    docs = spark.createDataFrame(rows, schema)
+    index.build(docs, "id", columns or {"title": "text"})
+    return index, docs
+
+
+def scores(df):
+    return {r["key"]: r["score"] for r in df.collect()}
+
+
+def scanned(docs, terms):
+    return {r["id"]: r["score"] for r in search.bm25(docs, terms, "id", "text").collect()}
+
+
+ROWS = [(1, "red ring, Red"), (2, None), (3, ""), (4, "ring " * 3000 + "blue"), (5, "red"), (6, "reds ringing"), (7, "...")]
+
+
+def test_kept_index_gives_the_scores_of_the_scan(spark, tmp_path):
+    index, docs = kept_on(spark, tmp_path, ROWS)
+    for terms in (["red"], ["red", "ring"], ["red", "red"], ["absent"], ["a b"]):
+        assert scores(index.bm25(terms)) == pytest.approx(scanned(docs, terms)), terms
+    assert index.bm25([]).collect() == []
+    empty, _ = kept_on(spark, tmp_path / "none", [])
+    assert empty.bm25(["red"]).collect() == [] == empty.fuzzy("red", 5).collect() == empty.prefix("re", 5).collect()
+
+
+def test_kept_index_reads_the_folders_of_its_terms(spark, tmp_path):
+    index, _ = kept_on(spark, tmp_path, [(i, f"w{i} common") for i in range(200)])
+    for found in (index.bm25(["w7"]), index.fuzzy("w7", 3, 1), index.prefix("w19", 3)):
+        plan = found._jdf.queryExecution().toString()
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "FileScan" in line and ("at#" in line or "h#" in line)]
+        assert filters and all("PartitionFilters: [isnotnull(bucket" in f or "PartitionFilters: [bucket" in f or "IN (" in f for f in filters)
+        assert "text#" not in plan
+
+
+def test_kept_index_after_changes_is_as_built_anew(spark, tmp_path):
+    index, _ = kept_on(spark, tmp_path, ROWS)
+    state = dict(ROWS)
+    rng = np.random.default_rng(5)
+    for step in range(12):
+        changed = {int(k): " ".join(rng.choice(["red", "ring", "blue", "reds"], 3)) for k in rng.integers(1, 12, 3)}
+        removed = [int(k) for k in rng.integers(1, 12, 2)]
+        state = {k: v for k, v in state.items() if k not in removed} | changed
+        now = spark.createDataFrame(sorted(state.items()), "id long, text string")
+        how = index.refresh(spark.createDataFrame(list(changed.items()), "id long, text string"), spark.createDataFrame([(k,) for k in removed], "id long"), "id", {"title": "text"}, now)
+        assert how == "delta"
+        m = index.manifest()
+        assert len(m.segments) <= kept_index.MAX_SEGMENTS and m.rows == len(state)
+        if step % 4 == 3:
+            for terms in (["red"], ["blue", "ring"]):
+                assert scores(index.bm25(terms)) == pytest.approx(scanned(now, terms)), (step, terms)
+    old, before = index.manifest(3), index.manifest()
+    assert old.version == 3 and old.segments != before.segments
+    index.compact()
+    index.vacuum()
+    assert index.manifest().dead == 0 and len(index.manifest().segments) == 1
+    assert scores(index.bm25(["red"])) == pytest.approx(scanned(now, ["red"]))
+    nothing = now.limit(0)
+    assert index.refresh(nothing, nothing, "id", {"title": "text"}, now) == "noop"
+    assert index.refresh(now, nothing, "id", {"title": "text"}, now, rebuild_at=len(state)) == "full"
+    assert scores(index.bm25(["red"])) == pytest.approx(scanned(now, ["red"]))
+
+
+def test_two_writers_cannot_make_the_same_version(spark, tmp_path):
+    index, _ = kept_on(spark, tmp_path, ROWS)
+    m = index.manifest()
+    index._commit(m)
+    with pytest.raises(Exception, match="[Ee]xist"):
+        index._commit(m)
+
+
+def test_near_terms_and_phrases(spark, tmp_path):
+    rows = [(1, "the red ring", "gold"), (2, "the reed", "red"), (3, "rde ring", None), (4, None, "redd"), (5, "the redder the ring", ""), (6, "x" * 60, "r")]
+    index, _ = kept_on(spark, tmp_path, rows, {"title": "text", "namespace": "kind"}, "id long, text string, kind string")
+    got = [tuple(r) for r in index.fuzzy("red", 10, max_distance=1).collect()]
+    assert got == [(1, 1.0, 0, "title", "red"), (2, 0.92, 0, "namespace", "red"), (4, pytest.approx(0.69), 1, "namespace", "redd")]
+    swapped = [r["key"] for r in index.fuzzy("red", 10, max_distance=1, transposition=True).collect()]
+    assert swapped == [1, 2, 4, 3]
+    assert [r["key"] for r in index.fuzzy("eed", 10, max_distance=2, prefix=1).collect()] == []
+    assert scores(index.prefix("the re", 10)) == {1: 5.0, 2: 5.0, 5: 5.0}
+    assert scores(index.prefix("the redder the ri", 10)) == {5: 5.0}
+    assert scores(index.prefix("red", 10)) == {1: 5.0, 2: 3.5, 4: 3.5, 5: 5.0}
+    assert index.prefix(" ", 3).collect() == []
+
+
+def test_an_index_is_built_once_for_a_table(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(ROWS, "id long, text string").write.parquet(f"{tmp_path}/t.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/t.parquet")
+    first = kept_index.kept(docs, "t", "id", {"title": "text"})
+    monkeypatch.setattr(kept_index.KeptIndex, "build", None)
+    assert kept_index.kept(docs, "t", "id", {"title": "text"}).root == first.root
+
+
+def plain_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def test_similar_names_and_their_groups(spark):
+    rng = random.Random(1)
+    names = set()
+    for _ in range(40):
+        names.add(base := "".join(rng.choice("abc") for _ in range(rng.randint(1, 70))))
+        for _ in range(4):
+            s = list(base)
+            for _ in range(rng.randint(1, 4)):
+                i = rng.randrange(len(s) + 1)
+                s[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "ab"])
+            names.add("".join(s))
+    names |= {f"Customer#{i:09d}" for i in range(0, 400, 7)}
+    names = sorted(names - {""})
+    df = spark.createDataFrame([(n,) for n in names] * 2 + [(None,), ("",)], "name string")
+    for least in (0.94, 0.8, 1.0):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 1 - plain_distance(a, b) / max(len(a), len(b)) >= least - 1e-9}
+        got = [(r.left_name, r.right_name) for r in near.similar_pairs(df, "name", least).collect()]
+        assert len(got) == len(want) and set(got) == want
+        order = rng.sample(names, len(names))
+        alike, leader = defaultdict(set), {}
+        for a, b in want:
+            alike[a].add(b)
+            alike[b].add(a)
+        for n in order:
+            if n not in leader:
+                leader |= {n: n} | {m: n for m in alike[n] if m not in leader}
+        at = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, at int")
+        pairs = spark.createDataFrame(sorted(want), "left_name string, right_name string")
+        assert dict(near.greedy_groups(at, pairs).select("name", "leader").collect()) == leader
+    with pytest.raises(ValueError):
+        near.similar_pairs(df, "name", 0.5)
