@@ -104,17 +104,18 @@ def step(batch: int, end: bool, silent: int) -> Callable[[tuple, Iterator[pd.Dat
                 turns, missing, breaks = kept.close()
                 out.append(("close", key[0], -1, batch, None, turns, missing, breaks))
         else:
-            for rows in (f.sort_values("turn", kind="stable") for f in frames):
+            for rows in frames:
+                own = list(zip(rows["turn"].tolist(), rows["role"].tolist(), rows["payload"].tolist(), strict=True))
                 if kept and kept.closed:
-                    out += [("reject", key[0], int(t), batch, p, None, None, None) for t, p in zip(rows["turn"], rows["payload"], strict=True)]
+                    out += [("reject", key[0], t, batch, p, None, None, None) for t, _, p in own]
                     continue
-                kept = kept or Kept(int(rows["first"].iloc[0]), batch)
-                turns = zip(map(int, rows["turn"]), rows["role"], rows["payload"], strict=True)
-                out += [("release", key[0], t, batch, p, None, None, None) for t, p in kept.arrive(batch, turns)]
+                kept = kept or Kept(int(rows["first"].iat[0]), batch)
+                out += [("release", key[0], t, batch, p, None, None, None) for t, p in kept.arrive(batch, own)]
         state.update((kept.dump(),))
         if not kept.closed:
             state.setTimeoutDuration(1)  # over at the next start
-        yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
+        if out:  # most visits have nothing to say
+            yield pd.DataFrame(dict(zip(COLUMNS, map(list, zip(*out, strict=True)), strict=True)), dtype=object)
 
     return run
 
