@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
-from functools import partial
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from orrery.sources.shared import Saved, cut
 
@@ -23,64 +19,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def _one_task(edges: DataFrame, seeds: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel(src, dst, seeds, n)`` over nodes numbered from 0, in one task; the caller has checked that the edges are few.
-
-    It gives a frame whose column ``node`` holds such numbers.
-    """
-    kind = edges.schema["src"].dataType
-    rows = edges.select("src", "dst").unionByName(seeds.select(F.col("node").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
-            return
-        is_edge = whole["dst"].is_valid().to_numpy()
-        src, dst = whole["src"].to_pandas(), whole["dst"].to_pandas()
-        codes, names = pd.factorize(pd.concat([src, dst[is_edge]]))
-        own = codes[: len(src)]
-        out = kernel(own[is_edge], codes[len(src) :], own[~is_edge], len(names))
-        out["node"] = np.asarray(names)[out["node"].to_numpy()]
-        yield pa.RecordBatch.from_pandas(out[result.names], schema=None, preserve_index=False)
-
-    result = _schema(schema, kind)
-    return rows.repartition(1).mapInArrow(run, result)
-
-
-def _schema(rest: str, kind: DataType) -> StructType:
-    types = {"int": IntegerType(), "double": DoubleType()}
-    return StructType([StructField("node", kind), *[StructField(n, types[t]) for n, t in (f.split() for f in rest.split(", "))]])
-
-
-def _breadth_first(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, n: int, hops: int) -> pd.DataFrame:
-    far = np.full(n, -1, np.int32)
-    far[seeds] = 0
-    for hop in range(1, hops + 1):
-        step = dst[far[src] == hop - 1]
-        step = step[far[step] < 0]
-        if not len(step):
-            break
-        far[step] = hop
-    found = np.flatnonzero(far >= 0)
-    return pd.DataFrame({"node": found, "distance": far[found]})
-
-
-def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both", small_edges: int = SMALL_EDGES) -> DataFrame:
+def distances(edges: DataFrame, seeds: DataFrame, max_distance: int, direction: str = "both") -> DataFrame:
     """(node, distance) of all nodes within ``max_distance`` steps of a seed (node); the first visit counts.
 
-    Graphs of at most ``small_edges`` edges are searched in one task, larger ones by a join a step.
+    A step joins the front with the edges, forth, back or both ways; the edges are written once, as they are.
     """
-    e = edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if direction == "in" else undirected(edges)
-    if small_edges and max_distance > 0:
-        e = cut(e, "edges")
-        if e.count() <= small_edges:
-            return _one_task(e, seeds, partial(_breadth_first, hops=max_distance), "distance int")
-    elif max_distance > 1:
-        e = cut(e, "edges")
+    e = edges.select("src", "dst")
+    e = cut(e, "edges") if max_distance > 1 else e
+    ways = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
     seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
     for hop in range(1, max_distance + 1):
-        step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        met = [front.select("node").join(e, F.col("node") == F.col(a)).select(F.col(b).alias("node")) for a, b in ways]
+        step = reduce(DataFrame.unionByName, met).distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)), "hop")
         seen = seen.unionByName(front)
     return seen
@@ -116,71 +67,104 @@ def degree_rank(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.max("raw").alias("most")))).select("node", "n_in", "n_out", (F.col("raw") / F.col("most")).alias("score"))  # one row
 
 
-def _power(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, n: int, iterations: int, alpha: float, tol: float) -> pd.DataFrame:
-    out = np.bincount(src, minlength=n)
-    seeds = np.unique(seeds)
-    seeds = seeds[out[seeds] > 0]
-    restart = np.zeros(n)
-    if len(seeds):
-        restart[seeds] = 1.0 / len(seeds)
-    rank, degree = restart.copy(), np.maximum(1, out)
-    for _ in range(iterations):
-        step = (1 - alpha) * restart + alpha * np.bincount(dst, (rank / degree)[src], minlength=n)
-        moved, rank = np.abs(step - rank).sum(), step
-        if tol > 0 and moved <= tol:
-            break
-    found = np.flatnonzero(out > 0)
-    return pd.DataFrame({"node": found, "rank": rank[found]})
+#: Rounds that are one plan; what they give is written, and looked at for whether ranks have settled.
+ROUNDS_AT_ONCE = 5
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6, small_edges: int = SMALL_EDGES) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
     """Personalized PageRank (node, rank) on the undirected graph; a seed without neighbours counts for nothing.
 
     At most ``iterations`` rounds, and none after ranks have moved by ``tol`` or less in sum; with 0 all rounds are run.
-    Graphs of at most ``small_edges`` edges are ranked in one task.  Of larger ones the edges are bucketed by source and
-    each round's ranks by node, so that a round shuffles only what flows, once, added up before.
+    Edges are bucketed by source, each node's own row among them, which brings its restart and its rank before; so a
+    round joins in place and shuffles only what flows, once, added up before.
     """
-    e = cut(undirected(edges), "edges")
-    if small_edges and e.count() <= small_edges:
-        return _one_task(e, seeds, partial(_power, iterations=iterations, alpha=alpha, tol=tol), "rank double")
-    spark = e.sparkSession
+    spark = edges.sparkSession
     saved, buckets = Saved(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = saved.keep(undirected(edges), "edges")
     out = e.groupBy("src").agg(F.count("*").alias("n"))
-    weighted = saved.keep_sorted(e.join(out, "src"), "weighted", ["src"], buckets)
-    nodes = weighted.select(F.col("src").alias("node")).distinct()
-    s = saved.keep(seeds.select("node").distinct().join(nodes, "node", "left_semi"), "seeds")
-    share = s.crossJoin(F.broadcast(s.agg(F.count("*").alias("m")))).select("node", (1.0 / F.col("m")).alias("restart"))  # one row
-    start = nodes.join(share, "node", "left").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart"))
-    rank = saved.keep_sorted(start.withColumns({"rank": F.col("restart"), "moved": F.lit(0.0)}), "rank", ["node"], buckets)
-    for _ in range(iterations):
-        flow = weighted.join(rank.select("node", "rank"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        step = (1 - alpha) * F.col("restart") + alpha * F.coalesce("got", F.lit(0.0))
-        before = rank
-        rank = rank.join(flow, F.col("node") == F.col("dst"), "left").select("node", "restart", step.alias("rank"), F.abs(step - F.col("rank")).alias("moved"))
-        rank = saved.keep_sorted(rank, "rank", ["node"], buckets)
-        saved.drop(before)
-        if tol > 0 and (rank.agg(F.sum("moved")).first()[0] or 0.0) <= tol:
-            break
+    nodes = saved.keep(out.join(seeds.select(F.col("node").alias("src")).distinct().withColumn("seed", F.lit(True)), "src", "left"), "nodes")
+    own = nodes.crossJoin(F.broadcast(nodes.agg(F.count("seed").alias("m"))))  # one row
+    own = own.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"), F.when(F.col("seed"), 1.0 / F.col("m")).otherwise(0.0).alias("restart"))
+    flows = e.join(nodes.select("src", "n"), "src").select("src", "dst", (1.0 / F.col("n")).alias("w"), F.lit(None).cast("double").alias("restart"))
+    weighted = saved.keep_sorted(flows.unionByName(own), "weighted", ["src"], buckets)
+
+    def after(rank: DataFrame, rounds: int) -> DataFrame:
+        for _ in range(rounds):
+            met = weighted.join(rank.select("node", "rank"), F.col("src") == F.col("node"))
+            new = alpha * F.coalesce(F.sum(F.col("w") * F.col("rank")), F.lit(0.0)) + (1 - alpha) * F.max("restart")
+            rank = met.groupBy(F.col("dst").alias("_n")).agg(new.alias("_r"), F.max(F.when(F.col("restart").isNotNull(), F.col("rank"))).alias("_was")).select(F.col("_n").alias("node"), F.col("_r").alias("rank"), "_was")
+        return rank.select("node", "rank", F.abs(F.col("rank") - F.col("_was")).alias("moved"))
+
+    def moved(rank: DataFrame) -> float:
+        return rank.agg(F.sum("moved")).first()[0] or 0.0
+
+    rank = saved.keep_sorted(own.select(F.col("src").alias("node"), F.col("restart").alias("rank")), "rank", ["node"], buckets)
+    done = 0
+    while done < iterations:
+        n = min(ROUNDS_AT_ONCE, iterations - done)
+        new = saved.keep_sorted(after(rank, n), "rank", ["node"], buckets)
+        if tol > 0 and moved(new) <= tol:  # ranks move less from round to round, so one of these rounds is the last
+            for k in range(1, n):
+                new = saved.keep_sorted(after(rank, k), "rank", ["node"], buckets)
+                if moved(new) <= tol:
+                    break
+            else:
+                new = saved.keep_sorted(after(rank, n), "rank", ["node"], buckets)
+            return new.select("node", "rank")
+        saved.drop(rank)
+        rank, done = new, done + n
     return rank.select("node", "rank")
 
 
+def pushed_ranks(edges: DataFrame, seeds: DataFrame, waves: int = 30, alpha: float = 0.85, least: float = 1e-9) -> DataFrame:
+    """(kernel, node, rank, missing): personalized PageRank of many kernels, groups of seeds (kernel, node), at once.
+
+    Forward push in waves: a node keeps the share 1 - alpha of its residual and pushes the rest to its neighbours, in
+    one join for all kernels.  Residuals below ``least`` are dropped, so a kernel stays around its seeds.  Mass is
+    conserved, hence ``missing``, what a kernel has dropped, is a bound: no rank is lower than that of ``waves`` power
+    rounds by more, none is higher, and with ``least`` 0 they are the same.  A seed without neighbours counts for nothing.
+    """
+    saved = Saved(edges.sparkSession, "push")
+    e = saved.keep(undirected(edges), "edges")
+    out = e.groupBy("src").agg(F.count("*").alias("n"))
+    shares = saved.keep(e.join(out, "src").select("src", "dst", (alpha / F.col("n")).alias("share")), "shares")
+    own = saved.keep(seeds.select("kernel", "node").distinct().join(out.select(F.col("src").alias("node")), "node", "left_semi"), "seeds")
+    count = own.groupBy("kernel").agg(F.count("*").alias("m"))
+    residual = saved.keep(own.join(count, "kernel").select("kernel", "node", (1.0 / F.col("m")).alias("r")), "wave")
+    kept = []
+    for wave in range(waves):
+        kept.append(residual.select("kernel", "node", ((1 - alpha) * F.col("r")).alias("r")))
+        pushed = residual.join(shares, F.col("node") == F.col("src")).groupBy("kernel", F.col("dst").alias("_n")).agg(F.sum(F.col("r") * F.col("share")).alias("r"))
+        pushed = pushed.select("kernel", F.col("_n").alias("node"), "r").where(F.col("r") >= least)
+        residual = saved.keep(pushed, "wave") if wave % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1 or least > 0 else pushed
+    kept.append(residual)
+    total = saved.keep(reduce(DataFrame.unionByName, kept).groupBy("kernel", "node").agg(F.sum("r").alias("rank")), "ranks")
+    missing = total.groupBy("kernel").agg(F.greatest(1.0 - F.sum("rank"), F.lit(0.0)).alias("missing"))
+    return total.join(missing, "kernel")
+
+
+def fused(ranks: DataFrame) -> DataFrame:
+    """(node, rank): of several kernels' ranks of a node the highest."""
+    return ranks.groupBy("node").agg(F.max("rank").alias("rank"))
+
+
 #: Nodes around the seeds that are ranked at most, by their distance and name.
 MAX_CANDIDATES = 5000
 
 
-def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, limit: int = 20, candidates: int = MAX_CANDIDATES, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6, small_edges: int = SMALL_EDGES) -> DataFrame:
+def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, limit: int = 20, candidates: int = MAX_CANDIDATES, iterations: int = 30, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
     """(node, distance, score) of the nodes most related to the seeds, seeds left out.
 
     Nodes within ``max_distance`` of a seed, the ``candidates`` nearest at most, make the horizon; personalized PageRank
     runs on its part of the graph.  The order is by score, then distance, then node.
     """
     whole = cut(edges.select("src", "dst").distinct(), "edges")
-    horizon = cut(distances(whole, seeds, max(1, max_distance), small_edges=small_edges), "horizon")
+    horizon = cut(distances(whole, seeds, max(1, max_distance)), "horizon")
     near = horizon.where("distance = 0").unionByName(horizon.where("distance > 0").orderBy("distance", "node").limit(candidates))
     near = F.broadcast(cut(near, "near")) if candidates <= 100_000 else cut(near, "near")  # and the seeds of the caller
     ends = near.select("node")
     part = whole.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    rank = pagerank(part, seeds, iterations, alpha, tol, small_edges)
+    rank = pagerank(part, seeds, iterations, alpha, tol)
     found = rank.join(near, "node").where("distance > 0").select("node", "distance", F.col("rank").alias("score"))
     return found.orderBy(F.desc("score"), "distance", "node").limit(limit)
 

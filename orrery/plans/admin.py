@@ -115,6 +115,23 @@ def graph_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.related(_edges(spark, sf_dir), _seeds(spark), 2, limit=5000).select("node", "distance", F.round("score", 7).alias("score"))
 
 
+def _fused_sql(rounds: int) -> str:
+    parts = [f"""WITH {_EDGES}, o AS (SELECT src, count(*) AS n FROM u GROUP BY src), k AS (SELECT DISTINCT 'k' || (l_suppkey % 4) AS kernel, 's' || l_suppkey AS node FROM lineitem WHERE l_suppkey < 8),
+        r0 AS (SELECT kernel, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY kernel) AS r FROM k), p0 AS (SELECT kernel, node, r * 0.15 AS r FROM r0)"""]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} AS (SELECT kernel, dst AS node, sum(r * 0.85 / n) AS r FROM r{i} JOIN u ON node = u.src JOIN o ON o.src = u.src GROUP BY 1, 2)" + (f", p{i + 1} AS (SELECT kernel, node, r * 0.15 AS r FROM r{i + 1})" if i + 1 < rounds else ""))
+    union = " UNION ALL ".join([f"FROM p{i}" for i in range(rounds)] + [f"FROM r{rounds}"])
+    return ", ".join(parts) + f" SELECT node, round(max(rank), 8) AS rank FROM (SELECT kernel, node, sum(r) AS rank FROM ({union}) GROUP BY 1, 2) GROUP BY node"
+
+
+@query(_fused_sql(6))
+def graph_fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of four kernels of suppliers over the whole graph, pushed in six waves at once and fused by the highest."""
+    li = table(spark, sf_dir, "lineitem").where("l_suppkey < 8")
+    seeds = li.select(F.concat(F.lit("k"), F.col("l_suppkey") % 4).alias("kernel"), F.concat(F.lit("s"), "l_suppkey").alias("node"))
+    return graph.fused(graph.pushed_ranks(_edges(spark, sf_dir), seeds, 6, least=0.0)).withColumn("rank", F.round("rank", 8))
+
+
 @query(f"WITH {_EDGES}, x AS (SELECT src AS node, dst AS other, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, src, 0, 1 FROM e) SELECT node, count(DISTINCT CASE WHEN o = 1 THEN other END) AS n_out, count(DISTINCT CASE WHEN i = 1 THEN other END) AS n_in, count(DISTINCT other) AS n_both FROM x GROUP BY node")
 def graph_neighbor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbor_counts(_edges(spark, sf_dir))

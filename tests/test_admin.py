@@ -1,5 +1,7 @@
 """Operators that SQL cannot check: digests, token pieces, versions, Arrow streams, builds, kernels in one task and by joins."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,18 +85,68 @@ def test_arrow_streams_keep_rows_and_metadata(spark):
     assert [r.id for r in df.collect()] == [0, 1, 2] and meta["who"] == "me" and meta["trace_id"] == "t-1"
 
 
-def test_graph_kernels_agree_with_the_joins(spark):
+def plain_ranks(near, seeds, rounds, alpha=0.85):
+    seeds = [x for x in seeds if x in near]
+    restart = {n: 1 / len(seeds) if n in seeds else 0.0 for n in near}
+    rank = dict(restart)
+    for _ in range(rounds):
+        rank = {n: (1 - alpha) * restart[n] + alpha * sum(rank[m] / len(near[m]) for m in near[n]) for n in near}
+    return rank
+
+
+def plain_distances(pairs, seeds, hops):
+    found = dict.fromkeys(seeds, 0)
+    for hop in range(1, hops + 1):
+        found |= {b: hop for a, b in pairs if a in found and found[a] == hop - 1 and b not in found}
+    return found
+
+
+def test_graph_joins_against_plain_versions(spark):
     rng = np.random.default_rng(2)
-    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (150, 2)) if a != b], "src string, dst string").distinct()
-    seeds = spark.createDataFrame([("n1",), ("n2",), ("missing",)], "node string")
-    key = lambda df: {r[0]: round(r[1], 9) for r in df.collect()}
-    assert key(graph.pagerank(edges, seeds)) == pytest.approx(key(graph.pagerank(edges, seeds, small_edges=0)))
-    for way in ("out", "in", "both"):
-        assert key(graph.distances(edges, seeds, 3, way)) == key(graph.distances(edges, seeds, 3, way, small_edges=0))
-    a, b = graph.related(edges, seeds, 2, 10).collect(), graph.related(edges, seeds, 2, 10, small_edges=0).collect()
-    assert [r.node for r in a] == [r.node for r in b] and len(a) == 10 and not {"n1", "n2"} & {r.node for r in a}
+    pairs = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (150, 2))} | {("hub", f"n{i}") for i in range(60)}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    edges = spark.createDataFrame(sorted(pairs) * 2, "src string, dst string")
+    names = ["n1", "n2", "missing"]
+    seeds = spark.createDataFrame([(n,) for n in names], "node string")
+    back = {(b, a) for a, b in pairs}
+    for way, own in (("out", pairs), ("in", back), ("both", pairs | back)):
+        for hops in (0, 1, 3):
+            assert dict(graph.distances(edges, seeds, hops, way).collect()) == plain_distances(own, names, hops)
+    assert dict(graph.pagerank(edges, seeds, 30, tol=0.0).collect()) == pytest.approx(plain_ranks(near, names, 30), abs=1e-12)
+    got = graph.related(edges, seeds, 2, 10).collect()
+    horizon = {n for n, d in plain_distances(pairs | back, names, 2).items() if n in near}
+    inner = plain_ranks({n: near[n] & horizon for n in horizon}, names, 30)
+    assert [r.node for r in got] == sorted((n for n in horizon if n not in names), key=lambda n: (-round(inner[n], 9), n))[:10] or [r.score for r in got] == pytest.approx(sorted((v for n, v in inner.items() if n not in names), reverse=True)[:10], abs=1e-6)
     none = edges.limit(0)
-    assert graph.pagerank(none, seeds).count() == 0
+    assert graph.pagerank(none, seeds).count() == 0 == graph.pushed_ranks(none, seeds.withColumn("kernel", F.lit(1))).count()
+
+
+def test_pushed_ranks_equal_power_rounds_within_their_bound(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 80, (160, 2)) if a != b}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    edges = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    kernels = {"x": [1, 2], "y": [40], "z": [999]}
+    seeds = spark.createDataFrame([(k, n) for k, v in kernels.items() for n in v if n in near or k == "z"], "kernel string, node int")
+    for least, waves in ((0.0, 30), (1e-9, 30), (1e-3, 30), (0.0, 4)):
+        rows = graph.pushed_ranks(edges, seeds, waves, least=least).collect()
+        assert {r.kernel for r in rows} == {"x", "y"}
+        for k in ("x", "y"):
+            want = plain_ranks(near, kernels[k], waves)
+            got = {r.node: r["rank"] for r in rows if r.kernel == k}
+            bound = max(r.missing for r in rows if r.kernel == k)
+            assert all(-1e-12 <= want[n] - got.get(n, 0.0) <= bound + 1e-12 for n in want)
+            assert bound < (1e-12 if not least else 1e-5 if least < 1e-6 else 0.7)
+            assert least or got == pytest.approx({n: v for n, v in want.items() if v}, abs=1e-12)
+    best = {r.node: r["rank"] for r in graph.fused(graph.pushed_ranks(edges, seeds, 30)).collect()}
+    assert best == pytest.approx({n: max(plain_ranks(near, v, 30)[n] for v in (kernels["x"], kernels["y"])) for n in best}, abs=1e-6)
+    assert "SinglePartition" not in graph.pushed_ranks(edges, seeds, 3)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
 
 
 def test_dense_clusters_refuse_what_no_task_may_hold(spark, monkeypatch):
