@@ -13,7 +13,7 @@ from orrery.plans.more import _EDGES, _edges
 from orrery.plans.registry import query
 from orrery.sources import tables
 from orrery.sources.tables import table
-from orrery.streaming import windows
+from orrery.streaming import stateful, windows
 
 
 @query("WITH o AS (SELECT user_id, list(least(value / 100, 1.0) ORDER BY event_id) AS r FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(r, lambda q, x: least(greatest(q + 0.2 * (x - q), 0.0), 1.0), 0.5), 6) AS q, len(r) AS n FROM o")
@@ -27,11 +27,37 @@ def state_feedback_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.feedback_bias(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value")).select("user_id", F.round("state", 4).alias("bias"))
 
 
-@query("WITH d AS (SELECT user_id, event_id, coalesce(greatest(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY event_id), 0), 0) / 86400.0 AS days FROM events) SELECT user_id, round(list_reduce(list(days::DOUBLE ORDER BY event_id), lambda s, x: least(greatest(s * exp(-0.05 * x) + 0.5 * ln(2), 1), 10), 5.0::DOUBLE), 6) AS saliency FROM d GROUP BY user_id")
+_TOUCHES = "WITH d AS (SELECT user_id, event_id, coalesce(greatest(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY event_id), 0), 0) / 86400.0 AS days FROM events) SELECT user_id, round(list_reduce(list(days::DOUBLE ORDER BY event_id), lambda s, x: least(greatest(s * exp(-0.05 * x) + 0.5 * ln(2), 1), 10), 5.0::DOUBLE), 6) AS saliency FROM d GROUP BY user_id"
+
+
+@query(_TOUCHES)
 def state_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.touches(table(spark, sf_dir, "events"), "user_id", "event_id", "ts").select("user_id", F.round("state", 6).alias("saliency"))
 
 
+@query(_TOUCHES)
+def stream_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same saliency from a stream with state, fed in four slices and started anew for each."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    run = stateful.Replay(spark, "stream-touches", e.schema, lambda s: stateful.touched(s, "user_id", "event_id", "ts"))
+    for part in stateful.sliced(e, "event_id", 4):
+        run.feed(part)
+    last = run.rows().groupBy("user_id").agg(F.max_by("saliency", "n").alias("saliency"))
+    return last.select("user_id", F.round("saliency", 6).alias("saliency"))
+
+
+@query("SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS slot FROM (FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5)")
+def stream_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five events of each user, as a list in the state of a stream that is fed in four slices."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    run = stateful.Replay(spark, "stream-rings", e.schema, lambda s: stateful.rings(s, "user_id", "event_id", 5))
+    for part in stateful.sliced(e, "event_id", 4):
+        run.feed(part)
+    rows = run.rows()
+    latest = rows.groupBy("user_id").agg(F.max("seen").alias("seen"))
+    return rows.join(latest, ["user_id", "seen"], "left_semi").select("user_id", "event_id", "event_type", "value", "slot")
+
+
 @query(f"""WITH {_EDGES}, b AS (SELECT src, dst, 'out' AS d, 1.0::DOUBLE AS s FROM e UNION SELECT dst, src, 'in', 0.25 FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY src, d ORDER BY dst) - 1 AS r FROM b), n AS (SELECT src, dst, max(s / (r + 1)) AS w FROM r WHERE r < 5 GROUP BY 1, 2),
     h1 AS (SELECT * FROM (SELECT src AS origin, dst AS node, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM n WHERE src IN ('s1', 's2') AND dst <> src) WHERE k <= 12),
     c2 AS (SELECT h1.origin, n.dst AS node, max(h1.w * 0.5 * n.w) AS w FROM h1 JOIN n ON h1.node = n.src WHERE n.dst <> h1.origin AND (h1.origin, n.dst) NOT IN (SELECT (origin, node) FROM h1) GROUP BY 1, 2),
