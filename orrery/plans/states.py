@@ -12,8 +12,9 @@ from orrery.operators import state, surface
 from orrery.plans.more import _EDGES, _edges
 from orrery.plans.registry import query
 from orrery.sources import tables
+from orrery.sources.shared import new_path
 from orrery.sources.tables import table
-from orrery.streaming import stateful, windows
+from orrery.streaming import changes, stateful, windows
 
 
 @query("WITH o AS (SELECT user_id, list(least(value / 100, 1.0) ORDER BY event_id) AS r FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(r, lambda q, x: least(greatest(q + 0.2 * (x - q), 0.0), 1.0), 0.5), 6) AS q, len(r) AS n FROM o")
@@ -58,6 +59,16 @@ def stream_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(latest, ["user_id", "seen"], "left_semi").select("user_id", "event_id", "event_type", "value", "slot")
 
 
+@query("SELECT client_id, seq, segment, city, balance FROM (FROM client_changes WHERE client_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST) = 1) WHERE op IS DISTINCT FROM 'D'")
+def stream_followed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that follows a log of changes as they arrive, late and repeated ones among them, in four slices."""
+    log = table(spark, sf_dir, "client_changes").select("change_id", "client_id", "seq", "op", "segment", "city", "balance")
+    follower = changes.Follower(spark, new_path(spark, "changes"), "client_id", ["seq", "change_id"], F.col("op").eqNullSafe("D"))
+    for part in stateful.sliced(log, "change_id", 4):
+        follower.feed(part)
+    return follower.read().select("client_id", "seq", "segment", "city", "balance")
+
+
 @query(f"""WITH {_EDGES}, b AS (SELECT src, dst, 'out' AS d, 1.0::DOUBLE AS s FROM e UNION SELECT dst, src, 'in', 0.25 FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY src, d ORDER BY dst) - 1 AS r FROM b), n AS (SELECT src, dst, max(s / (r + 1)) AS w FROM r WHERE r < 5 GROUP BY 1, 2),
     h1 AS (SELECT * FROM (SELECT src AS origin, dst AS node, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM n WHERE src IN ('s1', 's2') AND dst <> src) WHERE k <= 12),
     c2 AS (SELECT h1.origin, n.dst AS node, max(h1.w * 0.5 * n.w) AS w FROM h1 JOIN n ON h1.node = n.src WHERE n.dst <> h1.origin AND (h1.origin, n.dst) NOT IN (SELECT (origin, node) FROM h1) GROUP BY 1, 2),

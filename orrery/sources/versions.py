@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +43,14 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def _commit(self, parts: list[str], action: str) -> int:
+    def _commit(self, parts: list[str], action: str, dead: list | None = None, applied: dict[str, int] | None = None) -> int:
         version = (self.versions() or [0])[-1] + 1
+        if applied is None:
+            applied = self.manifest().get("applied", {}) if version > 1 else {}
         p, fs = self._fs(f"{self.root}/manifests/{version}.json")
         out = fs.create(p, False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "action": action, "parts": parts, "time": int(time.time())}).encode()))
+            out.write(bytearray(json.dumps({"version": version, "action": action, "parts": parts, "dead": dead or [], "applied": applied, "time": int(time.time())}).encode()))
         finally:
             out.close()
         return version
@@ -59,8 +62,8 @@ class VersionedTable:
         return part
 
     def append(self, df: DataFrame, partition_by: str | None = None) -> int:
-        parts = self.manifest()["parts"] if self.versions() else []
-        return self._commit([*parts, self._write(df, partition_by)], "append")
+        m = self.manifest() if self.versions() else {"parts": []}
+        return self._commit([*m["parts"], self._write(df, partition_by)], "append", m.get("dead"))
 
     def replace(self, df: DataFrame) -> int:
         return self._commit([self._write(df)], "replace")
@@ -69,17 +72,43 @@ class VersionedTable:
         kept = self.read().where(~F.coalesce(condition, F.lit(False)))
         return self._commit([self._write(kept)], "delete")
 
+    def upsert(self, new: DataFrame, key: str, batch: tuple[str, int] | None = None) -> int | None:
+        """Rows of ``new`` replace those with their keys; only they and their keys are written, ``read`` hides the rest.
+
+        ``batch`` is (source, number): a batch that a source has had applied already changes nothing and gives None, so
+        a stream that repeats its last batch after a failure has it once.  Keys of ``new`` are unique.
+        """
+        m = self.manifest() if self.versions() else {"parts": []}
+        applied = m.get("applied", {})
+        if batch and applied.get(batch[0], -1) >= batch[1]:
+            return None
+        part = self._write(new)
+        keys = self._write(self.spark.read.schema(new.schema).parquet(part).select(key))
+        dead = [*m.get("dead", []), [keys, key, len(m["parts"])]]
+        return self._commit([*m["parts"], part], "upsert", dead, {**applied, batch[0]: batch[1]} if batch else applied)
+
+    def compact(self) -> int:
+        """The latest version as one part without hidden rows."""
+        return self._commit([self._write(self.read())], "compact")
+
     def read(self, version: int | None = None) -> DataFrame:
         """The latest version, or an older one; columns that a folder lacks are null."""
-        parts = self.manifest(version)["parts"]
-        out = self.spark.read.parquet(parts[0])
-        for p in parts[1:]:
-            out = out.unionByName(self.spark.read.parquet(p), allowMissingColumns=True)
-        return out
+        m = self.manifest(version)
+        parts = [self.spark.read.parquet(p) for p in m["parts"]]
+        hidden = m.get("dead", [])
+        if not hidden:
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+        for key in dict.fromkeys(k for _, k, _ in hidden):
+            own = [self.spark.read.parquet(p).select(F.col(key).alias("_key"), F.lit(before).alias("_before")) for p, k, before in hidden if k == key]
+            last = reduce(DataFrame.unionByName, own).groupBy("_key").agg(F.max("_before").alias("_before"))
+            out = out.join(last, F.col(key) == F.col("_key"), "left").where(F.col("_before").isNull() | (F.col("_part") >= F.col("_before"))).drop("_key", "_before")
+        return out.drop("_part")
 
     def checkout(self, version: int) -> int:
         """Make an older version the latest one."""
-        return self._commit(self.manifest(version)["parts"], "checkout")
+        m = self.manifest(version)
+        return self._commit(m["parts"], "checkout", m.get("dead"))
 
     def info(self) -> dict:
         m = self.manifest()

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.streaming import stateful
+from orrery.streaming import changes, stateful
 
 SCHEMA = "k string, o bigint, ts timestamp"
 
@@ -58,3 +58,36 @@ def test_rings_hold_the_last_rows(spark):
         own = [(i, None if i % 5 == 0 else f"t{i}") for i in range(20) if f"s{i % 3}" == k]
         assert last[k] == (len(own), dict(enumerate(own[-3:])))
     assert stateful.sliced(df.limit(0), "o", 3)[0].count() == 0
+
+
+def test_a_followed_table_takes_each_batch_once(spark, tmp_path, monkeypatch):
+    schema = "id bigint, seq bigint, op string, v string"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    state = lambda f: {r.id: (r.seq, r.v) for r in f.read().collect()}
+    f = changes.Follower(spark, str(tmp_path), "id", ["seq"], F.col("op") == "D")
+    f.feed(make((1, 1, "I", "a"), (2, 1, "I", "b"), (1, 2, "U", "c"), (None, 9, "I", "x")))
+    assert state(f) == {1: (2, "c"), 2: (1, "b")}
+    f.feed(make((2, 5, "D", None), (1, 1, "U", "late"), (3, None, "I", "n")))
+    assert state(f) == {1: (2, "c"), 3: (None, "n")}
+    f.feed(make((2, 4, "U", "late"), (2, 5, "U", "tie")))  # a removed key does not come back
+    assert state(f) == {1: (2, "c"), 3: (None, "n")}
+    before = f.table.versions()
+    f.apply(make((1, 7, "U", "again")), 1)  # a batch number that has been applied
+    assert f.table.versions() == before
+    real, failed = f.table._commit, []
+
+    def failing(*a, **k):
+        if not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        return real(*a, **k)
+
+    monkeypatch.setattr(f.table, "_commit", failing)
+    with pytest.raises(Exception):
+        f.feed(make((1, 8, "U", "d")))
+    assert state(f)[1] == (2, "c")
+    f.feed(make((3, 9, "U", "e")))  # the failed batch is repeated, then the new one
+    assert state(f) == {1: (8, "d"), 3: (9, "e")}
+    assert {r.id for r in f.read(f.table.versions()[0]).collect()} == {1, 2}
+    f.table.compact()
+    assert state(f) == {1: (8, "d"), 3: (9, "e")} and f.table.manifest()["dead"] == []
