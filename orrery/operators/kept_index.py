@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import osa_distance
-from orrery.operators.near import leftovers
-from orrery.sources.shared import drop_path, shared_dir
+from orrery.operators.near import probe_keys, segment_keys
+from orrery.sources.shared import drop_path, stamped_path
 
 #: Changed keys from which on a refresh rebuilds the index, if it is given the whole table.
 REBUILD_AT = 256
@@ -28,8 +28,8 @@ MAX_SEGMENTS = 8
 FOLDER_WORDS, MAX_BUCKETS = 1 << 24, 1 << 12
 #: Rows of a table that is broadcast at most (its count is in the manifest, or has been taken).
 BROADCAST_ROWS = 100_000
-#: Longest terms whose leftovers are kept for near-term search; longer ones are met by exact and prefix search only.
-NEAR_LENGTH = 40
+#: Edits whose segments the dictionary keeps: up to two of any kind, and two swaps of neighbours, which are four.
+NEAR_EDITS = (2, 4)
 #: What a field's match is worth in a fuzzy and in a prefix search, by its place among the fields.
 FUZZY_BOOST, PREFIX_BOOST = (1.0, 0.92, 0.88, 0.84), (5.0, 3.5, 3.0, 2.5)
 
@@ -121,13 +121,12 @@ class KeptIndex:
         return F.pmod(F.xxhash64(c), F.lit(m.buckets)).cast("int")
 
     def _write_terms(self, m: Manifest, segment: int) -> None:
-        """The dictionary of a segment's postings, in order of terms, and what is left of each term without two letters."""
+        """The dictionary of a segment's postings, in order of terms, and the terms by what they keep after a few edits."""
         own = self.spark.read.schema(self._schema("postings", m)).option("basePath", f"{self.root}/postings").parquet(self._path("postings", segment))
         own.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path("terms", segment))
-        terms = self.spark.read.parquet(self._path("terms", segment)).where(F.char_length("term") <= NEAR_LENGTH)
-        near = terms.select("term", F.explode(leftovers(F.col("term"), 2)).alias("h"))
+        near = self.spark.read.parquet(self._path("terms", segment)).select("term", F.explode(F.concat(*[segment_keys(F.col("term"), k) for k in NEAR_EDITS])).alias("h"))
         near = near.withColumn("bucket", F.pmod("h", F.lit(m.buckets)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "h")
-        near.write.partitionBy("bucket").parquet(self._path("near", segment))
+        near.write.option("compression", "zstd").partitionBy("bucket").parquet(self._path("near", segment))
 
     def _write_postings(self, postings: DataFrame, m: Manifest, segment: int) -> None:
         dealt = postings.select("key", "field", "term", "at", "dl", self._bucket(F.col("term"), m).alias("bucket"))
@@ -260,7 +259,8 @@ class KeptIndex:
         if not 0 <= max_distance <= 2:
             raise ValueError("a near term is at most two edits away")
         m, q = self.manifest(), query.strip().lower()
-        hashes = [r[0] for r in self.spark.range(1).select(F.explode(leftovers(F.lit(q), max_distance))).collect()]  # of one word
+        keys = self.spark.createDataFrame(probe_keys(q, NEAR_EDITS[transposition]), "k int, m int, i int, part string")
+        hashes = [r[0] for r in keys.select(F.xxhash64("k", "m", "i", "part")).collect()]  # of one word
         buckets = sorted({h % m.buckets for h in hashes})
         near = self._read("near", m).where(F.col("bucket").isin(buckets) & F.col("h").isin(hashes)).select("term").distinct()
         distance = osa_distance(F.lit(q), F.col("term")) if transposition else F.levenshtein(F.lit(q), F.col("term"))
@@ -300,15 +300,7 @@ def kept(docs: DataFrame, name: str, key: str, columns: dict[str, str]) -> KeptI
 
     Its folder in the shared one is named after the table's files and their size, so a changed table has another.
     """
-    spark = docs.sparkSession
-    files = sorted(docs.inputFiles())
-    fs_size = 0
-    for f in files:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
-        fs_size += status.getLen() + status.getModificationTime()
-    stamp = spark.range(1).select(F.sha2(F.lit(json.dumps([files, fs_size, key, columns])), 256)).first()[0][:16]
-    index = KeptIndex(spark, f"{shared_dir(spark)}/index-{name}-{stamp}")
+    index = KeptIndex(docs.sparkSession, stamped_path(docs, f"index-{name}", [key, columns]))
     if not index.versions():
         index.build(docs, key, columns)
     return index

@@ -58,6 +58,27 @@ def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
     return start, (F.floor((i + 1) * length / (k + 1)) - start).cast("int")
 
 
+def segment_keys(s: Column, k: int) -> Column:
+    """Hashes of the ``k + 1`` segments of a string, with its length and their place."""
+    size = F.char_length(s)
+    parts = []
+    for i in range(k + 1):
+        start, length = _segment(size, F.lit(k), F.lit(i))
+        parts.append(F.xxhash64(F.lit(k), size, F.lit(i), F.substring(s, start + 1, length)))
+    return F.array(*parts)
+
+
+def probe_keys(q: str, k: int) -> list[tuple[int, int, int, str]]:
+    """What ``segment_keys`` hashes, of all strings within ``k`` edits of ``q``: one at least is that of a segment they keep."""
+    keys = set()
+    for m in range(max(0, len(q) - k), len(q) + k + 1):
+        for i in range(k + 1):
+            start, end = i * m // (k + 1), (i + 1) * m // (k + 1)
+            for at in range(max(0, start - k), min(start + k, len(q) - (end - start)) + 1):
+                keys.add((k, m, i, q[at : at + end - start]))
+    return sorted(keys)
+
+
 def _by_segments(names: DataFrame, least: float) -> DataFrame:
     own = names.withColumn("k", allowance(F.col("n"), least))
     own = own.select("name", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from orrery.sources.shared import Saved
+from orrery.sources.shared import Saved, new_path, stamped_path
 
 #: Centroids and the number of probes are learned from about so many rows, twice as many at most; all rows are indexed.
 SAMPLE = 1 << 16
@@ -23,6 +25,10 @@ ROUNDS = 12
 RECALL, TRIALS = 0.97, 512
 #: A cell is searched in blocks of about so many rows and queries, whatever its size.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 11
+#: Queries of so many bytes at most go to the rows; more are shuffled with them.
+QUERY_BYTES = 32 << 20
+#: Tombstones that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -80,21 +86,108 @@ def probes_for(points: np.ndarray, middle: np.ndarray, k: int, recall: float) ->
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """``rows``: (key, vector, cell), written in order of cell; ``sizes``: rows of each cell."""
+    """An index below ``root``: rows (key, vector) in folders by segment and cell, and what a search has to know.
 
-    rows: DataFrame
+    ``dead``: segments with tombstones, which hide their keys in older segments.
+    """
+
+    spark: SparkSession
+    root: str
     key: str
     vector: str
+    schema: StructType
     centroids: np.ndarray
     probes: int
-    sizes: DataFrame
+    segments: tuple[int, ...] = (1,)
+    dead: tuple[int, ...] = ()
+    n_dead: int = 0
+
+    def _folder(self, kind: str, segments: tuple[int, ...], schema: StructType) -> DataFrame:
+        full = StructType([*schema.fields, StructField("segment", IntegerType())])
+        if not segments:
+            return self.spark.createDataFrame([], full)
+        paths = [f"{self.root}/{kind}/segment={i}" for i in segments]
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/{kind}").parquet(*paths)
+
+    def read(self, cells: list[int] | None = None) -> DataFrame:
+        """Live rows (key, vector, cell), of all cells or of these, whose folders alone are read."""
+        rows = self._folder("rows", self.segments, StructType([*self.schema.fields, StructField("cell", IntegerType())]))
+        rows = rows if cells is None else rows.where(F.col("cell").isin(cells))
+        if not self.dead:
+            return rows.drop("segment")
+        dead = self._folder("dead", self.dead, StructType([self.schema[self.key]])).groupBy(F.col(self.key).alias("_key")).agg(F.max("segment").alias("_until"))
+        dead = F.broadcast(dead) if self.n_dead <= BROADCAST_ROWS else dead
+        hidden = F.col("_until").isNotNull() & (F.col("segment") < F.col("_until"))
+        return rows.join(dead, F.col(self.key) == F.col("_key"), "left").where(~hidden).drop("_key", "_until", "segment")
+
+    def held(self) -> np.ndarray:
+        """Rows written to each cell, those that are hidden by now among them."""
+        out = np.zeros(len(self.centroids), np.int64)  # MAX_CELLS at most
+        sizes = self._folder("sizes", self.segments, StructType([StructField("cell", IntegerType()), StructField("n_rows", LongType())]))
+        for r in sizes.groupBy("cell").agg(F.sum("n_rows").alias("n")).collect():
+            out[r["cell"]] = r["n"]
+        return out
+
+    def write(self, rows: DataFrame, segment: int) -> None:
+        """Deal rows to their cells' folders; large cells are split over files."""
+        width, vector = self.centroids.shape[1], self.vector
+        sent = self.spark.sparkContext.broadcast(self.centroids)
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(cell=nearest(matrix(b[vector], width), sent.value, 1)[:, 0] if len(sent.value) else np.zeros(len(b), np.int32))
+
+        dealt = rows.select(self.key, self.vector).mapInPandas(deal, StructType([*self.schema.fields, StructField("cell", IntegerType())]))
+        to = f"{self.root}/rows/segment={segment}"
+        dealt.hint("rebalance", "cell").write.partitionBy("cell").parquet(to)
+        written = self.spark.read.schema(StructType([*self.schema.fields, StructField("cell", IntegerType())])).parquet(to)
+        written.groupBy("cell").agg(F.count("*").alias("n_rows")).coalesce(1).write.parquet(f"{self.root}/sizes/segment={segment}")  # MAX_CELLS rows at most
+
+    def refresh(self, changed: DataFrame, removed: DataFrame) -> VectorIndex:
+        """The index with rows that are new or changed, without keys that are removed; the older one stays readable.
+
+        Only the changes are written: tombstones and a segment, dealt by the centroids that the index has.  A changed
+        row without a vector is removed.  A key that is changed and removed is changed; keys of ``changed`` are unique.
+        """
+        segment = max(self.segments) + 1
+        touched = changed.select(self.key).unionByName(removed.select(self.key)).distinct()
+        touched.write.parquet(f"{self.root}/dead/segment={segment}")
+        n = self.spark.read.parquet(f"{self.root}/dead/segment={segment}").count()
+        self.write(changed.where(F.col(self.vector).isNotNull()), segment)
+        out = replace(self, segments=(*self.segments, segment), dead=(*self.dead, segment), n_dead=self.n_dead + n)
+        return out._save()
+
+    def compact(self) -> VectorIndex:
+        """All live rows in one segment."""
+        segment = max(self.segments) + 1
+        self.write(self.read(), segment)
+        return replace(self, segments=(segment,), dead=(), n_dead=0)._save()
+
+    def _save(self) -> VectorIndex:
+        facts = {"key": self.key, "vector": self.vector, "schema": self.schema.json(), "probes": self.probes, "segments": list(self.segments), "dead": list(self.dead), "n_dead": self.n_dead, "width": int(self.centroids.shape[1])}
+        row = [(json.dumps(facts), bytearray(self.centroids.astype(np.float32).tobytes()))]
+        self.spark.createDataFrame(row, "facts string, centroids binary").coalesce(1).write.parquet(f"{self.root}/versions/version={max(self.segments)}")
+        return self
+
 
+def opened(spark: SparkSession, root: str, version: int | None = None) -> VectorIndex:
+    """The index below ``root``: its last version, or an older one by the number of its last segment."""
+    known = spark.read.parquet(f"{root}/versions")
+    known = known if version is None else known.where(F.col("version") == version)
+    row = known.orderBy(F.desc("version")).first()  # one row a version
+    if row is None:
+        raise ValueError(f"no version {version} of {root}")
+    f = json.loads(row["facts"])
+    middle = np.frombuffer(bytes(row["centroids"]), np.float32).reshape(-1, f["width"])
+    return VectorIndex(spark, root, f["key"], f["vector"], StructType.fromJson(json.loads(f["schema"])), middle, f["probes"], tuple(f["segments"]), tuple(f["dead"]), f["n_dead"])
 
-def build(df: DataFrame, key: str, vector: str, k: int = 10, recall: float = RECALL, sample: int = SAMPLE) -> VectorIndex:
+
+def build(df: DataFrame, key: str, vector: str, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, root: str | None = None) -> VectorIndex:
     """Index all rows of ``df`` whose vector is not null by cosine; keys are unique.  An empty table gives an empty index.
 
     The width is that of the sample's longest vector; a longer one elsewhere is refused.  No shuffle but that which
-    deals rows to files by cell, in which Spark splits large cells.
+    deals rows to files by cell, in which Spark splits large cells.  The index lies below ``root``, or a new folder of
+    the shared one, until that is deleted; ``opened`` finds it again.
     """
     spark, rows = df.sparkSession, df.where(F.col(vector).isNotNull()).select(key, vector)
     n = rows.count()
@@ -104,23 +197,57 @@ def build(df: DataFrame, key: str, vector: str, k: int = 10, recall: float = REC
     cells = max(1, min(MAX_CELLS, isqrt(n), CENTROID_BYTES // (4 * max(1, width)), max(1, len(points))))
     middle = centroids_of(points, cells) if len(points) else np.zeros((0, width), np.float32)
     probes = probes_for(points, middle, k, recall) if len(points) else 1
-    sent = spark.sparkContext.broadcast(middle)
+    index = VectorIndex(spark, root or new_path(spark, "vector-index"), key, vector, rows.schema, middle, probes)
+    index.write(rows, 1)
+    return index._save()
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(cell=nearest(matrix(b[vector], width), sent.value, 1)[:, 0])
 
-    dealt = rows.mapInPandas(deal, StructType([*rows.schema.fields, StructField("cell", IntegerType())]))
-    saved = Saved(spark, "vector-index")
-    kept = saved.keep(dealt.hint("rebalance", "cell").sortWithinPartitions("cell"), "rows")
-    sizes = saved.keep(kept.groupBy("cell").agg(F.count("*").alias("n_rows")), "sizes")
-    return VectorIndex(kept, key, vector, middle, probes, sizes)
+def kept(df: DataFrame, name: str, key: str, vector: str) -> VectorIndex:
+    """The index of a table as its files are now: opened if an earlier call has built it, built if not."""
+    root = stamped_path(df, f"vectors-{name}", [key, vector])
+    try:
+        return opened(df.sparkSession, root)
+    except AnalysisException:  # nothing there
+        return build(df, key, vector, root=root)
 
 
 def _blocks(n: str, size: int) -> Column:
     return F.ceil(F.coalesce(n, F.lit(0)) / size).cast("int")
 
 
+def _best(v: np.ndarray, keys: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` rows of most cosine for each query, ties by their order."""
+    for a in range(0, len(q), 256):
+        score = q[a : a + 256] @ v.T
+        least = np.partition(score, -k, axis=1)[:, -k] if k < len(v) else score.min(axis=1)
+        for i, row in enumerate(score):
+            at = np.flatnonzero(row >= least[i])
+            at = at[np.argsort(-row[at], kind="stable")][:k]
+            yield pd.DataFrame({"query": asks[a + i], "key": keys[at], "score": row[at].astype(np.float64)})
+
+
+def _by_map(live: DataFrame, probed: DataFrame, width: int, k: int, schema: StructType) -> DataFrame:
+    """Few queries go to the rows: each batch of a cell's rows gives its best for each query that probes the cell.
+
+    So no vector of the index is shuffled.  The caller has checked what the queries take.
+    """
+    asked = probed.toPandas()
+    cells: dict[int, list[int]] = {}
+    for i, own in enumerate(asked["cells"]):
+        for c in own:
+            cells.setdefault(int(c), []).append(i)
+    sent = live.sparkSession.sparkContext.broadcast((matrix(asked["q"], width), asked["query"].to_numpy(), {c: np.array(i) for c, i in cells.items()}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, asks, of = sent.value
+        for b in batches:
+            for cell, own in b.groupby("cell"):
+                own, at = own.sort_values("key"), of[cell]
+                yield from _best(matrix(own["v"], width), own["key"].to_numpy(), q[at], asks[at], k)
+
+    return live.mapInPandas(run, schema)
+
+
 def search(index: VectorIndex, queries: DataFrame, query: str, vector: str, k: int = 10, probes: int | None = None) -> DataFrame:
     """(query, key, score, rank): the ``k`` rows of most cosine in the probed cells, ties by key; query keys are unique.
 
@@ -130,43 +257,44 @@ def search(index: VectorIndex, queries: DataFrame, query: str, vector: str, k: i
     """
     probes, width = min(probes or index.probes, len(index.centroids)), index.centroids.shape[1]
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("query"), F.col(vector).alias("q"))
-    schema = StructType([asked.schema["query"], StructField("key", index.rows.schema[index.key].dataType)]).add("score", "double")
+    schema = StructType([asked.schema["query"], StructField("key", index.schema[index.key].dataType)]).add("score", "double")
     if not probes:
         return queries.sparkSession.createDataFrame([], StructType([*schema.fields, StructField("rank", IntegerType())]))
-    held = np.zeros(len(index.centroids), np.int64)  # MAX_CELLS at most
-    for r in index.sizes.collect():
-        held[r["cell"]] = r["n_rows"]
-    sent = queries.sparkSession.sparkContext.broadcast((index.centroids, held))
+    held, spark = index.held(), queries.sparkSession
+    sent = spark.sparkContext.broadcast((index.centroids, held))
+    slack = index.n_dead  # so many of the rows in a query's cells may be hidden
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         middle, sizes = sent.value
         for b in batches:
             order = nearest(matrix(b["q"], width), middle, len(middle))
-            short = (np.cumsum(sizes[order], axis=1) < k).sum(axis=1)  # cells that hold fewer than k rows together
+            short = (np.cumsum(sizes[order], axis=1) < k + slack).sum(axis=1)  # cells that hold fewer than k rows together
             yield b.assign(cells=[own[: max(probes, n + 1)] for own, n in zip(order, short, strict=True)])
 
-    near = asked.mapInPandas(probe, StructType([*asked.schema.fields]).add("cells", ArrayType(IntegerType()))).select("query", "q", F.explode("cells").alias("cell"))
-    sizes = near.groupBy("cell").agg(F.count("*").alias("n_queries")).join(F.broadcast(index.sizes), "cell")  # MAX_CELLS rows at most
+    saved = Saved(spark, "vector-search")
+    probed = saved.keep(asked.mapInPandas(probe, StructType([*asked.schema.fields]).add("cells", ArrayType(IntegerType()))), "probed")
+    n_asked = probed.count()
+    # folders of cells that no query probes are not read
+    cells = sorted(r[0] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect())  # MAX_CELLS at most
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    live = index.read(cells).select(F.col(index.key).alias("key"), F.col(index.vector).alias("v"), "cell")
+    if n_asked * (width + probes) * 4 <= QUERY_BYTES:
+        found = _by_map(live, probed, width, k, schema)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = probed.select("query", "q", F.explode("cells").alias("cell"))
+    sizes_of = spark.createDataFrame([(i, int(n)) for i, n in enumerate(held)], "cell int, n_rows bigint")
+    sizes = near.groupBy("cell").agg(F.count("*").alias("n_queries")).join(F.broadcast(sizes_of), "cell")  # MAX_CELLS rows at most
     sizes = F.broadcast(sizes.select("cell", _blocks("n_rows", BLOCK_ROWS).alias("parts"), _blocks("n_queries", BLOCK_QUERIES).alias("lots")))
     own = F.xxhash64("key")
-    rows = index.rows.select(F.col(index.key).alias("key"), F.col(index.vector).alias("v"), "cell").join(sizes, "cell")
+    rows = live.join(sizes, "cell")
     rows = rows.select("key", "v", "cell", F.pmod(own, "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
     near = near.join(sizes, "cell").select("query", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), "lots").cast("int").alias("lot"))
     by = ["cell", "part", "lot"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, out = left.sort_values("key"), []
-        if len(left) and len(right):
-            v, q, keys, asks = matrix(left["v"], width), matrix(right["q"], width), left["key"].to_numpy(), right["query"].to_numpy()
-            for a in range(0, len(q), 256):
-                score = q[a : a + 256] @ v.T
-                least = np.partition(score, -k, axis=1)[:, -k] if k < len(v) else score.min(axis=1)
-                for i, row in enumerate(score):
-                    at = np.flatnonzero(row >= least[i])
-                    at = at[np.argsort(-row[at], kind="stable")][:k]
-                    out.append(pd.DataFrame({"query": asks[a + i], "key": keys[at], "score": row[at].astype(np.float64)}))
+        left = left.sort_values("key")
+        out = list(_best(matrix(left["v"], width), left["key"].to_numpy(), matrix(right["q"], width), right["query"].to_numpy(), k)) if len(left) and len(right) else []
         return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []})
 
     found = rows.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(best, schema)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

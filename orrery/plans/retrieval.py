@@ -79,7 +79,7 @@ def vector_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every twentieth row, by an index over all rows; tests measure its recall."""
     e = table(spark, sf_dir, "embeddings")
-    return vector_index.search(vector_index.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    return vector_index.search(vector_index.kept(e, "embeddings", "vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding")
 
 
 @query("SELECT e.vec_id, round(1 / (1 + list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 3")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import tempfile
 import uuid
@@ -31,6 +33,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
+def stamped_path(table: DataFrame, label: str, facts: list) -> str:
+    """A folder in the shared one, named after a table's files as they are now, so that a changed table has another."""
+    spark, files, stamp = table.sparkSession, sorted(table.inputFiles()), 0
+    for f in files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        stamp += status.getLen() + status.getModificationTime()
+    return f"{shared_dir(spark)}/{label}-{hashlib.sha256(json.dumps([files, stamp, facts]).encode()).hexdigest()[:16]}"
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
