@@ -78,3 +78,55 @@ def tiered(*tiers: DataFrame) -> DataFrame:
     all_ = reduce(lambda a, b: a.unionByName(b), [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
     first = all_.agg(F.min("tier").alias("first"))
     return all_.crossJoin(F.broadcast(first)).where("tier = first").drop("first", "tier")  # one row
+
+
+def planner_workset(gaps: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` first gaps (kind, page_kind, entity_id, points) with their rank, in groups of kinds and in families.
+
+    A group and a family have their place (by size, then name), their count, and the quota band of an even share, of
+    all that is selected over the kinds and of a kind's over its families.  What follows the limit is a top-k's work.
+    """
+    top = gaps.select("kind", "page_kind", "entity_id", "points").orderBy(F.desc("points"), "entity_id").limit(limit)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("points"), "entity_id")))  # limit rows
+
+    def banded(counts: DataFrame, by: list[str], name: str, label: str) -> DataFrame:
+        """``counts`` with the place, floor, ceiling and band of each row among those of ``by``."""
+        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        total, groups, n = F.sum("n").over(w), F.count("*").over(w), F.col("n")
+        low = F.floor(total / groups)
+        high = low + (total % groups != 0).cast("int")
+        place = F.row_number().over(w.orderBy(F.desc("n"), name))
+        return counts.select(*by, name, place.alias(f"{label}_position"), n.alias(f"{label}_count"), low.alias(f"{label}_floor"), high.alias(f"{label}_ceiling"), n.between(low, high).alias(f"{label}_within"))
+
+    kinds = banded(ranked.groupBy("kind").agg(F.count("*").alias("n")), [], "kind", "kind")
+    families = banded(ranked.groupBy("kind", "page_kind").agg(F.count("*").alias("n")), ["kind"], "page_kind", "family")
+    return ranked.join(kinds, "kind").join(families, ["kind", "page_kind"])
+
+
+def navigation(pages: DataFrame, anchors: DataFrame, wanted: DataFrame, related_limit: int, family_kind: str | None, family_limit: int) -> DataFrame:
+    """(page_id, role, other_id, score, position): a wanted page, its most related pages, and those of one family.
+
+    Pages are (page_id, kind, title), anchors (page_id, kind, anchor_id), wanted pages (page_id) a list the caller
+    bounds; pages that share anchors are counted once for both lists.  A page that is not there gives no rows.
+    """
+    found = pages.join(wanted.select("page_id").distinct(), "page_id", "left_semi").select("page_id")
+    shared = related_pages(pages, anchors, found, 1 << 30).drop("position")
+    titled = shared.join(pages.select(F.col("page_id").alias("other_id"), "kind", "title"), "other_id")
+    by = [F.desc("score"), "title", "other_id"]
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(*by))
+    of_kind = F.row_number().over(Window.partitionBy("page_id", "kind").orderBy(*by))
+    ranked = titled.withColumns({"place": place, "of_kind": of_kind})
+    out = found.select("page_id", F.lit("page").alias("role"), F.col("page_id").alias("other_id"), F.lit(None).cast("bigint").alias("score"), F.lit(0).alias("position"))
+    out = out.unionByName(ranked.where(F.col("place") <= related_limit).select("page_id", F.lit("related").alias("role"), "other_id", "score", F.col("place").alias("position")))
+    if family_kind is not None:
+        own = ranked.where((F.col("kind") == family_kind) & (F.col("of_kind") <= family_limit))
+        out = out.unionByName(own.select("page_id", F.lit("family").alias("role"), "other_id", "score", F.col("of_kind").alias("position")))
+    return out
+
+
+def planner_items(selected: DataFrame, pages: DataFrame, anchors: DataFrame, related_limit: int, family_kind: str | None, family_limit: int) -> DataFrame:
+    """Each selected gap (kind, entity_id, page_id) opened: its page's navigation, and whether the page is there."""
+    opened = navigation(pages, anchors, selected, related_limit, family_kind, family_limit)
+    gaps = selected.select("kind", "entity_id", F.col("page_id").alias("of"))
+    joined = gaps.join(opened, F.col("of") == F.col("page_id"), "left")
+    return joined.select("kind", "entity_id", F.col("of").alias("page_id"), F.col("role").isNotNull().alias("found"), "role", "other_id", "score", "position")

@@ -137,3 +137,37 @@ def fusion_triple_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fusion_skeleton_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 10000).alias("score"))
     return fusion.skeleton_rerank(hits, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k").select("k", "is_valid", F.round("reranked", 6).alias("reranked"))
+
+
+_GAPS = f"""g AS (SELECT {sorted(projection.GAP_BASE)}[(p_size % 5 + 1)::INT] AS kind, ['reference', 'how_to', 'tutorial', 'explanation'][(p_partkey % 4 + 1)::INT] AS page_kind, p_partkey AS entity_id, floor(p_retailprice)::BIGINT AS points FROM part),
+    s AS (SELECT *, row_number() OVER (ORDER BY points DESC, entity_id) AS rank FROM g QUALIFY rank <= 40)"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    kinds, families = (F.array(*[F.lit(x) for x in names]) for names in (sorted(projection.GAP_BASE), ("reference", "how_to", "tutorial", "explanation")))
+    return p.select(F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int")).alias("kind"), F.element_at(families, (F.col("p_partkey") % 4 + 1).cast("int")).alias("page_kind"), F.col("p_partkey").alias("entity_id"), F.floor("p_retailprice").alias("points"))
+
+
+@query(f"""WITH {_GAPS}, k AS (SELECT kind, count(*) AS n FROM s GROUP BY 1), f AS (SELECT kind, page_kind, count(*) AS n FROM s GROUP BY 1, 2),
+    kb AS (SELECT kind, row_number() OVER (ORDER BY n DESC, kind)::INT AS kind_position, n AS kind_count, (sum(n) OVER () // count(*) OVER ())::BIGINT AS kind_floor, ceil(sum(n) OVER () / count(*) OVER ())::BIGINT AS kind_ceiling FROM k),
+    fb AS (SELECT kind, page_kind, row_number() OVER (w ORDER BY n DESC, page_kind)::INT AS family_position, n AS family_count, (sum(n) OVER w // count(*) OVER w)::BIGINT AS family_floor, ceil(sum(n) OVER w / count(*) OVER w)::BIGINT AS family_ceiling FROM f WINDOW w AS (PARTITION BY kind))
+    SELECT kind, page_kind, entity_id, points, rank::INT AS rank, kind_position, kind_count, kind_floor, kind_ceiling, kind_count BETWEEN kind_floor AND kind_ceiling AS kind_within,
+    family_position, family_count, family_floor, family_ceiling, family_count BETWEEN family_floor AND family_ceiling AS family_within FROM s JOIN kb USING (kind) JOIN fb USING (kind, page_kind)""")
+def projection_workset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty first gaps in groups and families with their quotas."""
+    return projection.planner_workset(_gaps(spark, sf_dir), 40)
+
+
+@query(f"""WITH {_GAPS}, a AS (SELECT p_partkey AS page_id, 'module' AS kind, p_brand AS anchor_id FROM part UNION SELECT l_partkey, 'symbol', l_suppkey::VARCHAR FROM lineitem),
+    x AS (SELECT m.page_id, o.page_id AS other_id, count(*) AS score FROM a m JOIN a o USING (kind, anchor_id) WHERE m.page_id <> o.page_id AND m.page_id IN (SELECT entity_id FROM s) GROUP BY 1, 2),
+    r AS (SELECT x.*, page_kind, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, p_name, other_id) AS place, row_number() OVER (PARTITION BY page_id, page_kind ORDER BY score DESC, p_name, other_id) AS of_kind FROM x JOIN part ON p_partkey = other_id JOIN g ON g.entity_id = other_id),
+    n AS (SELECT page_id, 'related' AS role, other_id, score, place AS position FROM r WHERE place <= 5 UNION ALL SELECT page_id, 'family', other_id, score, of_kind FROM r WHERE page_kind = 'how_to' AND of_kind <= 3 UNION ALL SELECT entity_id, 'page', entity_id, NULL, 0 FROM s)
+    SELECT kind, entity_id, entity_id AS page_id, true AS found, role, other_id, score, position::INT AS position FROM s JOIN n ON n.page_id = s.entity_id""")
+def projection_planner_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected gaps opened: each one's page, its related pages, and the nearest how-tos."""
+    p, li, gaps = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), _gaps(spark, sf_dir)
+    pages = gaps.select(F.col("entity_id").alias("page_id"), F.col("page_kind").alias("kind")).join(p.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title")), "page_id")
+    anchors = p.select(F.col("p_partkey").alias("page_id"), F.lit("module").alias("kind"), F.col("p_brand").alias("anchor_id")).union(li.select("l_partkey", F.lit("symbol"), F.col("l_suppkey").cast("string")).distinct())
+    selected = projection.planner_workset(gaps, 40).select("kind", "entity_id", F.col("entity_id").alias("page_id"))
+    return projection.planner_items(selected, pages, anchors, 5, "how_to", 3)
