@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import intents
 from orrery.functions import scalars as sc
-from orrery.operators import fusion, linkgraph, repo, search, state, tools
+from orrery.operators import fanout, fusion, linkgraph, repo, search, state, tools
 from orrery.plans.notes import _COUNTED, _LEXICAL, _LINES, _NOTES, QUERY, _notes
 from orrery.plans.registry import query
 from orrery.sources.tables import table
@@ -60,6 +60,31 @@ def search_intent_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.intent_hits(sources, 40, pending=["later"]).select("source", "id", "path", F.round("score", 6).alias("score"), "partial", F.size("pending").cast("long").alias("n_pending"))
 
 
+def _contains(spark: SparkSession, sf_dir: str, name: str, key: str, text: str):
+    """Hits of a table: rows whose text holds the query, worth more the shorter they are."""
+
+    def hits(q: str, limit: int) -> DataFrame:
+        rows = table(spark, sf_dir, name).where(F.contains(F.lower(text), F.lit(q.lower())))
+        found = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("path"), (len(q) / F.char_length(text)).alias("score"))
+        return found.orderBy(F.desc("score"), "path", "id").limit(limit)
+
+    return hits
+
+
+def _contains_sql(name: str, key: str, text: str) -> str:
+    return f"(SELECT '{name}' AS source, {key}::VARCHAR AS id, {text} AS path, 2 / len({text}) AS score FROM {name} WHERE contains(lower({text}), 'er') ORDER BY score DESC, path, id LIMIT 24)"
+
+
+_CODE = {"clients": ("client_id", "name"), "vendors": ("vendor_id", "name"), "items": ("item_id", "name"), "supplier": ("s_suppkey", "s_name")}
+
+
+@query("SELECT source, id, path, round(score, 6)::DOUBLE AS score, 0::BIGINT AS n_pending, false AS partial FROM (" + " UNION ALL ".join(_contains_sql(n, *c) for n, c in _CODE.items()) + ") ORDER BY score DESC, path, source, id LIMIT 60")
+def search_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables searched side by side, all in time."""
+    found = fanout.code_search(spark, "er", {n: _contains(spark, sf_dir, n, *c) for n, c in _CODE.items()}, 60, seconds=600.0)
+    return found.select("source", "id", "path", F.round("score", 6).alias("score"), F.size("pending").cast("long").alias("n_pending"), "partial")
+
+
 @query("""WITH s AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, CASE WHEN name = 'small bolt' THEN 0 WHEN left(name, 1) = 's' AND levenshtein('small bolt', name) <= 5 THEN 1 WHEN contains(name, 'small bolt') THEN 2 END AS tier,
     CASE WHEN name = 'small bolt' THEN 1.0 WHEN left(name, 1) = 's' AND levenshtein('small bolt', name) <= 5 THEN 1 - levenshtein('small bolt', name) / greatest(length(name), 10)::DOUBLE ELSE 0 END::DOUBLE AS score FROM s)
     SELECT name, tier::INT AS tier, round(score, 6) AS score FROM t WHERE tier IS NOT NULL ORDER BY tier, score DESC, name LIMIT 20""")
