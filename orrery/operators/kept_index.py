@@ -9,10 +9,14 @@ and never changed, so a reader sees one version whatever writers do, and a lost
 from __future__ import annotations
 
 import json
+import re
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +28,8 @@ from orrery.sources.shared import drop_path, stamped_path
 REBUILD_AT = 256
 #: Segments that a refresh leaves at most; beyond, it compacts.
 MAX_SEGMENTS = 8
-#: Words a folder of postings holds, about; so the number of folders follows the size of the table.
-FOLDER_WORDS, MAX_BUCKETS = 1 << 24, 1 << 12
+#: Bytes of text that a folder of postings stands for, about; so the number of folders follows the size of the table.
+FOLDER_BYTES, MAX_BUCKETS = 1 << 27, 1 << 12
 #: Rows of a table that is broadcast at most (its count is in the manifest, or has been taken).
 BROADCAST_ROWS = 100_000
 #: Edits whose segments the dictionary keeps: up to two of any kind, and two swaps of neighbours, which are four.
@@ -50,9 +54,42 @@ class Manifest:
     key_type: str = "bigint"
 
 
-def terms_of(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the lower-cased text, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+#: A term of a lower-cased text.
+TERM = "[a-z0-9]+"
+
+
+def packer(fields: list[str], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns rows (key, a text for each field) into rows (key, field, dl, bucket, text): a line for each term, with its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TERM).findall
+        for b in batches:
+            out: list[tuple] = []
+            size, keys = 0, b.column(0)
+            for field_, texts in zip(fields, b.columns[1:], strict=True):
+                for row, text in enumerate(texts):
+                    words = find(text.as_py())
+                    places: dict[str, list[str]] = {}
+                    for i, w in enumerate(words):
+                        places.setdefault(w, []).append(str(i))
+                    dealt: dict[int, list[str]] = {}
+                    for w, at in places.items():
+                        dealt.setdefault(zlib.crc32(w.encode()) % buckets, []).append(f"{w} {','.join(at)}")
+                    for bucket, lines in dealt.items():
+                        out.append((row, field_, len(words), bucket, "\n".join(lines)))
+                        size += len(out[-1][-1])
+                    if size > 1 << 23:
+                        yield batch(keys, out)
+                        out, size = [], 0
+            if out:
+                yield batch(keys, out)
+
+    def batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        row, field_, dl, bucket, text = zip(*rows, strict=True)
+        columns = [keys.take(pa.array(row)), pa.array(field_), pa.array(dl, pa.int32()), pa.array(bucket, pa.int32()), pa.array(text)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "field", "dl", "bucket", "text"])
+
+    return run
 
 
 class KeptIndex:
@@ -118,7 +155,7 @@ class KeptIndex:
         return df.join(last, F.col("key") == F.col("_key"), "left").where(F.col("_until").isNull() | (F.col("segment") >= F.col("_until"))).drop("_key", "_until")
 
     def _bucket(self, c: Column, m: Manifest) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(m.buckets)).cast("int")
+        return (F.crc32(c) % m.buckets).cast("int")
 
     def _write_terms(self, m: Manifest, segment: int) -> None:
         """The dictionary of a segment's postings, in order of terms, and the terms by what they keep after a few edits."""
@@ -128,22 +165,24 @@ class KeptIndex:
         near = near.withColumn("bucket", F.pmod("h", F.lit(m.buckets)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "h")
         near.write.option("compression", "zstd").partitionBy("bucket").parquet(self._path("near", segment))
 
-    def _write_postings(self, postings: DataFrame, m: Manifest, segment: int) -> None:
-        dealt = postings.select("key", "field", "term", "at", "dl", self._bucket(F.col("term"), m).alias("bucket"))
-        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(self._path("postings", segment))
+    def _write_postings(self, packed: DataFrame, m: Manifest, segment: int) -> None:
+        """Deal ``packed`` (key, field, dl, bucket, text) to its folders; a text holds a document's terms of one bucket, with places.
+
+        So what is shuffled is about the size of the documents; Spark splits large folders over files.
+        """
+        parts = F.split("e", " ")
+        rows = packed.hint("rebalance", "bucket").select("key", "field", "dl", "bucket", F.explode(F.split("text", "\n")).alias("e"))
+        rows = rows.select("key", "field", parts[0].alias("term"), F.split(parts[1], ",").cast("array<int>").alias("at"), "dl", "bucket")
+        rows.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(self._path("postings", segment))
 
     def _write_segment(self, docs: DataFrame, key: str, columns: dict[str, str], m: Manifest, segment: int) -> None:
         """Postings, lengths and dictionary of ``docs``; terms are counted row by row, the one shuffle deals postings to folders."""
-        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms_of(F.col(c)).alias("w")) for f, c in columns.items()]))
-        words = docs.select(F.col(key).cast(m.key_type).alias("key"), each.alias("e")).select("key", "e.field", "e.w").withColumn("dl", F.size("w"))
-        words.select("key", "field", "dl").write.parquet(self._path("docs", segment))
-        # equal words follow each other when sorted, so a word's places are those from its first place to the next word's
-        words = words.where("dl > 0").withColumn("s", F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("t"), i.alias("i")))))
-        firsts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"]))
-        words = words.select("key", "field", "dl", "s", firsts.alias("firsts"))
-        last = lambda j: F.coalesce(F.get("firsts", j + 1), F.col("dl"))
-        grouped = F.transform("firsts", lambda i, j: F.struct(F.get("s", i)["t"].alias("term"), F.transform(F.slice("s", i + 1, last(j) - i), lambda x: x["i"]).alias("at")))
-        self._write_postings(words.select("key", "field", "dl", F.inline(grouped)), m, segment)
+        lower = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in columns.items()]
+        read = docs.select(F.col(key).cast(m.key_type).alias("key"), *lower)
+        lengths = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_count(F.col(f), F.lit(TERM)).alias("dl")) for f in columns]))
+        read.select("key", lengths.alias("e")).select("key", "e.field", "e.dl").write.parquet(self._path("docs", segment))
+        packed = read.mapInArrow(packer(list(columns), m.buckets), f"key {m.key_type}, field string, dl int, bucket int, text string")
+        self._write_postings(packed, m, segment)
         self._write_terms(m, segment)
 
     def _facts(self, docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -159,8 +198,8 @@ class KeptIndex:
         Keys are unique.  A null text has no terms, but counts as a document.
         """
         before = self.manifest() if self.versions() else Manifest()
-        size = docs.agg(sum((F.coalesce(F.sum(F.size(terms_of(F.col(c)))), F.lit(0)) for c in columns.values()), F.lit(0)).alias("n")).first()["n"]
-        buckets = min(MAX_BUCKETS, max(16, size // FOLDER_WORDS))
+        size = docs.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns.values()), F.lit(0)).alias("n")).first()["n"]
+        buckets = min(MAX_BUCKETS, max(16, size // FOLDER_BYTES))
         m = replace(before, fields=tuple(columns), buckets=buckets, key_type=docs.schema[key].dataType.simpleString(), dead=0)
         segment = self._next()
         self._write_segment(docs, key, columns, m, segment)
@@ -207,7 +246,8 @@ class KeptIndex:
         m = self.manifest()
         segment = self._next()
         self._live(self._read("docs", m), m).select("key", "field", "dl").write.parquet(self._path("docs", segment))
-        self._write_postings(self._live(self._read("postings", m), m), m, segment)
+        text = F.concat(F.col("term"), F.lit(" "), F.array_join(F.col("at").cast("array<string>"), ","))
+        self._write_postings(self._live(self._read("postings", m), m).select("key", "field", "dl", "bucket", text.alias("text")), m, segment)
         self._write_terms(m, segment)
         return self._commit(replace(m, segments=(segment,), dead=0))
 

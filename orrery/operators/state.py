@@ -72,8 +72,8 @@ def neighbour_weights(edges: DataFrame, per_direction: int) -> DataFrame:
     both = out.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("d"))).distinct()
     w = Window.partitionBy("src", "d").orderBy("dst")
     scale = F.when(F.col("d") == "out", DIRECTION_SCALE["out"]).otherwise(DIRECTION_SCALE["in"])
-    ranked = both.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < per_direction)
-    return ranked.groupBy("src", "dst").agg(F.max(scale / (F.col("r") + 1)).alias("weight"))
+    ranked = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_direction)  # a hub is cut before the shuffle
+    return ranked.groupBy("src", "dst").agg(F.max(scale / F.col("r")).alias("weight"))
 
 
 def coactivation(edges: DataFrame, touched: DataFrame, per_direction: int, hops: int = 2, hop_decay: float = 0.5, budget: int = 50) -> DataFrame:
@@ -190,6 +190,55 @@ def decided(log: DataFrame, key: str, order: str, state: str, start: str = "prov
     return first.select(key, F.coalesce("_s", F.lit(start)).alias("state"), F.coalesce("_o", "opened").alias("at"))
 
 
+#: Rows whose states are stepped through as one array.
+STEP_ROWS = 256
+
+
+def transitions(log: DataFrame, key: str, order: str, action: str, rules: dict[tuple[str, str], str], start: str, rows: int = RANGE_ROWS, step: int = STEP_ROWS) -> DataFrame:
+    """``log`` with ``before``, ``after`` and ``legal``: the states that a key passes by ``rules`` (state, action) -> state.
+
+    An action without a rule is illegal and leaves the state.  What a row does is a map of the states to states; maps
+    compose, so a key's rows are composed in steps of ``step`` rows and ranges of about ``rows`` first, and the state at
+    the beginning of each range, step and row is found from above: a hot key is spread over tasks and never one array.
+    ``order`` is unique in a key.
+    """
+    states = list(dict.fromkeys([start, *[s for s, _ in rules], *rules.values()]))
+    number = {s: i for i, s in enumerate(states)}
+    known = sorted({a for _, a in rules})
+    whole = F.array(*[F.lit(i) for i in range(len(states))])
+    step_map = F.element_at(F.create_map(*[x for a in known for x in (F.lit(a), F.array(*[F.lit(number[rules.get((s, a), s)]) for s in states]))]), F.col(action))
+    log = log.withColumn("_row", F.struct(*log.columns))
+    ranged = in_ranges(log.select("_row", F.col(key).alias("_k"), F.col(order).alias("_o"), F.coalesce(step_map, whole).alias("_m")), ["_k", "_o"], rows)
+    at = F.row_number().over(Window.partitionBy("_k", "_range").orderBy("_o")) - 1
+    stepped = cut(ranged.withColumn("_step", F.floor(at / step)), "steps")
+
+    def composed(df: DataFrame, by: list[str], pos: str) -> DataFrame:
+        """The maps of each group as one."""
+        got = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("o"), F.col("_m").alias("m")))).alias("_l"))
+        return got.select(*by, F.aggregate("_l", whole, lambda acc, x: F.transform(acc, lambda s: F.get(x["m"], s))).alias("_m"))
+
+    def begun(df: DataFrame, by: list[str], pos: str, more: str | None, first: Column) -> DataFrame:
+        """(by, pos, _s): the state at the beginning of each member of a group, whose own beginning is ``first``."""
+        fields = [F.col(pos).alias("o"), F.col("_m").alias("m"), *([F.col(more).alias("row")] if more else [])]
+        got = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_l"), F.first(first).alias("_first"))
+        zero = F.struct(F.col("_first").alias("s"), F.array().cast("array<int>").alias("out"))
+        scan = F.aggregate("_l", zero, lambda acc, x: F.struct(F.get(x["m"], acc["s"]).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")))
+        each = got.select(*by, F.explode(F.arrays_zip(F.col("_l").alias("l"), scan["out"].alias("s"))).alias("e"))
+        return each.select(*by, F.col("e.l.o").alias(pos), F.col("e.s").alias("_s"), *([F.col("e.l.m").alias("_m"), F.col("e.l.row").alias(more)] if more else []))
+
+    steps = cut(composed(stepped, ["_k", "_range", "_step"], "_o"), "step-maps")
+    ranges = composed(steps, ["_k", "_range"], "_step")
+    of_range = begun(ranges, ["_k"], "_range", None, F.lit(number[start]))
+    in_range = lambda df, s: df.join(s.withColumnsRenamed({"_k": "_k2", "_range": "_range2", "_s": "_s2"}), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_range") == F.col("_range2"))).drop("_k2", "_range2")
+    of_step = begun(in_range(steps, of_range), ["_k", "_range"], "_step", None, F.col("_s2"))
+    of_step = of_step.withColumnsRenamed({"_k": "_k2", "_range": "_range2", "_step": "_step2", "_s": "_s2"})
+    met = stepped.join(of_step, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_range") == F.col("_range2")) & (F.col("_step") == F.col("_step2")))
+    each = begun(met, ["_k", "_range", "_step"], "_o", "_row", F.col("_s2"))
+    names = F.array(*[F.lit(s) for s in states])
+    legal = F.array_contains(F.array(*[F.lit(f"{s}\0{a}") for s, a in rules]), F.concat_ws("\0", F.get(names, F.col("_s")), F.col(f"_row.{action}")))
+    return each.select("_row.*", F.get(names, F.col("_s")).alias("before"), F.get(names, F.get("_m", F.col("_s"))).alias("after"), legal.alias("legal"))
+
+
 class Builds:
     """Which corpora are built, by fingerprint: a build runs under a lease of an epoch, and only its holder may end it."""
 

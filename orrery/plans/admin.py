@@ -210,6 +210,23 @@ def state_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.decided(li.select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), kind.alias("state")), "k", "pos", "state").withColumnRenamed("at", "decided")
 
 
+RULES = {("none", "provisional"): "provisional", ("provisional", "promoted"): "promoted", ("provisional", "rejected"): "rejected", ("rejected", "provisional"): "provisional"}
+_NEXT = "CASE " + " ".join(f"WHEN {{s}} = '{s}' AND n.state = '{a}' THEN '{t}'" for (s, a), t in RULES.items()) + " ELSE {s} END"
+_LEGAL = " OR ".join(f"({{s}} = '{s}' AND n.state = '{a}')" for s, a in RULES)
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN max(l_quantity) < 25 THEN 'provisional' WHEN max(l_quantity) < 35 THEN 'promoted' ELSE 'rejected' END AS state FROM lineitem GROUP BY 1, 2), n AS (SELECT k, pos, state, row_number() OVER (PARTITION BY k ORDER BY pos) AS i FROM l),
+    r AS (SELECT k, pos, state, i, 'none' AS before, {_NEXT.format(s="'none'")} AS after, {_LEGAL.format(s="'none'")} AS legal FROM n WHERE i = 1
+    UNION ALL SELECT n.k, n.pos, n.state, n.i, r.after, {_NEXT.format(s="r.after")}, {_LEGAL.format(s="r.after")} FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1)
+    SELECT k, pos, state, before, after, legal FROM r""")
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of each link's log: from which state to which, and whether it was legal; a rejected link may be suggested again."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).agg(F.max("l_quantity").alias("l_quantity"))
+    kind = F.when(F.col("l_quantity") < 25, "provisional").when(F.col("l_quantity") < 35, "promoted").otherwise("rejected")
+    log = li.select("k", "pos", kind.alias("state"))
+    return state.transitions(log, "k", "pos", "state", RULES, "none")
+
+
 @query("""WITH n AS (SELECT c_mktsegment AS src, 'n' || c_nationkey AS dst, 'k' || c_custkey % 2 AS kind FROM customer), k AS (SELECT 'n' || n_nationkey AS name FROM nation WHERE n_regionkey < 3 UNION SELECT 'BUILDING' UNION SELECT 'FURNITURE')
     SELECT kind, count(DISTINCT (src, dst)) FILTER (src IN (FROM k) AND dst IN (FROM k)) AS added, count(*) FILTER (NOT (src IN (FROM k) AND dst IN (FROM k))) AS refused FROM n GROUP BY kind""")
 def graph_added_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ def search_bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_bm25_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of an older state of all documents, brought up to date by three deltas; it scores as one that is built anew.
 
-    In the older state a tenth of the texts says something else, a tenth is missing, and each has a twin that goes later.
+    In the older state a tenth of the texts says something else, a tenth is missing, and a tenth has a twin that goes later.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(10))
     old = docs.where(turn != 1).withColumn("text", F.when(turn == 0, F.concat(F.lit("thing nothing "), F.lower(F.coalesce("text", F.lit(""))))).otherwise(F.col("text")))
-    twins = docs.withColumn("doc_id", -F.col("doc_id") - 1)
+    twins = docs.where(turn == 2).withColumn("doc_id", -F.col("doc_id") - 1)
     index = KeptIndex(spark, new_path(spark, "refreshed"))
     index.build(old.unionByName(twins), "doc_id", FIELDS)
     nothing = docs.limit(0)

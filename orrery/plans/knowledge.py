@@ -94,9 +94,9 @@ def projection_gap_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap.select("p_partkey", projection.gap_priority(F.col("kind"), F.col("page_kind"), size % 4, size % 3, size % 5, size % 2).alias("priority"), projection.gap_search_score("ring", hints).alias("score"))
 
 
-@query("WITH n AS (SELECT p_brand, count(*) AS n FROM part WHERE p_type = 'PROMO' GROUP BY 1), a AS (SELECT sum(n)::BIGINT AS t, count(*) AS g, max(n) - min(n) AS spread FROM n) SELECT p_brand, n, t // g AS floor, t // g + (t % g <> 0)::INT AS ceiling, n BETWEEN t // g AND t // g + (t % g <> 0)::INT AS within, spread, spread <= 1 AS balanced FROM n, a")
+@query("WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), a AS (SELECT sum(n)::BIGINT AS t, count(*) AS g, max(n) - min(n) AS spread FROM n) SELECT p_brand, n, t // g AS floor, t // g + (t % g <> 0)::INT AS ceiling, n BETWEEN t // g AND t // g + (t % g <> 0)::INT AS within, spread, spread <= 1 AS balanced FROM n, a")
 def projection_workset_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.workset_balance(table(spark, sf_dir, "part").where("p_type = 'PROMO'"), "p_brand")
+    return projection.workset_balance(table(spark, sf_dir, "part"), "p_brand")
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) = 'red ring' OR (NOT EXISTS (FROM part WHERE lower(p_name) = 'red ring') AND contains(lower(p_name), 'ring'))")

@@ -22,10 +22,10 @@ def fusion_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.weighted_rrf(v, k, "red ring", F.col("p_brand") == "Brand#2").select("name", F.round("rrf", 8).alias("rrf"))
 
 
-@query("""WITH f AS (SELECT count(*) AS n, max(least(greatest(s_acctbal / 12000, 0), 1)) AS top, count(DISTINCT lower(trim(s_name))) AS sources FROM supplier WHERE s_acctbal > 5000)
+@query("""WITH f AS (SELECT count(*) AS n, max(least(greatest(s_acctbal / 12000, 0), 1)) AS top, count(DISTINCT lower(trim(s_name))) AS sources FROM supplier)
     SELECT round(c, 6) AS confidence, CASE WHEN c <= 0 THEN 'none' WHEN c < 0.35 THEN 'low' WHEN c < 0.7 THEN 'medium' ELSE 'high' END AS level, n >= 100000 AND top >= 0.9 AS sufficient, sources FROM (SELECT *, 0.45 * least(n / 100000.0::DOUBLE, 1) + 0.35 * top + 0.2 * least(top / 0.9::DOUBLE, 1) AS c FROM f)""")
 def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_name").alias("path"), (F.col("s_acctbal") / 12000).alias("score"))
+    h = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("path"), (F.col("s_acctbal") / 12000).alias("score"))
     return hits.graph_confidence(h, 100000, 0.9).withColumn("confidence", F.round("confidence", 6))
 
 
