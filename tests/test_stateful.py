@@ -1,10 +1,12 @@
 """Streams with state: replays equal plain folds, restarts go on from the checkpoint, silence and repeats count once."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import state
 from orrery.streaming import changes, stateful
 
 SCHEMA = "k string, o bigint, ts timestamp"
@@ -91,3 +93,19 @@ def test_a_followed_table_takes_each_batch_once(spark, tmp_path, monkeypatch):
     assert {r.id for r in f.read(f.table.versions()[0]).collect()} == {1, 2}
     f.table.compact()
     assert state(f) == {1: (8, "d"), 3: (9, "e")} and f.table.manifest()["dead"] == []
+
+
+def test_transitions_of_a_hot_key_are_composed(spark):
+    rng = random.Random(3)
+    rules = {("none", "a"): "x", ("x", "b"): "y", ("y", "a"): "x", ("y", "c"): "none", ("x", "x"): "x"}
+    rows = [("hot", i, rng.choice("abcx")) for i in range(700)] + [(f"k{i % 9}", i, rng.choice(["a", "b", None, "?"])) for i in range(60)] + [(None, 1, "a"), (None, 2, "b")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "k string, o int, act string, before_ string")
+    want, now = {}, {}
+    for k, o, act in sorted(rows, key=lambda r: r[1]):
+        s = now.get(k, "none")
+        now[k] = rules.get((s, act), s)
+        want[k, o] = (s, now[k], (s, act) in rules)
+    for size, step in ((100, 16), (10_000, 256)):
+        got = {(r.k, r.o): (r.before, r.after, bool(r.legal)) for r in state.transitions(df, "k", "o", "act", rules, "none", rows=size, step=step).collect()}
+        assert got == want
+    assert state.transitions(df.limit(0), "k", "o", "act", rules, "none").count() == 0
