@@ -37,6 +37,9 @@ NEAR_EDITS = (2, 4)
 #: What a field's match is worth in a fuzzy and in a prefix search, by its place among the fields.
 FUZZY_BOOST, PREFIX_BOOST = (1.0, 0.92, 0.88, 0.84), (5.0, 3.5, 3.0, 2.5)
 
+#: Number of the folders' layout; an index that an older layout has written is not opened.
+FORMAT = 2
+
 KINDS = ("postings", "docs", "terms", "near", "dead")
 
 
@@ -340,7 +343,7 @@ def kept(docs: DataFrame, name: str, key: str, columns: dict[str, str]) -> KeptI
 
     Its folder in the shared one is named after the table's files and their size, so a changed table has another.
     """
-    index = KeptIndex(docs.sparkSession, stamped_path(docs, f"index-{name}", [key, columns]))
+    index = KeptIndex(docs.sparkSession, stamped_path(docs, f"index-{name}", [FORMAT, key, columns]))
     if not index.versions():
         index.build(docs, key, columns)
     return index

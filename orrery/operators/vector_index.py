@@ -25,6 +25,8 @@ ROUNDS = 12
 RECALL, TRIALS = 0.97, 512
 #: A cell is searched in blocks of about so many rows and queries, whatever its size.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 11
+#: Number of the folders' layout; an index that an older layout has written is not opened.
+FORMAT = 1
 #: Queries of so many bytes at most go to the rows; more are shuffled with them.
 QUERY_BYTES = 32 << 20
 #: Tombstones that are broadcast at most.
@@ -139,9 +141,9 @@ class VectorIndex:
 
         dealt = rows.select(self.key, self.vector).mapInPandas(deal, StructType([*self.schema.fields, StructField("cell", IntegerType())]))
         to = f"{self.root}/rows/segment={segment}"
-        dealt.hint("rebalance", "cell").write.partitionBy("cell").parquet(to)
+        dealt.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(to)  # a failed writer may have left something there
         written = self.spark.read.schema(StructType([*self.schema.fields, StructField("cell", IntegerType())])).parquet(to)
-        written.groupBy("cell").agg(F.count("*").alias("n_rows")).coalesce(1).write.parquet(f"{self.root}/sizes/segment={segment}")  # MAX_CELLS rows at most
+        written.groupBy("cell").agg(F.count("*").alias("n_rows")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/sizes/segment={segment}")  # MAX_CELLS rows at most
 
     def refresh(self, changed: DataFrame, removed: DataFrame) -> VectorIndex:
         """The index with rows that are new or changed, without keys that are removed; the older one stays readable.
@@ -204,7 +206,7 @@ def build(df: DataFrame, key: str, vector: str, k: int = 10, recall: float = REC
 
 def kept(df: DataFrame, name: str, key: str, vector: str) -> VectorIndex:
     """The index of a table as its files are now: opened if an earlier call has built it, built if not."""
-    root = stamped_path(df, f"vectors-{name}", [key, vector])
+    root = stamped_path(df, f"vectors-{name}", [FORMAT, key, vector])
     try:
         return opened(df.sparkSession, root)
     except AnalysisException:  # nothing there
