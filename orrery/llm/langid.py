@@ -4,7 +4,8 @@ A word is a run of letters and marks; its script is that of its characters' code
 write in a word's script are its candidates and are scored.  A candidate's score is the log-likelihood of the word's
 character trigrams (with the blanks around it), learned from labelled documents.  Viterbi with a constant cost for
 changing language labels the words, so mixed texts come out as spans; a document's language is that of most of its
-words, its score their share.  Words in a script that no learned language writes take their neighbours' language.
+words, its score their share of all its words.  Words in a script that no learned language writes take their
+neighbours' language in spans, but have no say in the document's language and no part in its score.
 """
 
 from __future__ import annotations
@@ -66,14 +67,14 @@ SCRIPT_RANGES = [
     ("Ethiopic", [(0x1200, 0x139F)]),
     ("Khmer", [(0x1780, 0x17FF)]),
     ("Mongolian", [(0x1800, 0x18AF)]),
-    ("Han", [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)]),
+    ("Han", [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]),
     ("Kana", [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]),
     ("Hangul", [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)]),
 ]
 SCRIPTS = {name: i for i, (name, _) in enumerate(SCRIPT_RANGES, 1)}
 OTHER_SCRIPT = len(SCRIPT_RANGES) + 1
 N_SCRIPTS = len(SCRIPT_RANGES) + 2
-_LAST = 0x2FFFF  # further code points count as this one
+_LAST = 0x3FFFF  # further code points count as this one: no letters are assigned beyond
 
 
 @cache
@@ -271,12 +272,13 @@ class Model:
             nonlocal size
             scores, n_words = self.word_scores(raws)
             labels = self.label(scores, n_words) if len(scores) else np.zeros(0, np.int64)
+            known = scores.any(axis=1)  # words in a script that some language writes: all others score 0 throughout
             at = 0
             for i, n in zip(group, n_words.tolist(), strict=True):
-                own = labels[at : at + n]
+                own, votes = labels[at : at + n], known[at : at + n]
                 at += n
                 if n:
-                    count = np.bincount(own, minlength=len(self.languages))
+                    count = np.bincount(own[votes], minlength=len(self.languages))
                     best = int(count.argmax())
                     langs[i], points[i] = self.languages[best], float(count[best] / n)
                     cuts = np.flatnonzero(np.diff(own)) + 1
@@ -338,7 +340,8 @@ def is_held_out() -> Column:
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
     """The columns ``keep`` of each row of ``docs`` with lang_pred and score (and ``spans``: language and words of each).
 
-    ``und`` with score 0 if the text is null, empty or has no letter, or if nothing was learned.  Rows keep their
+    ``und`` with score 0 if the text is null, empty or has no letter, or if nothing was learned; the first language with
+    score 0 if all words are in scripts that no learned language writes.  Rows keep their
     number whatever their nulls and repetitions; an empty table gives none.  A kept column named like a result gives
     way to it; other columns are not read.  No shuffle.
     """

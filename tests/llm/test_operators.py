@@ -593,6 +593,41 @@ def test_viterbi_carries_over_stretches(monkeypatch):
             at += n
 
 
+def test_letters_of_all_planes_and_foreign_scripts(spark):
+    data = [(i, t, k) for i in range(40) for k, t in (("de", "der rote stein am fluss und das haus"), ("en", "the red stone by the river and the house"))]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    texts = ["\U00030000\U00031350", "привет мир как дела", "the house by the river", "the river мир привет", "\U000e0100 12", "\U000f0000"]
+    langs, scores, spans = model.predict(texts)
+    assert langs == ["de", "de", "en", "en", "und", "und"]
+    assert scores == [0.0, 0.0, 1.0, 0.5, 0.0, 0.0]
+    assert spans[3] == [("en", 4)]
+    assert langid.script_table()[0x30000] == langid.SCRIPTS["Han"]
+
+
+def test_language_scores_agree_with_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = {"en": "the and of water house river", "de": "der und das wasser haus fluss", "ru": "и вода дом река камень", "el": "και νερό σπίτι ποτάμι"}
+    data = [(i, " ".join(rng.choice(vocabulary[k].split(), 12)) + " 7!", k) for i in range(80) for k in [list(vocabulary)[i % 4]]]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+
+    def grams(word):
+        wide = [32, *map(ord, word.lower()), 32]
+        for a, b, c in zip(wide, wide[1:], wide[2:], strict=False):
+            h = ((a * 0x9E3779B1) ^ (b * 0x85EBCA6B) ^ (c * 0xC2B2AE35)) % (1 << 32)
+            yield ((h ^ (h >> 15)) * 0x2C1B3C6D) % (1 << 32) >> (33 - model.features.bit_length())
+
+    counts = {k: Counter(g for _, t, own in data if own == k for w in t.split() if w.isalpha() for g in grams(w)) for k in vocabulary}
+    total = {k: sum(c.values()) + 0.1 * model.features for k, c in counts.items()}
+    text = "Water und река дом σπίτι house"
+    scores, n_words = model.word_scores([langid.normal(text)])
+    writes = {"Latin": {"de", "en"}, "Cyrillic": {"ru"}, "Greek": {"el"}}
+    for word, script, got in zip(text.split(), ["Latin", "Latin", "Cyrillic", "Cyrillic", "Greek", "Latin"], scores, strict=True):
+        for k, x in zip(model.languages, got.tolist(), strict=True):
+            want = sum(np.log((counts[k][g] + 0.1) / total[k]) for g in grams(word)) if k in writes[script] else langid.NO_CANDIDATE
+            assert x == pytest.approx(want, rel=1e-4)
+    assert n_words.tolist() == [6] and model.languages == sorted(vocabulary)
+
+
 def test_scripts_narrow_the_candidates(spark):
     vocabulary = {"en": "house water stone", "hi": "घर पानी पत्थर", "th": "บ้าน น้ำ หิน", "vi": "nhà nước tiếng đường việt", "ja": "いえの みずを 石です", "zh": "房子 水源 石头"}
     data = [(i, " ".join(vocabulary[k].split() * 8), k) for i in range(60) for k in [list(vocabulary)[i % 6]]]
