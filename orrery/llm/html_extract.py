@@ -18,7 +18,10 @@ nothing else.
 
 Variation cannot tell a reader's comment, a sponsored paragraph or a byline form from the article's own paragraphs.
 For these, and for pages whose host has no template (less than ``MIN_PAGES`` pages, or nothing in common), fixed lists
-of tags, roles and words of classes and ids decide.  ``extract(..., marks=False)`` goes without the lists.
+of tags, roles and words of classes and ids decide.  In a main region by the template, a word that is but a part of a
+class or id, or one of the loose words, decides nothing where the slot has a text of its own on most pages
+(``OWN_SHARE``), unless the element is one of several of its kind on the page, or has several, and the word speaks of
+comments.  ``extract(..., marks=False)`` goes without the lists.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ MIN_SHARE, MIN_PAGES = 0.2, 3
 PROSE_SHARE = 0.5
 #: A slot varies if so many of its contents differ, and this share of them; the main region has this share of the prose.
 MIN_CONTENTS, VARYING_SHARE, REGION_SHARE = 3, 0.1, 0.6
+#: A slot has a text of its own on each page if this share of its contents differ, over so many pages at least.
+OWN_SHARE, OWN_PAGES = 0.6, 6
 #: A slot with this share of link text is a menu.
 MENU_SHARE = 0.5
 #: Templates up to so many bytes are broadcast; more meet the pages in a shuffle join, in which a host's pages are dealt
@@ -75,6 +80,9 @@ _OUT_WORDS = frozenset(
     " sidebar rail widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar"
     " comment comments discussion disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login signin register search searchbox form tags skip copyright legal disclaimer".split()
 )
+#: Of these words, those that speak of readers' comments, and those that as a whole class or id name parts of articles as well.
+_COMMENT_WORDS = frozenset("comment comments discussion disqus respond reply replies".split())
+_LOOSE_WORDS = frozenset("discussion legal notice notices respond reply search register header foot social".split())
 #: Marks of these tags and roles hold for all that is inside; a word or a form may just be on a wrapper of the page.
 _FIRM_TAGS = _OUT_TAGS - {"form"}
 
@@ -89,10 +97,11 @@ class Facts(NamedTuple):
     role: str
     words: frozenset[str]
     comment: bool
+    whole: bool  # whether a class or id is made of words of the list alone, not just a loose one
 
 
 class Element:
-    __slots__ = ("name", "token", "out", "mark", "link", "parent", "number", "main", "marked", "prose", "firm", "cleared", "block", "region", "article")
+    __slots__ = ("hard", "soft", "facts", "name", "token", "out", "mark", "link", "parent", "number", "main", "marked", "prose", "firm", "cleared", "block", "region", "article")
 
     def __init__(self, name: str, token: int, parent: Element | None, number: int) -> None:
         self.name, self.token, self.parent, self.number = name, token, parent, number
@@ -100,6 +109,9 @@ class Element:
         self.block: Element = self if name in _BLOCK or parent is None else parent.block  # the innermost block, itself included
         self.region: Element | None = None if parent is None else parent if parent.marked else parent.region  # the innermost main or article around
         self.article = name == "article" or (parent is not None and parent.article)
+        self.hard = 0  # number of the innermost element around that more than words marks, itself included
+        self.soft: Element | None = None if parent is None else parent.soft  # the innermost element around that words alone mark, itself included
+        self.facts: Facts | None = None
         self.mark = 0  # number of the innermost marked element around, itself included
         self.prose: int = number if name in _PROSE else parent.prose if parent else 0  # the innermost prose element around
         self.cleared = 0  # if out by a wrapper only: 1 inside main, 2 inside an article
@@ -119,13 +131,18 @@ def _facts(name: str, raw: str) -> Facts:
     main = name == "article" or main_role or attrs.get("itemprop", "").lower() == "articlebody"
     words = frozenset(w.lower() for k in ("class", "id") for w in _PART.findall(attrs.get(k, "")))
     comment = not words.isdisjoint(("comment", "comments")) and bool({"comment", "comments"} & {w.lower() for w in _PART.findall(attrs.get("class", ""))})
-    return Facts(f"{name}.{re.sub('[0-9]{3,}', '0', marked)}".encode(), main, main_role, hidden, role, words, comment)
+    names = [frozenset(w.lower() for w in _PART.findall(n)) for k in ("class", "id") for n in attrs.get(k, "").split()]
+    whole = any(n and n <= _OUT_WORDS and not (len(n) == 1 and n <= _LOOSE_WORDS) for n in names)
+    return Facts(f"{name}.{re.sub('[0-9]{3,}', '0', marked)}".encode(), main, main_role, hidden, role, words, comment, whole)
+
+
+def _is_hard(name: str, f: Facts, inside_main: bool) -> bool:
+    """Whether tag, role or style mark an element, whatever its words."""
+    return name in _OUT_TAGS or (name == "header" and not inside_main) or (name == "article" and inside_main) or f.hidden or f.role in _OUT_ROLES
 
 
 def _is_out(name: str, f: Facts, inside_main: bool) -> bool:
-    if name in _OUT_TAGS or (name == "header" and not inside_main) or (name == "article" and inside_main):
-        return True
-    if f.hidden or f.role in _OUT_ROLES:
+    if _is_hard(name, f, inside_main):
         return True
     if name in ("html", "body") or f.main_role or (name == "article" and not f.comment):
         return False
@@ -248,7 +265,12 @@ def parse(page: str) -> Events:
         number += 1
         e = Element(name, token_of(top.token, f.label), top, number)
         inside = top.main
-        own = _is_out(name, f, inside and not (name == "article" and not top.article))
+        nested = inside and not (name == "article" and not top.article)
+        own = _is_out(name, f, nested)
+        hard = own and _is_hard(name, f, nested)
+        e.hard = number if hard else top.hard
+        if own and not hard:
+            e.soft, e.facts = e, f
         e.out, e.mark, e.link, e.main, e.marked = top.out or own, number if own else top.mark, top.link or name == "a", inside or f.main, f.main
         if e.out:
             e.firm = top.firm or (own and (inside or f.main or _is_firm(name, f)))
@@ -277,12 +299,13 @@ def text_token(e: Element, t: str) -> int:
 
 
 class Template(NamedTuple):
-    """A host's template: tag tokens, tokens of its fixed texts, the token of its main region (or None), its menu slots."""
+    """A host's template: tag tokens, tokens of its fixed texts, the token of its main region (or None), its menu slots, slots whose text is a page's own."""
 
     tags: frozenset[int] = frozenset()
     fixed: frozenset[int] = frozenset()
     region: int | None = None
     menus: frozenset[int] = frozenset()
+    own: frozenset[int] = frozenset()
 
 
 NO_TEMPLATE = Template()
@@ -308,6 +331,7 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
     if bound is not None:
         bounds = {e.number for e, t in events if t is None and e.token == template.region}
     inner: dict[int, int] = {}
+    repeats = _repeats(events) if bounds and marks else frozenset()
     runs: list[tuple[Element | None, str, bool, bool]] = []  # element, text, whether the template has it, whether it is marked
     for e, t, slot in aligned(events, template.tags):
         if not t:
@@ -320,7 +344,8 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
             runs.append((None, " ", False, False))
             continue
         known = bool(fixed) and not t.isspace() and text_token(e, t) in fixed
-        runs.append((e, t, known, marks and e.out and e.mark > around))
+        out = marks and e.out and e.mark > around and not (slot in template.own and bounds and _yields(e, around, repeats))
+        runs.append((e, t, known, out))
     regions, cleared = _marked_regions(runs, bool(bounds)) if marks else (set(), 0)
     inside: list[tuple[Element | None, str, bool]] = []
     open_prose: set[int] = set()  # prose elements with a slot
@@ -339,6 +364,29 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
     return text or " ".join("".join(t for e, t, known in inside if not known or e.prose).split())
 
 
+def _repeats(events: Events) -> frozenset[int]:
+    """The elements that are one of several of their kind on the page, or that hold several containers or list items of one kind."""
+    opened = [e for e, t in events if t is None]
+    kinds = Counter(e.token for e in opened)
+    out = set()
+    for e in opened:
+        if kinds[e.token] > 1 and (e.name in _CONTAINERS or e.name == "li"):
+            out.update((e.number, e.parent.number))
+    return frozenset(out)
+
+
+def _yields(e: Element, around: int, repeats: frozenset[int]) -> bool:
+    """Whether all that marks ``e`` inside element ``around`` are words that give way to a slot with a text of each page's own."""
+    if e.hard > around:
+        return False
+    x = e.soft
+    while x is not None and x.number > around:
+        if x.facts.whole or (x.number in repeats and not x.facts.words.isdisjoint(_COMMENT_WORDS)):
+            return False
+        x = x.parent.soft
+    return True
+
+
 def _around(e: Element, numbers: set[int], inner: dict[int, int]) -> int:
     """The number of the innermost of these elements around ``e``, itself included, 0 for none; ``inner`` has what was found before."""
     passed, x = [], e
@@ -498,15 +546,17 @@ def slots(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def regions(found: DataFrame) -> DataFrame:
-    """(host, region, menus) by the slots of each host: the deepest element around most of the varying prose, and the slots of links."""
+    """(host, region, menus, own) by the slots of each host: the deepest element around most of the varying prose, the slots
+    of links, and those whose text is a page's own."""
     menu = F.col("links") >= MENU_SHARE * (F.col("links") + F.col("prose"))
     varies = (F.col("contents") >= MIN_CONTENTS) & (F.col("contents") >= VARYING_SHARE * F.col("pages")) & ~menu
     prose = found.where(varies)
     total = prose.groupBy("host").agg(F.sum("prose").alias("total"))
     around = prose.select("host", "prose", F.posexplode("around").alias("depth", "element")).groupBy("host", "depth", "element").agg(F.sum("prose").alias("held"))
     main = around.join(total, "host").where(F.col("held") >= REGION_SHARE * F.col("total")).groupBy("host").agg(F.max_by("element", "depth").alias("region"))
-    menus = found.where(menu).groupBy("host").agg(F.collect_list("slot").alias("menus"))
-    return main.join(menus, "host", "full").withColumn("menus", F.coalesce("menus", F.array().cast("array<bigint>")))
+    own = (F.col("pages") >= OWN_PAGES) & (F.col("contents") >= OWN_SHARE * F.col("pages")) & ~menu
+    lists = found.groupBy("host").agg(F.collect_list(F.when(menu, F.col("slot"))).alias("menus"), F.collect_list(F.when(own, F.col("slot"))).alias("own"))
+    return main.join(lists, "host", "right")
 
 
 def with_templates(pages: DataFrame, found: DataFrame, how: str, broadcast_bytes: int | None = None, pages_per_task: int | None = None) -> DataFrame:
@@ -530,7 +580,7 @@ def with_templates(pages: DataFrame, found: DataFrame, how: str, broadcast_bytes
 
 
 def deduce(pages: DataFrame, saved: Saved) -> DataFrame:
-    """(host, tags, fixed, region, menus) of each host that has a template; ``pages`` has page_id, url, html, host."""
+    """(host, tags, fixed, region, menus, own) of each host that has a template; ``pages`` has page_id, url, html, host."""
     found = saved.keep(templates(pages, saved), "templates")
     seen = saved.keep(slots(pages, found), "slots")
     return saved.keep(found.join(regions(seen), "host", "left"), "regions")
@@ -545,8 +595,8 @@ def extract_pages(pages: DataFrame, marks: bool = True) -> DataFrame:
     saved = Saved(pages.sparkSession, "html")
     p = pages.select("page_id", "url", "html").withColumn("host", host_and_path(F.col("url"))[0])
 
-    def of_page(page_id: int, url: str | None, page_html: str | None, tags: list | None, fixed: list | None, region: int | None, menus: list | None) -> list[tuple]:
-        text = extract(page_html, Template(frozenset(tags or ()), frozenset(fixed or ()), region, frozenset(menus or ())), marks)
+    def of_page(page_id: int, url: str | None, page_html: str | None, tags: list | None, fixed: list | None, region: int | None, menus: list | None, own: list | None) -> list[tuple]:
+        text = extract(page_html, Template(frozenset(tags or ()), frozenset(fixed or ()), region, frozenset(menus or ()), frozenset(own or ())), marks)
         return [(page_id, url, text, len(text))]
 
     names, kind = ["page_id", "url", "text", "n_chars"], p.schema["page_id"].dataType
@@ -558,7 +608,7 @@ def extract_pages(pages: DataFrame, marks: bool = True) -> DataFrame:
         return _in_slices(batches, of_page, names, types)
 
     joined = with_templates(p, deduce(p, saved), "left")
-    return joined.select("page_id", "url", "html", "tags", "fixed", "region", "menus").mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "tags", "fixed", "region", "menus", "own").mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars bigint")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

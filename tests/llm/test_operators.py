@@ -516,6 +516,26 @@ def test_html_template_finds_the_text_without_telling_names(spark):
     assert html_extract.extract(made[0][0], marks=False) != made[0][1]
 
 
+def test_html_slots_overrule_parts_of_names(spark):
+    """On hosts with a template, article text stays whatever parts of names say; comments, adverts and asides go."""
+    names = ["legal-analysis", "social-history", "reply-body", "search-methods", "foot-notes", "register-of-births", "discussion"]
+    page = lambda x, i: (
+        f"<html><body><div class='nav'><a href='/'>Home</a></div><article><h1>Head {x} {i}</h1><p>{'Opening words ' * 6}of {x} {i}.</p><div class='{x}'><p>{'More words ' * 5}of {x} {i}.</p><p>End {i * 31}.</p></div>"
+        f"<div class='ad'><p>Buy {i % 3} of these.</p></div><aside><p>Aside {i}.</p></aside><div class='user-comments'>"
+        + "".join(f"<div class='comment-{k % 2}'><b>Reader {i}{k}</b><p>I like {i * 7 + k}.</p></div>" for k in range(4))
+        + "</div></article><div class='footer'>Foot of it</div></body></html>"
+    )
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(x, i)) for h, x in enumerate(names) for i in range(8)]
+    want = {100 * h + i: f"Head {x} {i} {'Opening words ' * 6}of {x} {i}. {'More words ' * 5}of {x} {i}. End {i * 31}." for h, x in enumerate(names) for i in range(8)}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_pages(df).collect()} == want
+    lists = {k: html_extract.extract(p) for k, _, p in rows}
+    assert all(lists[k] != want[k] for k in want)  # the lists alone lose the paragraph
+    alone = page("reply", 1).replace("comment-", "x").replace("user-comments", "x")
+    template = html_extract.Template(region=html_extract.token_of(html_extract.token_of(html_extract.token_of(0, b"html."), b"body."), b"article."))
+    assert "More words" not in html_extract.extract(alone, template)  # without a slot of its own the word decides
+
+
 def test_html_templates_agree_with_a_plain_version(spark, monkeypatch):
     from orrery.llm.common import Saved
 
