@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from typing import Any
@@ -97,7 +98,41 @@ def json_filter(spec: dict[str, Any]) -> Column:
 
 def metadata_filter(metadata: Column, spec: dict[str, Any]) -> Column:
     """Equality on dotted paths of JSON metadata; a missing key is false."""
-    return reduce(lambda a, b: a & b, [F.coalesce(F.get_json_object(metadata, f"$.{k}") == F.lit(str(v)), F.lit(False)) for k, v in spec.items()], F.lit(True))
+    return reduce(lambda a, b: a & b, [F.coalesce(F.get_json_object(metadata, f"$.{k}") == F.lit(v if isinstance(v, str) else json.dumps(v)), F.lit(False)) for k, v in spec.items()], F.lit(True))
+
+
+#: A JSON predicate goes to the scan as a whole if it is on these columns only.
+SCANNED = ("id", "content", "metadata", "_distance")
+
+
+def split_filter(spec: str | dict[str, Any] | None, scanned: tuple[str, ...] = SCANNED, metadata: str = "metadata") -> tuple[Column | None, Column | None]:
+    """(what the scan may take, what is applied to its rows) of a filter; None where there is nothing.
+
+    JSON text or a dict goes to the scan if all its keys are ``scanned``, and is always applied to the metadata as well,
+    where an operator object equals nothing.  Other text is a condition of SQL for the scan alone.  Blank text is none.
+    """
+    if isinstance(spec, str):
+        text = spec.strip()
+        if not text:
+            return None, None
+        try:
+            spec = json.loads(text)
+        except ValueError:
+            return F.expr(text), None
+        if not isinstance(spec, dict):
+            return None, None
+    if not spec:
+        return None, None
+    pushed = json_filter(spec) if all(k in scanned for k in spec) else None
+    after = F.lit(False) if any(isinstance(v, (dict, list)) for v in spec.values()) else metadata_filter(F.col(metadata), spec)
+    return pushed, after
+
+
+def filtered(df: DataFrame, spec: str | dict[str, Any] | None, scanned: tuple[str, ...] = SCANNED, metadata: str = "metadata") -> DataFrame:
+    """Rows that pass both sides of ``split_filter``.  What the scan may take stands first, so it reaches the files."""
+    for part in split_filter(spec, scanned, metadata):
+        df = df if part is None else df.where(part)
+    return df
 
 
 def column_mask(df: DataFrame, ids: list | None = None, id_col: str = "id", repo: str | None = None, path_contains: str | None = None, min_score: float | None = None) -> DataFrame:

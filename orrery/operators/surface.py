@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, VarcharType
 
+from orrery.sources.relations import register_batches
+
 #: Logical operators that change something or describe the session; a query's parsed plan holds none.
 _WRITES = ("Create", "Drop", "Insert", "Append", "Overwrite", "Delete", "Update", "Merge", "Set", "Alter", "Show", "Describe", "Use", "Explain", "Cache", "Uncache", "Add", "Reset", "Truncate", "Load", "Refresh", "Repair", "Analyze", "Comment", "Replace", "Rename")
 
@@ -121,6 +123,16 @@ def run_plugin(df: DataFrame, name: str) -> DataFrame:
     return df.mapInPandas(batches, schema)
 
 
+def register_plugin(spark: SparkSession, name: str) -> None:
+    """A plugin as a table function of SQL under its own name: ``name(TABLE(...))``, batch by batch without a shuffle."""
+    f, schema = PLUGINS[name]
+
+    def run(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(f(rows.to_pandas()), preserve_index=False)
+
+    register_batches(spark, name, run, schema)
+
+
 def register_aggregate(spark: SparkSession, name: str, result: str, function: Callable) -> None:
     """An aggregate function of SQL that a Python function over a group's column (a pandas Series) computes.
 
