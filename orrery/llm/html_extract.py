@@ -98,6 +98,7 @@ class Facts(NamedTuple):
     words: frozenset[str]
     comment: bool
     whole: bool  # whether a class or id is made of words of the list alone, not just a loose one
+    judged: tuple[tuple[bool, bool], tuple[bool, bool]] = ((False, False), (False, False))  # (out, whatever its words), outside the main region and inside
 
 
 class Element:
@@ -111,7 +112,6 @@ class Element:
         self.article = name == "article" or (parent is not None and parent.article)
         self.hard = 0  # number of the innermost element around that more than words marks, itself included
         self.soft: Element | None = None if parent is None else parent.soft  # the innermost element around that words alone mark, itself included
-        self.facts: Facts | None = None
         self.mark = 0  # number of the innermost marked element around, itself included
         self.prose: int = number if name in _PROSE else parent.prose if parent else 0  # the innermost prose element around
         self.cleared = 0  # if out by a wrapper only: 1 inside main, 2 inside an article
@@ -133,7 +133,8 @@ def _facts(name: str, raw: str) -> Facts:
     comment = not words.isdisjoint(("comment", "comments")) and bool({"comment", "comments"} & {w.lower() for w in _PART.findall(attrs.get("class", ""))})
     names = [frozenset(w.lower() for w in _PART.findall(n)) for k in ("class", "id") for n in attrs.get(k, "").split()]
     whole = any(n and n <= _OUT_WORDS and not (len(n) == 1 and n <= _LOOSE_WORDS) for n in names)
-    return Facts(f"{name}.{re.sub('[0-9]{3,}', '0', marked)}".encode(), main, main_role, hidden, role, words, comment, whole)
+    f = Facts(f"{name}.{re.sub('[0-9]{3,}', '0', marked)}".encode(), main, main_role, hidden, role, words, comment, whole)
+    return f._replace(judged=tuple((_is_out(name, f, inside), _is_hard(name, f, inside)) for inside in (False, True)))
 
 
 def _is_hard(name: str, f: Facts, inside_main: bool) -> bool:
@@ -212,8 +213,8 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield lt, at, name, bool(m[1]), page[m.end() : end]
 
 
-def parse(page: str) -> Events:
-    """The events of a page, with character references decoded."""
+def parse(page: str, marks: bool = True) -> Events:
+    """The events of a page, with character references decoded; ``marks`` says whether elements are judged by the lists."""
     root = Element("", 0, None, 1)
     stack, events, at, number = [root], [], 0, 1
     opened: Counter = Counter()  # open elements by name
@@ -264,18 +265,18 @@ def parse(page: str) -> Events:
         top = stack[-1]
         number += 1
         e = Element(name, token_of(top.token, f.label), top, number)
-        inside = top.main
-        nested = inside and not (name == "article" and not top.article)
-        own = _is_out(name, f, nested)
-        hard = own and _is_hard(name, f, nested)
-        e.hard = number if hard else top.hard
-        if own and not hard:
-            e.soft, e.facts = e, f
-        e.out, e.mark, e.link, e.main, e.marked = top.out or own, number if own else top.mark, top.link or name == "a", inside or f.main, f.main
-        if e.out:
-            e.firm = top.firm or (own and (inside or f.main or _is_firm(name, f)))
-            if not e.firm:
-                e.cleared = 1 if f.main_role else top.cleared or 2 * f.main
+        e.link = top.link or name == "a"
+        if marks:
+            inside = top.main
+            own, hard = f.judged[inside and not (name == "article" and not top.article)]
+            e.hard = number if hard else top.hard
+            if own and not hard:
+                e.soft, e.facts = e, f
+            e.out, e.mark, e.main, e.marked = top.out or own, number if own else top.mark, inside or f.main, f.main
+            if e.out:
+                e.firm = top.firm or (own and (inside or f.main or _is_firm(name, f)))
+                if not e.firm:
+                    e.cleared = 1 if f.main_role else top.cleared or 2 * f.main
         events.append((e, None))
         stack.append(e)
         opened[name] += 1
@@ -325,13 +326,13 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
     """Main text of a page by its host's template; ``marks`` says whether the lists of tags, roles and words may help."""
     if not page:
         return ""
-    events, fixed = parse(page), template.fixed
+    events, fixed = parse(page, marks), template.fixed
     bound = next((e for e, t in events if t is None and e.token == template.region), None) if template.region is not None else None
     bounds: set[int] = set()  # the elements of the main region by the template, none if it has none on this page
     if bound is not None:
         bounds = {e.number for e, t in events if t is None and e.token == template.region}
     inner: dict[int, int] = {}
-    repeats = _repeats(events) if bounds and marks else frozenset()
+    repeats = _Repeats(events)
     runs: list[tuple[Element | None, str, bool, bool]] = []  # element, text, whether the template has it, whether it is marked
     for e, t, slot in aligned(events, template.tags):
         if not t:
@@ -344,7 +345,7 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
             runs.append((None, " ", False, False))
             continue
         known = bool(fixed) and not t.isspace() and text_token(e, t) in fixed
-        out = marks and e.out and e.mark > around and not (slot in template.own and bounds and _yields(e, around, repeats))
+        out = marks and e.out and e.mark > around and not (bounds and slot in template.own and _yields(e, around, repeats))
         runs.append((e, t, known, out))
     regions, cleared = _marked_regions(runs, bool(bounds)) if marks else (set(), 0)
     inside: list[tuple[Element | None, str, bool]] = []
@@ -364,24 +365,28 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, marks: bool = Tr
     return text or " ".join("".join(t for e, t, known in inside if not known or e.prose).split())
 
 
-def _repeats(events: Events) -> frozenset[int]:
-    """The elements that are one of several of their kind on the page, or that hold several containers or list items of one kind."""
-    opened = [e for e, t in events if t is None]
-    kinds = Counter(e.token for e in opened)
-    out = set()
-    for e in opened:
-        if kinds[e.token] > 1 and (e.name in _CONTAINERS or e.name == "li"):
-            out.update((e.number, e.parent.number))
-    return frozenset(out)
+class _Repeats:
+    """The elements that are one of several of their kind on the page, or that hold several containers or list items of one kind; found when asked for."""
 
+    def __init__(self, events: Events) -> None:
+        self.events, self.found = events, None
 
-def _yields(e: Element, around: int, repeats: frozenset[int]) -> bool:
+    def __contains__(self, number: int) -> bool:
+        if self.found is None:
+            opened = [e for e, t in self.events if t is None]
+            kinds = Counter(e.token for e in opened)
+            several = [e for e in opened if kinds[e.token] > 1 and (e.name in _CONTAINERS or e.name == "li")]
+            self.found = {n for e in several for n in (e.number, e.parent.number)}
+        return number in self.found
+
+
+def _yields(e: Element, around: int, repeats: _Repeats) -> bool:
     """Whether all that marks ``e`` inside element ``around`` are words that give way to a slot with a text of each page's own."""
     if e.hard > around:
         return False
     x = e.soft
     while x is not None and x.number > around:
-        if x.facts.whole or (x.number in repeats and not x.facts.words.isdisjoint(_COMMENT_WORDS)):
+        if x.facts.whole or (not x.facts.words.isdisjoint(_COMMENT_WORDS) and x.number in repeats):
             return False
         x = x.parent.soft
     return True
@@ -471,7 +476,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     """(host, page, token, parent, is_text, prose, n) of each distinct token of each page."""
 
     def of_page(host: str, page: int, page_html: str) -> list[tuple]:
-        events = parse(page_html)
+        events = parse(page_html, marks=False)
         tags = Counter((e.token, e.parent.token) for e, t in events if t is None)
         out = [(host, page, own, up or None, False, False, n) for (own, up), n in tags.items()]
         texts = Counter((text_token(e, t), e.token, e.prose > 0) for e, t in events if isinstance(t, str) and t and not t.isspace())
@@ -515,7 +520,7 @@ def slots(pages: DataFrame, found: DataFrame) -> DataFrame:
         in_tags, in_fixed = frozenset(tags), frozenset(fixed)
         by: dict[int, list] = {}
         slot, around = 0, None
-        for e, t in parse(page_html):
+        for e, t in parse(page_html, marks=False):
             if isinstance(t, str):
                 if not t or t.isspace():
                     continue
