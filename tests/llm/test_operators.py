@@ -695,3 +695,28 @@ def test_settled_texts_have_the_labels_of_viterbi(monkeypatch):
     got = m.label(scores, n_words)
     monkeypatch.setattr(langid.Model, "settled", staticmethod(lambda s, n: np.full(len(n), -1)))
     assert (got == m.label(scores, n_words)).all()
+
+
+def test_packing_over_small_blocks():
+    """A document longer than a block, and documents over block ends: each id in one piece, windows gapless and within size."""
+    rng = np.random.default_rng(11)
+    docs = [(i, rng.integers(2, 50, n).astype(np.uint32)) for i, n in enumerate([5, 6000, 1, 640, 639, 1300, 2, 2, 400])]
+    ending = np.zeros(50, bool)
+    ending[[7, 19]] = True
+    for block in (640, 1000, 1 << 19):
+        packer, rows = packing.Packer(0, ending, size=256, block=block), []
+        for i, ids in docs:
+            rows += list(packer.add(i, ids))
+        rows += list(packer.solve(last=True))
+        filled = Counter()
+        for i, ids in docs:
+            at = 0
+            for doc_id, start, length, crc, total, sequence, offset in sorted(r for r in rows if r[0] == i):
+                assert (start, total, offset) == (at, len(ids), offset) and length > 0
+                assert crc == zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
+                at += length
+            assert at == len(ids)
+        for r in sorted(rows, key=lambda r: (r[5], r[6])):
+            assert r[6] == filled[r[5]]
+            filled[r[5]] += r[2]
+        assert max(filled.values()) <= 256 and sum(filled.values()) == sum(len(x) for _, x in docs)
