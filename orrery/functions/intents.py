@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -41,6 +41,11 @@ def _lookup(groups: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in _inverted(groups).items() for x in kv])
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def query_intent(text: Column) -> Column:
     """A struct of action, target, keywords and context of a query.
 
@@ -49,14 +54,23 @@ def query_intent(text: Column) -> Column:
     """
     tokens = F.filter(F.split(F.lower(F.trim(text)), r"[\s._\-/,]+"), lambda t: t != "")
     actions, targets, implied = _lookup(ACTIONS), _lookup(TARGETS), _lookup(IMPLIED)
-    first = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), 0)
-    action = first(F.transform(tokens, lambda t: F.try_element_at(actions, t)))
-    named = first(F.transform(tokens, lambda t: F.when(~t.eqNullSafe(action), F.try_element_at(targets, t))))
-    target = F.coalesce(named, F.try_element_at(implied, action))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    keywords = F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
-    context = F.filter(keywords, lambda t: ~F.coalesce(F.try_element_at(actions, t) == action, F.lit(False)) & ~F.coalesce(F.try_element_at(targets, t) == target, F.lit(False)))
-    return F.struct(action.alias("action"), target.alias("target"), keywords.alias("keywords"), context.alias("context"))
+    first = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), 0)
+
+    def target_of(tokens: Column, action: Column) -> Column:
+        named = first(F.transform(tokens, lambda t: F.when(~t.eqNullSafe(action), F.try_element_at(targets, t))))
+        return F.coalesce(named, F.try_element_at(implied, action))
+
+    def found(action: Column, target: Column, keywords: Column) -> Column:
+        context = F.filter(keywords, lambda t: ~F.coalesce(F.try_element_at(actions, t) == action, F.lit(False)) & ~F.coalesce(F.try_element_at(targets, t) == target, F.lit(False)))
+        return F.struct(action.alias("action"), target.alias("target"), keywords.alias("keywords"), context.alias("context"))
+
+    def of(tokens: Column) -> Column:
+        keywords = F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
+        action = first(F.transform(tokens, lambda t: F.try_element_at(actions, t)))
+        return _once(action, lambda a: _once(target_of(tokens, a), lambda t: _once(keywords, lambda k: found(a, t, k))))
+
+    return _once(tokens, of)
 
 
 def stem_of_source(source: Column) -> Column:

@@ -199,7 +199,7 @@ _REQUESTS = "CASE o_orderstatus WHEN 'F' THEN 'find' WHEN 'O' THEN 'refactor' EL
     round(CASE WHEN action = 'commit' THEN greatest(CASE WHEN c THEN 1.3 ELSE 1 END, 1.4) ELSE CASE WHEN c THEN 1.3 ELSE 1 END END, 2)::DOUBLE AS keyword, round(CASE WHEN g THEN 1.4 WHEN c THEN 0.8 ELSE 1 END * CASE WHEN broad THEN 1.1 ELSE 1 END, 2)::DOUBLE AS entity FROM w""")
 def intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What requests ask for, and the fusion weights that follow."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), intents.query_intent(F.expr(_REQUESTS)).alias("i"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(intents.query_intent(F.expr(_REQUESTS)))).alias("i"))  # a generator's row is not computed anew for each use
     w = o.select("id", "i.action", "i.target", F.size("i.keywords").alias("n_keywords"), tools.fusion_weights(F.col("i.action"), F.col("i.target"), F.size("i.keywords")).alias("w"))
     return w.select("id", "action", "target", "n_keywords", "w.proximity", "w.keyword", "w.entity")
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import intents
 from orrery.functions import markdown as md
 from orrery.operators import entities, graph, projection, state, surface
 from orrery.plans import states
@@ -203,3 +204,13 @@ def test_pairs_of_pages_are_dealt_once(spark):
     top, _, join = plan.partition("SortMergeJoin ")
     assert join.startswith("[kind")
     assert top.count("Exchange") == 1
+
+
+def test_intents_are_found_once(spark):
+    from orrery.plans import repo
+
+    found = repo.intent_weights(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    texts = spark.createDataFrame([("find the notes of push",), ("commit",), ("",), (None,)], "t string")
+    got = [r["i"] for r in texts.select(intents.query_intent(F.col("t")).alias("i")).collect()]
+    assert got == [("search", "knowledge", ["find", "notes", "push"], ["push"]), ("commit", "git", ["commit"], []), (None, None, [], []), (None, None, None, None)]
