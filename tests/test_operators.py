@@ -10,6 +10,7 @@ from orrery.functions import intents
 from orrery.functions import markdown as md
 from orrery.operators import entities, graph, projection, state, surface
 from orrery.plans import states
+from orrery.sources.shared import Saved
 from orrery.streaming import windows
 
 NOTE = """---
@@ -214,3 +215,37 @@ def test_intents_are_found_once(spark):
     texts = spark.createDataFrame([("find the notes of push",), ("commit",), ("",), (None,)], "t string")
     got = [r["i"] for r in texts.select(intents.query_intent(F.col("t")).alias("i")).collect()]
     assert got == [("search", "knowledge", ["find", "notes", "push"], ["push"]), ("commit", "git", ["commit"], []), (None, None, [], []), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_ranks_flow_over_reached_links_only(spark, monkeypatch, clash):
+    """Seeds' component is a tenth of the links; links that repeat count once, a missing end passes nothing on, names may share a hash."""
+    if clash:
+        monkeypatch.setattr(graph.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    rng = random.Random(5)
+    edges = [(f"{part}{rng.randrange(6)}", f"{part}{rng.randrange(6)}x") for part in "abcdefghij" for _ in range(12)] * 2 + [("a0", None)]
+    near, ends = {}, {x for e in edges for x in e if x}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    start = {n: 1.0 if n == "a0" else 0.0 for n in ends}
+    rank = dict(start)
+    for _ in range(12):
+        rank = {n: 0.15 * start[n] + 0.85 * sum(rank[m] / len(near[m]) for m in near[n] if m) for n in ends}
+    written, keep = [], Saved.keep_sorted
+
+    def spy(self, df, label, keys, buckets):
+        out = keep(self, df, label, keys, buckets)
+        written.extend([out.count()] if label == "links" else [])
+        return out
+
+    monkeypatch.setattr(Saved, "keep_sorted", spy)
+    df, seeds = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a0",), ("none",)], "node string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r.node: r.rank for r in graph.pagerank(df, seeds, 12, tol=0.0).collect()}
+    assert set(got) == ends | {None} and got.pop(None) == 0.0
+    assert all(got[n] == pytest.approx(rank[n], abs=1e-12) for n in ends)
+    assert len(written) == 2 and written[1] * 5 < written[0]
+    pushed = {r.node: r.rank for r in graph.pushed_ranks(df, seeds.selectExpr("'k' AS kernel", "node"), 12, least=0.0).where("node IS NOT NULL").collect()}
+    assert all(pushed.get(n, 0.0) == pytest.approx(rank[n], abs=1e-12) for n in ends)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
