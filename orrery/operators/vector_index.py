@@ -10,9 +10,9 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from orrery.sources.shared import Saved, new_path, stamped_path
 
@@ -23,8 +23,12 @@ MAX_CELLS, CENTROID_BYTES = 1 << 12, 32 << 20
 ROUNDS = 12
 #: So many cells are probed that this share of the sample's true neighbours is found.
 RECALL, TRIALS = 0.97, 512
-#: A cell is searched in blocks of about so many rows and queries, whatever its size.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 11
+#: Many queries meet the rows in blocks of about so many rows and queries, and so many bytes of either; small cells share a block, large ones are cut.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_BYTES = 1 << 14, 1 << 14, 32 << 20
+#: So many scores are computed at once; so many finds at least wait until they are merged with the best ones.
+SCORES, FINDS = 1 << 20, 1 << 18
+#: Rows that a task searches at least, where there are tasks enough for all cores.
+TASK_ROWS = 1 << 16
 #: Number of the folders' layout; an index that an older layout has written is not opened.
 FORMAT = 1
 #: Queries of so many bytes at most go to the rows; more are shuffled with them.
@@ -213,39 +217,104 @@ def kept(df: DataFrame, name: str, key: str, vector: str) -> VectorIndex:
         return build(df, key, vector, root=root)
 
 
-def _blocks(n: str, size: int) -> Column:
-    return F.ceil(F.coalesce(n, F.lit(0)) / size).cast("int")
+class Best:
+    """The ``k`` rows of most cosine for each query, among rows that come cell by cell: so many a query are held, however many come.
 
+    Single precision tells which rows may be among the best, double precision ranks them, so that neither the order in which
+    rows come nor the size of a block moves a score; ties go by key.
+    """
 
-def _best(v: np.ndarray, keys: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The ``k`` rows of most cosine for each query, ties by their order."""
-    for a in range(0, len(q), 256):
-        score = q[a : a + 256] @ v.T
-        least = np.partition(score, -k, axis=1)[:, -k] if k < len(v) else score.min(axis=1)
-        for i, row in enumerate(score):
-            at = np.flatnonzero(row >= least[i])
-            at = at[np.argsort(-row[at], kind="stable")][:k]
-            yield pd.DataFrame({"query": asks[a + i], "key": keys[at], "score": row[at].astype(np.float64)})
-
-
-def _by_map(live: DataFrame, probed: DataFrame, width: int, k: int, schema: StructType) -> DataFrame:
-    """Few queries go to the rows: each batch of a cell's rows gives its best for each query that probes the cell.
-
-    So no vector of the index is shuffled.  The caller has checked what the queries take.
+    def __init__(self, q: np.ndarray, masks: pd.Series | np.ndarray, k: int) -> None:
+        self.q, self.k = q, k
+        self.masks = np.frombuffer(b"".join(masks), np.uint8).reshape(len(q), -1) if len(q) else None
+        self.slack = (q.shape[1] + 4) * np.finfo(np.float32).eps  # over the error of a score in single precision
+        self.least = np.full(len(q), -np.inf)  # a row below is not among a query's best
+        self.held: tuple[np.ndarray, ...] = ()  # place of the query, key, score
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Rows (key, v, cell)."""
+        for cell, own in rows.groupby("cell"):
+            at = np.flatnonzero(self.masks[:, cell >> 3] & (128 >> (cell & 7)))
+            if len(at):
+                own = own.sort_values("key")
+                self._score(at, own["key"].to_numpy(), matrix(own["v"], self.q.shape[1]))
+
+    def _score(self, at: np.ndarray, keys: np.ndarray, v: np.ndarray) -> None:
+        k = self.k
+        few = pd.Series([r.tobytes() for r in v])
+        few = few.groupby(few).cumcount().to_numpy() < k  # of equal vectors those of the first keys
+        keys, v = keys[few], v[few]
+        step = max(1, SCORES // len(v))
+        for a in range(0, len(at), step):
+            own = at[a : a + step]
+            score = self.q[own] @ v.T
+            floor = self.least[own] - self.slack
+            new = np.flatnonzero(np.isneginf(floor))
+            if len(new) and len(v) > k:
+                floor[new] = np.partition(score[new], -k, axis=1)[:, -k] - 2 * self.slack
+            i, j = np.nonzero(score >= floor.astype(np.float32)[:, None])
+            exact, size = np.empty(len(i)), max(1, SCORES // self.q.shape[1])
+            for b in range(0, len(i), size):
+                exact[b : b + size] = np.einsum("ij,ij->i", self.q[own[i[b : b + size]]], v[j[b : b + size]], dtype=np.float64)
+            i, j, exact, last = _cut(i, j, exact, k)
+            self.least[own[i[last]]] = np.maximum(self.least[own[i[last]]], exact[last])
+            self.found.append((own[i], keys[j], exact))
+            self.waiting += len(i)
+            if self.waiting > max(FINDS, k * len(self.q)):
+                self._merge()
+
+    def _merge(self) -> None:
+        parts = [self.held, *self.found] if self.held else self.found
+        at, key, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        may = score >= self.least[at]
+        at, key, score, last = _cut(at[may], key[may], score[may], self.k)
+        self.least[at[last]] = score[last]
+        self.held, self.found, self.waiting = (at, key, score), [], 0
+
+    def rows(self, asks: np.ndarray) -> Iterator[pd.DataFrame]:
+        if self.found:
+            self._merge()
+        if self.held:
+            at, key, score = self.held
+            yield pd.DataFrame({"query": asks[at], "key": key, "score": score})
+
+
+def _cut(at: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first ``k`` of each query by score, then key, in this order, and where the ``k``-th stand."""
+    order = np.lexsort((pd.factorize(key, sort=True)[0] if key.dtype == object else key, -score, at))
+    at = at[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    own = place < k
+    order = order[own]
+    return at[own], key[order], score[order], np.flatnonzero(place[own] == k - 1)
+
+
+def _blocks(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: small cells in a row share one, a large one has several of its own."""
+    first, parts, block, room = np.zeros(len(held), np.int64), np.maximum(1, -(-held // size)), 0, size
+    for cell, n in enumerate(held):  # MAX_CELLS at most
+        if n > room:
+            block, room = block + (room < size), size
+        first[cell] = block
+        block, room = (block + parts[cell], size) if parts[cell] > 1 else (block, room - n)
+    return first, parts
+
+
+def _by_map(live: DataFrame, asked: pd.DataFrame, width: int, k: int, schema: StructType) -> DataFrame:
+    """Few queries go to the rows: each task gives its best rows for each query, whatever cells it has read.
+
+    So no vector of the index is shuffled.  The caller has checked what the queries and their best rows take.
     """
-    asked = probed.toPandas()
-    cells: dict[int, list[int]] = {}
-    for i, own in enumerate(asked["cells"]):
-        for c in own:
-            cells.setdefault(int(c), []).append(i)
-    sent = live.sparkSession.sparkContext.broadcast((matrix(asked["q"], width), asked["query"].to_numpy(), {c: np.array(i) for c, i in cells.items()}))
+    sent = live.sparkSession.sparkContext.broadcast((matrix(asked["q"], width), asked["mask"].to_numpy(), asked["query"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, asks, of = sent.value
+        q, masks, asks = sent.value
+        best = Best(q, masks, k)
         for b in batches:
-            for cell, own in b.groupby("cell"):
-                own, at = own.sort_values("key"), of[cell]
-                yield from _best(matrix(own["v"], width), own["key"].to_numpy(), q[at], asks[at], k)
+            best.add(b)
+        yield from best.rows(asks)
 
     return live.mapInPandas(run, schema)
 
@@ -254,8 +323,8 @@ def search(index: VectorIndex, queries: DataFrame, query: str, vector: str, k: i
     """(query, key, score, rank): the ``k`` rows of most cosine in the probed cells, ties by key; query keys are unique.
 
     A query probes further while its cells hold fewer than ``k`` rows.  Null query vectors find nothing, an empty index
-    holds nothing, a query wider than the index is refused.  A cell with many rows or queries is cut into blocks of both, each block gives its
-    best ``k`` for each query, and these are ranked together.
+    holds nothing, a query wider than the index is refused.  Few queries go to the tasks that read the cells; many meet the rows in
+    blocks of both.  A task or block gives its best ``k`` for each query, not each cell, and these are ranked together.
     """
     probes, width = min(probes or index.probes, len(index.centroids)), index.centroids.shape[1]
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("query"), F.col(vector).alias("q"))
@@ -263,40 +332,52 @@ def search(index: VectorIndex, queries: DataFrame, query: str, vector: str, k: i
     if not probes:
         return queries.sparkSession.createDataFrame([], StructType([*schema.fields, StructField("rank", IntegerType())]))
     held, spark = index.held(), queries.sparkSession
-    sent = spark.sparkContext.broadcast((index.centroids, held))
+    first, parts = _blocks(held, max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * width))))
+    sent = spark.sparkContext.broadcast((index.centroids, held, first, parts))
     slack = index.n_dead  # so many of the rows in a query's cells may be hidden
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        middle, sizes = sent.value
+        middle, sizes, first, parts = sent.value
         for b in batches:
             order = nearest(matrix(b["q"], width), middle, len(middle))
             short = (np.cumsum(sizes[order], axis=1) < k + slack).sum(axis=1)  # cells that hold fewer than k rows together
-            yield b.assign(cells=[own[: max(probes, n + 1)] for own, n in zip(order, short, strict=True)])
+            asks, blocks = np.zeros(order.shape, bool), []
+            for i, n in enumerate(short):
+                own = order[i, : max(probes, n + 1)]
+                asks[i, own] = True
+                n = parts[own]
+                blocks.append(np.unique(np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())))
+            yield b.assign(mask=[m.tobytes() for m in np.packbits(asks, axis=1)], blocks=blocks)
+
+    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"mask": [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in b["mask"]]).tobytes()]})
 
     saved = Saved(spark, "vector-search")
-    probed = saved.keep(asked.mapInPandas(probe, StructType([*asked.schema.fields]).add("cells", ArrayType(IntegerType()))), "probed")
+    probed = asked.mapInPandas(probe, StructType([*asked.schema.fields, StructField("mask", BinaryType())]).add("blocks", ArrayType(LongType())))
+    probed = saved.keep(probed, "probed")
     n_asked = probed.count()
-    # folders of cells that no query probes are not read
-    cells = sorted(r[0] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect())  # MAX_CELLS at most
+    # folders of cells that no query probes are not read; a batch of queries sends a bit for each cell
+    masks = [np.frombuffer(r[0], np.uint8) for r in probed.select("mask").mapInPandas(union, "mask binary").collect()]
+    cells = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(masks))[: len(held)]).tolist() if masks else []
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     live = index.read(cells).select(F.col(index.key).alias("key"), F.col(index.vector).alias("v"), "cell")
-    if n_asked * (width + probes) * 4 <= QUERY_BYTES:
-        found = _by_map(live, probed, width, k, schema)
+    if n_asked * (4 * width + len(held) // 8 + 24 * k) <= QUERY_BYTES:
+        tasks = max(2 * spark.sparkContext.defaultParallelism, int(held[cells].sum()) // TASK_ROWS)
+        found = _by_map(live.coalesce(tasks), probed.select("query", "q", "mask").toPandas(), width, k, schema)
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
-    near = probed.select("query", "q", F.explode("cells").alias("cell"))
-    sizes_of = spark.createDataFrame([(i, int(n)) for i, n in enumerate(held)], "cell int, n_rows bigint")
-    sizes = near.groupBy("cell").agg(F.count("*").alias("n_queries")).join(F.broadcast(sizes_of), "cell")  # MAX_CELLS rows at most
-    sizes = F.broadcast(sizes.select("cell", _blocks("n_rows", BLOCK_ROWS).alias("parts"), _blocks("n_queries", BLOCK_QUERIES).alias("lots")))
-    own = F.xxhash64("key")
-    rows = live.join(sizes, "cell")
-    rows = rows.select("key", "v", "cell", F.pmod(own, "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    near = near.join(sizes, "cell").select("query", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), "lots").cast("int").alias("lot"))
-    by = ["cell", "part", "lot"]
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("key")
-        out = list(_best(matrix(left["v"], width), left["key"].to_numpy(), matrix(right["q"], width), right["query"].to_numpy(), k)) if len(left) and len(right) else []
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []})
-
-    found = rows.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(best, schema)
+    lots = -(-n_asked // max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (4 * width))))
+    blocks_of = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "cell int, first bigint, parts bigint")
+    block = F.col("first") + F.pmod(F.xxhash64("key"), "parts")
+    rows = live.join(F.broadcast(blocks_of), "cell").select("key", "v", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    near = probed.select("query", "q", "mask", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.lit(lots)).cast("int").alias("lot"))
+    by = ["block", "lot"]
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best = Best(matrix(right["q"], width), right["mask"], k)
+        if len(right):
+            best.add(left)
+        return next(best.rows(right["query"].to_numpy()), pd.DataFrame({"query": [], "key": [], "score": []}))
+
+    found = rows.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(meet, schema)
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,78 @@ def test_vector_search_reads_the_probed_cells(spark):
     assert "FlatMapCoGroups" not in plan
 
 
+def shuffled(spark, df):
+    """Records that a query's stages hand to shuffles."""
+    context, group = spark.sparkContext, f"shuffled-{id(df)}"
+    context.setJobGroup(group, group)
+    df.collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_vector_search_gives_the_best_of_a_task_or_block_not_of_each_cell(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(1600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index, queries, given, by_map = vector_index.build(df, "id", "v"), df.where("id % 20 = 0"), [], vector_index._by_map
+    assert len(index.centroids) == 40
+    monkeypatch.setattr(vector_index, "_by_map", lambda *a: given.append(by_map(*a)) or given[-1])
+    plain = vector_index.search(index, queries, "id", "v", 5, probes=40).collect()
+    assert recall_of(plain, unit(x), list(range(1600)), range(0, 1600, 20), 5) == 1
+    assert given[0].rdd.getNumPartitions() < 20
+    assert given[0].count() <= 80 * 5 * given[0].rdd.getNumPartitions()
+    monkeypatch.setattr(vector_index, "QUERY_BYTES", 0)
+    found = vector_index.search(index, queries, "id", "v", 5, probes=40)
+    assert shuffled(spark, found) <= 1600 + 80 + 80 * 5  # all cells are one block: rows and queries once each, then the best
+    assert sorted(found.collect()) == sorted(plain)
+
+
+def test_vector_search_ranks_equal_rows_by_key_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 7)).astype(np.float32)
+    base[40:] = 0
+    base[40:, 0] = rng.integers(1, 9, 20)  # the same direction
+    base[50:55] = 0  # no direction: all rows score 0
+    x = base[rng.integers(0, 60, 900)]
+    keys = [f"k{i}" for i in rng.permutation(900)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x, strict=True)], "id string, v array<float>")
+    index = vector_index.build(df, "id", "v")
+    asked = sorted(keys)[::9]
+    unit_x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
+    want = set()
+    for q in asked:
+        score = np.einsum("ij,j->i", unit_x, unit_x[keys.index(q)], dtype=np.float64).round(6)
+        want |= {(q, keys[i], r + 1) for r, i in enumerate(sorted(range(900), key=lambda i: (-score[i], keys[i]))[:7])}
+    for rows, lot, limit in ((1 << 14, 1 << 14, 32 << 20), (50, 7, 0), (1 << 14, 30, 0)):
+        for name, value in {"BLOCK_ROWS": rows, "BLOCK_QUERIES": lot, "QUERY_BYTES": limit}.items():
+            monkeypatch.setattr(vector_index, name, value)
+        got = vector_index.search(index, df.where(F.col("id").isin(asked)), "id", "v", 7, probes=99).collect()
+        assert {(r["query"], r["key"], r["rank"]) for r in got} == want
+
+
+@pytest.mark.parametrize("scores", [1, 700, 1 << 20])
+def test_best_rows_come_whole_from_any_cells_and_batches(monkeypatch, scores):
+    monkeypatch.setattr(vector_index, "SCORES", scores)
+    monkeypatch.setattr(vector_index, "FINDS", min(scores, 50))
+    rng = np.random.default_rng(10)
+    q, v, cell = unit(rng.normal(size=(23, 5)).astype(np.float32)), unit(rng.normal(size=(400, 5)).astype(np.float32)), rng.integers(0, 11, 400)
+    v[200:] = v[:200]  # each row twice, in cells of their own
+    probed = rng.random((23, 11)) < 0.5
+    probed[4] = False
+    best = vector_index.Best(q, [m.tobytes() for m in np.packbits(probed, axis=1)], 6)
+    rows = pd.DataFrame({"key": rng.permutation(400), "v": list(v), "cell": cell})
+    for a in range(0, 400, 90):
+        best.add(rows[a : a + 90])
+    got = pd.concat(best.rows(np.arange(23)))
+    for i in range(23):
+        own = [j for j in range(400) if probed[i, cell[j]]]
+        score = np.einsum("ij,j->i", v, q[i], dtype=np.float64).round(9)
+        want = sorted(own, key=lambda j: (-score[j], rows.key[j]))[:6]
+        assert got[got["query"] == i].key.tolist() == rows.key[want].tolist()
+
+
 def kept_on(spark, tmp_path, rows, columns=None, schema="id long, text string"):
     index = kept_index.KeptIndex(spark, f"{tmp_path}/index")
     docs = spark.createDataFrame(rows, schema)
