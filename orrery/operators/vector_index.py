@@ -197,7 +197,7 @@ def build(df: DataFrame, key: str, vector: str, k: int = 10, recall: float = REC
     """
     spark, rows = df.sparkSession, df.where(F.col(vector).isNotNull()).select(key, vector)
     n = rows.count()
-    drawn = (rows.sample(sample / n, seed=17) if n > sample else rows).select(vector).limit(2 * sample).toPandas()[vector]
+    drawn = (rows.sample(fraction=sample / n, seed=17) if n > sample else rows).select(vector).limit(2 * sample).toPandas()[vector]
     width = max((len(v) for v in drawn), default=1)
     points = np.unique(matrix(drawn, width), axis=0)  # copies would count as neighbours that are easily found
     cells = max(1, min(MAX_CELLS, isqrt(n), CENTROID_BYTES // (4 * max(1, width)), max(1, len(points))))
@@ -238,7 +238,7 @@ class Best:
         for cell, own in rows.groupby("cell"):
             at = np.flatnonzero(self.masks[:, cell >> 3] & (128 >> (cell & 7)))
             if len(at):
-                own = own.sort_values("key")
+                own = own.sort_values("key", na_position="first")
                 self._score(at, own["key"].to_numpy(), matrix(own["v"], self.q.shape[1]))
 
     def _score(self, at: np.ndarray, keys: np.ndarray, v: np.ndarray) -> None:
@@ -282,8 +282,8 @@ class Best:
 
 
 def _cut(at: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The first ``k`` of each query by score, then key, in this order, and where the ``k``-th stand."""
-    order = np.lexsort((pd.factorize(key, sort=True)[0] if key.dtype == object else key, -score, at))
+    """The first ``k`` of each query by score, then key (null first), in this order, and where the ``k``-th stand."""
+    order = np.lexsort((pd.factorize(key, sort=True)[0] if key.dtype.kind in "Of" else key, -score, at))
     at = at[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
     own = place < k

@@ -153,6 +153,21 @@ def test_vector_search_ranks_equal_rows_by_key_whatever_the_blocks(spark, monkey
         assert {(r["query"], r["key"], r["rank"]) for r in got} == want
 
 
+def test_vector_index_of_a_sample_is_the_same_each_time(spark):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(900, 4)))], "id long, v array<double>")
+    one, two = (vector_index.build(df, "id", "v", sample=200) for _ in range(2))
+    assert np.array_equal(one.centroids, two.centroids) and one.probes == two.probes
+
+
+def test_vector_search_takes_a_null_key_first_of_equal_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in (3, 1, None, 2)], "id long, v array<double>")
+    index = vector_index.build(df, "id", "v")
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(vector_index, "QUERY_BYTES", limit)
+        got = vector_index.search(index, df.where("id = 3"), "id", "v", 2).collect()
+        assert [(r["key"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(None, 1), (1, 2)]
+
+
 @pytest.mark.parametrize("scores", [1, 700, 1 << 20])
 def test_best_rows_come_whole_from_any_cells_and_batches(monkeypatch, scores):
     monkeypatch.setattr(vector_index, "SCORES", scores)
